@@ -32,7 +32,8 @@ def flagship(spark, folder):
         read(spark, folder, "orders").withColumnRenamed("o_orderkey", "l_orderkey"),
         "l_orderkey", "o_orderpriority",
     )
-    joined = rel.join(lines, orders, on=["l_orderkey"])
+    # order keys are never null, so plain keys do
+    joined = rel.join(lines, orders, on=["l_orderkey"], nulls="sql")
     factor = rel.derive(joined, "factor", 1, "-", "l_discount")
     net = rel.derive(factor, "net", "l_extendedprice", "*", "factor")
     grouped = rel.group_aggregate(

@@ -122,17 +122,19 @@ def quantiles(
 
 
 def streaks(
-    df: DataFrame, by: list[str], order: list[str], flag: Column, out: str = "streak",
+    df: DataFrame, by: list[str], order: list[str], weight: Column, out: str = "streak",
 ) -> DataFrame:
-    """Length of the run of flagged rows that ends at each row (0 where the flag is not set)."""
-    hit = F.coalesce(flag, F.lit(False))
-    counted = running(
-        range_pieces(df.withColumn("_hit", hit), by, order), by, order,
-        sums={"_hits": col("_hit").cast("long")},
+    """Sum of a non-negative weight since its last zero, in key order (0 at a zero).
+
+    With a 0/1 weight this is the length of the run of ones that ends at each row.
+    """
+    weighted = df.withColumn("_weight", F.coalesce(weight, F.lit(0)).cast("long"))
+    summed = running(
+        range_pieces(weighted, by, order), by, order, sums={"_upto": col("_weight")}
     )
-    # the hit count at the last row without the flag; it never falls, so a running max finds it
-    reset = F.when(~col("_hit"), col("_hits"))
-    scanned = running(counted, by, order, maxima={"_base": reset})
+    # the sum at the last zero; it never falls, so a running maximum finds it
+    at_zero = F.when(col("_weight") == 0, col("_upto"))
+    scanned = running(summed, by, order, maxima={"_base": at_zero})
     return scanned.withColumn(
-        out, col("_hits") - F.coalesce(col("_base"), F.lit(0))
-    ).drop("_piece", "_hit", "_hits", "_base")
+        out, col("_upto") - F.coalesce(col("_base"), F.lit(0))
+    ).drop("_piece", "_weight", "_upto", "_base")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableworks.functions.columns import (
-    SMALL_INTEGRALS, as_columns, col, is_numeric, is_string, require, same_value,
+    SMALL_INTEGRALS, as_columns, col, is_numeric, is_string, require,
 )
 
 Condition = tuple[str, str, object]
@@ -39,8 +39,9 @@ def select(df: DataFrame, *columns: str) -> DataFrame:
 def condition(df: DataFrame, column: str, op: str, value: object) -> Column:
     """Predicate ``column op value``.
 
-    A null cell matches nothing except ``!=``. A number never equals a text; ordering a number
-    against a text raises here instead of being cast.
+    A null cell matches nothing except ``!=`` (the other comparisons are null there, which a filter
+    drops; written this way they reach the Parquet reader). A number never equals a text; ordering
+    a number against a text raises here instead of being cast.
     """
     require(df, column)
     c, literal = col(column), F.lit(value)
@@ -49,14 +50,14 @@ def condition(df: DataFrame, column: str, op: str, value: object) -> Column:
         is_string(df, column) and number
     )
     if op == "==":
-        return F.lit(False) if mismatch else F.coalesce(c == literal, F.lit(False))
+        return F.lit(False) if mismatch else c == literal
     if op == "!=":
         return F.lit(True) if mismatch else ~c.eqNullSafe(literal)
     if op not in _ORDERING:
         raise ValueError(f"unknown operator {op!r}")
     if mismatch:
         raise TypeError(f"cannot order column {column!r} against {value!r}")
-    return F.coalesce(_ORDERING[op](c, literal), F.lit(False))
+    return _ORDERING[op](c, literal)
 
 
 def filter_rows(df: DataFrame, column: str, op: str, value: object) -> DataFrame:
@@ -179,11 +180,13 @@ def join(
         col(c).alias(f"_right_{c}" if c in on else f"{c}_y" if c in shared else c)
         for c in right.columns
     ])
-    pairs = [(l[f"`{k}`"], r[f"`_right_{k}`"]) for k in on]
-    match = (
-        same_value(pairs) if nulls == "match"
-        else functools.reduce(operator.and_, [a == b for a, b in pairs])
-    )
+    # a side that cannot be null needs no null-safe test, and plain keys keep bucketing usable
+    match = functools.reduce(operator.and_, [
+        l[f"`{k}`"].eqNullSafe(r[f"`_right_{k}`"])
+        if nulls == "match" and left.schema[k].nullable and right.schema[k].nullable
+        else l[f"`{k}`"] == r[f"`_right_{k}`"]
+        for k in on
+    ])
     rest_left = [c for c in l.columns if c not in on]
     rest_right = [c for c in r.columns if not (c.startswith("_right_") and c[7:] in on)]
 
