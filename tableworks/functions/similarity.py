@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,12 +17,8 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
 def block_ratio(a: Column, b: Column) -> Column:
     """Matching-block ratio (2 · matching characters / total length), for already found pairs."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)])
 
     return ratio(a, b)
