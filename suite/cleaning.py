@@ -133,11 +133,11 @@ def clean_rejected(spark, folder):
 
 
 _CORPUS = {
-    "dirty": ("part", ["p_partkey"], _DIRTY),
-    "orders": ("orders", ["o_orderkey"], [
+    "dirty": ("part", "p_partkey", _DIRTY),
+    "orders": ("orders", "o_orderkey", [
         ("Entity", "o_custkey"), ("Year", "year(o_orderdate)"), ("Total", "o_totalprice")]),
-    "region": ("region", ["r_regionkey"], [("Entity", "r_name"), ("Code", "r_regionkey")]),
-    "texts": ("customer", ["c_custkey"], [
+    "region": ("region", "r_regionkey", [("Entity", "r_name"), ("Code", "r_regionkey")]),
+    "texts": ("customer", "c_custkey", [
         ("Country", "c_name"), ("Segment", "c_mktsegment"), ("Tier", "concat('tier ', c_mktsegment)")]),
 }
 
@@ -146,7 +146,7 @@ def _corpus(spark, folder):
     parts, headers = [], {}
     for table_id, (source, order, columns) in _CORPUS.items():
         typed = read(spark, folder, source).select(
-            *[col(c) for c in order], *[F.expr(e).alias(n) for n, e in columns])
+            col(order), *[F.expr(e).alias(n) for n, e in columns])
         parts.append(profiling.corpus_rows(typed, table_id, order, [n for n, _ in columns]))
         headers[table_id] = [n for n, _ in columns]
     return reduce(DataFrame.union, parts), profiling.corpus_headers(spark, headers)
@@ -160,7 +160,7 @@ def clean_corpus_report(spark, folder):
 def clean_corpus_rows(spark, folder):
     """Cleaned rows of all tables that passed."""
     cleaned = cleaning.clean_corpus(*_corpus(spark, folder)).rows
-    return cleaned.select("table_id", col("pos")[0].alias("pos"),
+    return cleaned.select("table_id", "pos",
                           F.array_join("cells", "|", "-").alias("cells"))
 
 

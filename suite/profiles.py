@@ -12,7 +12,9 @@ from tableworks.operators import names, profiling
 
 def profile_columns(spark, folder):
     """All columns of all tables of the corpus in one job."""
-    return profiling.column_profile(corpus.rows(spark, folder), corpus.headers(spark))
+    rows = corpus.rows(spark, folder)
+    columns = profiling.column_profile(rows, corpus.headers(spark))
+    return profiling.with_first_values(columns, rows).drop("min_number", "max_number")
 
 
 def profile_one_table(spark, folder):
@@ -28,7 +30,8 @@ def table_shape(spark, folder):
 
 
 def table_profile(spark, folder):
-    df = profiling.table_profile(corpus.rows(spark, folder), corpus.headers(spark))
+    df = profiling.table_profile(
+        profiling.column_profile(corpus.rows(spark, folder), corpus.headers(spark)))
     return df.withColumns({"numeric_columns": F.array_join("numeric_columns", "|"),
                            "completeness": F.round("completeness", 6)}).drop("columns")
 
@@ -66,8 +69,8 @@ def description_lines(spark, folder):
 
 def keyword_domain(spark, folder):
     """Domain of every document by its whole text."""
-    df = read(spark, folder, "documents")
-    return df.select("doc_id", domains.keyword_domain(col("text")).alias("domain"))
+    df = read(spark, folder, "documents").select("doc_id", "text")
+    return domains.with_domain(df, col("text"), default=None).drop("text")
 
 
 def keyword_domain_tables(spark, folder):
@@ -87,8 +90,8 @@ _SPELLINGS = ["Economic", "tech", "HEALTH", "social_science", "astronomy", "", "
 
 
 def domain_distribution(spark, folder):
-    df = read(spark, folder, "documents")
-    return domains.domain_distribution(df.select(domains.keyword_domain(col("text")).alias("domain")))
+    df = read(spark, folder, "documents").select("text")
+    return domains.domain_distribution(domains.with_domain(df, col("text"), default=None))
 
 
 def _headers(spark, folder):

@@ -273,7 +273,7 @@ def _previews_sql():
     first = []
     for t, (source, _, order, columns) in corpus.CORPUS.items():
         entity = [e for n, e, _ in columns if n == "Entity"]
-        value = f"cast(arg_min({entity[0]}, [{', '.join(order)}]) as varchar)" if entity else "max(cast(null as varchar))"
+        value = f"cast(arg_min({entity[0]}, {corpus.key(order, 'duckdb')}) as varchar)" if entity else "max(cast(null as varchar))"
         first.append(f"select '{t}' as table_id, {value} as first_entity from {source}")
     lines = """'rows: ' || row_count || ' | cols: ' || column_count
           || case when numeric_count > 0 then ' | Numeric columns: ' || numeric_count else '' end

@@ -17,23 +17,40 @@ from tableworks.session import scratch_path
 from tableworks.sources import readers, sinks
 from tableworks.streaming import run_logs
 
-# Expressions both engines understand; {i} is the run, {j} the step.
+# Expressions both engines understand: {m} is a number of the run, {s} one of the step, {j} the step.
 _M = "(o_orderkey * 7 + {i} * 13 + o_custkey) % 10"
-_DECISION = f"""case o_orderstatus
-  when 'F' then case when {_M} < 7 then true when {_M} < 9 then false end
-  when 'O' then case when {_M} < 4 then true when {_M} < 9 then false end
-  else case when {_M} < 2 then true when {_M} < 5 then false end end"""
+_S = "(o_orderkey * 3 + {i} * 5 + case when {j} < 3 then 0 else 7 end) % 11"
+_DECISION_OF = """case o_orderstatus
+  when 'F' then case when {m} < 7 then true when {m} < 9 then false end
+  when 'O' then case when {m} < 4 then true when {m} < 9 then false end
+  else case when {m} < 2 then true when {m} < 5 then false end end"""
+_STATUS_OF = "case when {s} < 7 then 'SUCCESS' else 'FAILED' end"
+_CODE_OF = "case {s} when 7 then 'PLAN_SYNTAX' when 8 then 'EXEC_ERROR' when 9 then 'FORMAT_NO_BLOCK' end"
+_CONTENT_OF = """case when {j} = 3 then 'System: wait' when {j} = 4 then ''
+  else concat('plan ', cast({s} % 3 as varchar(9))) end"""
+# the same over the columns of orders, for run {i} and step {j}
+_DECISION = _DECISION_OF.format(m=_M)
 _ANSWER = f"case when ({_DECISION}) is not null then concat('answer ', cast({_M} as varchar(9))) end"
 _ERROR = f"case when ({_DECISION}) is null and {_M} % 2 = 1 then 'aborted_no_end' end"
-_S = "(o_orderkey * 3 + {i} * 5 + case when {j} < 3 then 0 else 7 end) % 11"
-_STATUS = f"case when {_S} < 7 then 'SUCCESS' else 'FAILED' end"
-_CODE = f"""case {_S} when 7 then 'PLAN_SYNTAX' when 8 then 'EXEC_ERROR' when 9 then 'FORMAT_NO_BLOCK' end"""
-_CONTENT = f"""case when {{j}} = 3 then 'System: wait' when {{j}} = 4 then ''
-  else concat('plan ', cast({_S} % 3 as varchar(9))) end"""
+_STATUS = _STATUS_OF.format(s=_S)
+_CODE = _CODE_OF.format(s=_S)
+_CONTENT = _CONTENT_OF.format(s=f"({_S})", j="{j}")
+
+
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def _records(spark, folder):
-    """Nested result records, one per order."""
+    """Nested result records, one per order, stored once per session as a run would leave them."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        path = scratch_path(spark, "result-records")
+        _made_records(spark, folder).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def _made_records(spark, folder):
     step = ", ".join(f"'{n}', {e.format(i='i', j='j')}" for n, e in [
         ("content", _CONTENT), ("status", _STATUS), ("error", _CODE)])
     run = f"""named_struct('steps', transform(filter(sequence(0, 4), j -> j < (o_orderkey + i) % 6),

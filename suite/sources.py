@@ -100,7 +100,7 @@ def manifests(spark, folder):
 def corpus_csv(spark, folder):
     """All CSV files of a folder read as one corpus and profiled."""
     rows, headers = readers.read_corpus(spark, _datasets(spark, folder))
-    return profiling.column_profile(rows, headers).drop("sample_value")
+    return profiling.column_profile(rows, headers).drop("first_pos", "min_number", "max_number")
 
 
 def corpus_store(spark, folder):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import functools
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,18 +50,29 @@ ALIASES = {
 }
 
 
-def keyword_domain(text: Column, keywords: dict[str, list[str]] | None = None) -> Column:
-    """First domain with a keyword contained in the text; NULL without any.
+def keyword_domain(low: Column, keywords: dict[str, list[str]] | None = None) -> Column:
+    """First domain with a keyword contained in the lower-case text; NULL without any.
 
-    One regular expression per domain inside the projection, so no keyword join is needed.
+    A chain of substring tests inside the projection; it stops at the first hit and needs no
+    keyword join.
     """
-    low, result = F.lower(text), None
+    result = None
     for domain, found in (keywords or KEYWORDS).items():
-        hit = low.rlike("|".join(re.escape(k) for k in found))
+        hit = functools.reduce(operator.or_, [low.contains(k) for k in found])
         result = F.when(hit, domain) if result is None else result.when(hit, domain)
     return result
 
 
+def with_domain(
+    df: DataFrame, text: Column, out: str = "domain", default: str | None = "general",
+) -> DataFrame:
+    """``df`` with the keyword domain of a text, lower-cased once per row."""
+    found = df.withColumn("_low", F.lower(text)).withColumn(out, keyword_domain(col("_low")))
+    if default is not None:
+        found = found.withColumn(out, F.coalesce(out, F.lit(default)))
+    return found.drop("_low")
+
+
 def normal_domain(name: Column, default: str = "general") -> Column:
     """Canonical domain name by alias, any case; unknown or missing names get the default."""
     known = {**{d: d for d in DOMAINS}, **ALIASES}

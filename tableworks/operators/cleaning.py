@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from tableworks.functions.columns import (
     as_columns, col, is_numeric, is_string, nan_to_null, numeric_columns, require,
 )
-from tableworks.functions.text import integer_of, money_number_of, number_of, squeeze
+from tableworks.functions.text import (
+    integer_of, is_integer, money_number_of, number_of, squeeze,
+)
 from tableworks.operators import ordered, sampling
 from tableworks.operators.profiling import IDENTIFIERS, TIME_COLUMNS
+from tableworks.session import pin
 
 
 @dataclass(frozen=True)
@@ -327,12 +330,13 @@ def corpus_decisions(rows: DataFrame, headers: DataFrame, policy: Policy) -> Dat
         F.exists("cells", lambda c: c.isNotNull()).alias("filled"),
     )
     value, live = col("value"), col("filled")
+    cells = cells.select("*", number_of(value).alias("number"))
     counted = cells.groupBy("table_id", "col_pos").agg(
         F.count(F.lit(1)).alias("original_rows"),
         F.count_if(live).alias("n"), F.count_if(live & col("stays")).alias("kept"),
         F.count(value).alias("present"),
-        F.count(number_of(value)).alias("numbers"),
-        F.count(integer_of(value)).alias("integers"),
+        F.count("number").alias("numbers"),
+        F.count_if(is_integer(value, col("number"))).alias("integers"),
         F.count_if(live & col("stays") & money_number_of(value).isNotNull()).alias("money"),
     )
     from tableworks.operators.profiling import catalogue
@@ -382,7 +386,7 @@ def clean_corpus(rows: DataFrame, headers: DataFrame, policy: Policy = Policy())
     """The full pipeline over all tables of a corpus at once; missing values are kept."""
     if not policy.keeps_missing:
         raise ValueError("a corpus is cleaned with the keep_na policy; use clean() per table")
-    decisions = corpus_decisions(rows, headers, policy)
+    decisions = pin(corpus_decisions(rows, headers, policy))  # one row per table, used three times
     going = decisions.filter(col("early").isNull()).select("table_id", "keep")
     id_at = F.filter("keep", lambda k: k["name"].isin(IDENTIFIERS))
     lively = rows.filter(F.exists("cells", lambda c: c.isNotNull())).join(going, "table_id")
@@ -397,6 +401,8 @@ def clean_corpus(rows: DataFrame, headers: DataFrame, policy: Policy = Policy())
         table = table.groupBy("table_id", "cells").agg(F.min("pos").alias("pos"))
     if policy.max_rows is not None:
         table = sampling.head(table, ["table_id"], ["pos"], policy.max_rows)
+    # rows, headers and report all need the cleaned rows; clean them once
+    table = pin(table)
     if policy.max_entities is not None:
         table = _cap_corpus_entities(table, going, policy.max_entities)
 

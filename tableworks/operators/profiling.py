@@ -1,8 +1,8 @@
 """Column profiles and table metadata.
 
-A corpus of many tables is held as ``rows (table_id, pos ARRAY<BIGINT>, cells ARRAY<STRING>)`` and
-``headers (table_id, columns ARRAY<STRING>)``: one record per table row, whatever its width. ``pos``
-is the stored order of the rows. All tables are profiled by one job.
+A corpus of many tables is held as ``rows (table_id, pos BIGINT, cells ARRAY<STRING>)`` and ``headers
+(table_id, columns ARRAY<STRING>)``: one record per table row, whatever its width. ``pos`` is the
+stored order of the rows within their table. All tables are profiled by one job.
 """
 
 from __future__ import annotations
@@ -11,17 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableworks.functions.columns import as_columns, col, numeric_columns
-from tableworks.functions.text import integer_of, number_of
+from tableworks.functions.text import is_integer, number_of
+from tableworks.session import broadcast_if_few, pin
 
 IDENTIFIERS = ["Entity", "Country", "Region"]
 TIME_COLUMNS = ["Year", "Date", "Time"]
 
 
-def corpus_rows(df: DataFrame, table_id: str, order: list[str], columns: list[str]) -> DataFrame:
+def corpus_rows(df: DataFrame, table_id: str, order: str, columns: list[str]) -> DataFrame:
     """Rows of one typed table in the corpus form."""
     return df.select(
-        F.lit(table_id).alias("table_id"),
-        F.array(*[col(c).cast("long") for c in order]).alias("pos"),
+        F.lit(table_id).alias("table_id"), col(order).cast("long").alias("pos"),
         F.array(*[col(c).cast("string") for c in columns]).alias("cells"),
     )
 
@@ -38,62 +38,78 @@ def catalogue(headers: DataFrame) -> DataFrame:
 
 
 def column_profile(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """One row per column of every table: counts of rows, nulls and numbers, type, first value.
+    """One row per column of every table: counts of rows, nulls and numbers, type, range.
 
     The type follows CSV inference: int64 and bool need every cell, float64 every non-null cell
-    (also a column without any value), the rest is object. Counts combine on the map side, so a
-    table that holds most rows of the corpus is no bottleneck.
+    (also a column without any value), the rest is object. ``first_pos`` is the first row with a
+    value. All aggregates are numbers of fixed size, so the cells are hashed and combined where they
+    are read; a table that holds most rows of the corpus is no bottleneck.
     """
     cells = rows.select("table_id", "pos", F.posexplode("cells").alias("col_pos", "value"))
     value = col("value")
-    number = number_of(value)
-    counted = cells.groupBy("table_id", "col_pos").agg(
+    boolean = value.isin("True", "False", "TRUE", "FALSE", "true", "false")
+    measured = cells.select(
+        "table_id", "col_pos", number_of(value).alias("number"), "value",
+        F.when(value.isNotNull(), col("pos")).alias("at"))
+    counted = measured.groupBy("table_id", "col_pos").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(value.isNull()).alias("n_nulls"),
-        F.count(number).alias("n_numbers"),
-        F.count(integer_of(value)).alias("n_integers"),
-        F.count_if(value.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias("n_booleans"),
-        F.min_by(value, F.when(value.isNotNull(), col("pos"))).alias("first_value"),
+        F.count("value").alias("n_values"),
+        F.count("number").alias("n_numbers"),
+        F.count_if(is_integer(value, col("number"))).alias("n_integers"),
+        F.count_if(boolean).alias("n_booleans"),
+        F.min("number").alias("min_number"), F.max("number").alias("max_number"),
+        F.min("at").alias("first_pos"),
     )
-    present = col("n_rows") - col("n_nulls")
     kind = (
         F.when(col("n_integers") == col("n_rows"), "int64")
-        .when(col("n_numbers") == present, "float64")
+        .when(col("n_numbers") == col("n_values"), "float64")
         .when(col("n_booleans") == col("n_rows"), "bool")
         .otherwise("object")
     )
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return catalogue(headers).join(counted, ["table_id", "col_pos"], "left").select(
-        "table_id", "col_pos", "column_name",
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_rows", "n_nulls", "n_numbers")],
-        F.coalesce(kind, F.lit("object")).alias("dtype"),
-        F.coalesce("first_value", F.lit("No data")).alias("sample_value"),
+        "table_id", "col_pos", "column_name", count(col("n_rows")).alias("n_rows"),
+        count(col("n_rows") - col("n_values")).alias("n_nulls"),
+        count(col("n_numbers")).alias("n_numbers"),
+        F.coalesce(kind, F.lit("object")).alias("dtype"), "min_number", "max_number", "first_pos",
     )
 
 
-def table_profile(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """One row per table: shape, completeness, numeric columns, year span, column list."""
-    columns = column_profile(rows, headers).withColumn(
-        "numeric", col("dtype").isin("int64", "float64")
-    )
-    cells = F.sum("n_rows")
-    shape = columns.groupBy("table_id").agg(
+def with_first_values(columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """Column profile with ``sample_value``: the first non-null value, else ``No data``.
+
+    The first rows are looked up by position. Their list is as long as the corpus has columns; it
+    is broadcast when that is few enough (counted), else joined by shuffle.
+    """
+    columns = pin(columns)
+    wanted = columns.filter("first_pos is not null").select(
+        "table_id", "col_pos", F.col("first_pos").alias("pos"))
+    found = rows.join(broadcast_if_few(wanted), ["table_id", "pos"]).select(
+        "table_id", "col_pos", F.get("cells", col("col_pos")).alias("sample_value"))
+    return columns.drop("first_pos").join(found, ["table_id", "col_pos"], "left").withColumn(
+        "sample_value", F.coalesce("sample_value", F.lit("No data")))
+
+
+def table_profile(columns: DataFrame) -> DataFrame:
+    """One row per table from its column profile: shape, completeness, numeric columns, year span.
+
+    The lists hold a table's own columns, so they are as long as the table is wide.
+    """
+    marked = columns.withColumn("numeric", col("dtype").isin("int64", "float64"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["column_name"])
+    entry = F.struct("col_pos", "column_name")
+    year = col("column_name") == "Year"
+    return marked.groupBy("table_id").agg(
         F.max("n_rows").alias("row_count"), F.count(F.lit(1)).alias("column_count"),
         F.count_if("numeric").alias("numeric_count"),
         F.count_if(col("dtype") == "object").alias("text_count"),
-        # a table's own columns, so the list is as long as the table is wide
-        F.transform(F.array_sort(F.collect_list(F.when(
-            col("numeric"), F.struct("col_pos", "column_name")))), lambda x: x["column_name"],
-        ).alias("numeric_columns"),
-        F.coalesce(F.bool_or((col("column_name") == "Year") & col("numeric")), F.lit(False))
-        .alias("has_time_series"),
-        F.coalesce(1 - F.try_divide(F.sum("n_nulls"), cells), F.lit(0.0)).alias("completeness"),
-    )
-    year_at = headers.select("table_id", "columns", F.array_position("columns", "Year").alias("_at"))
-    years = rows.join(year_at.filter("_at > 0").select("table_id", "_at"), "table_id").select(
-        "table_id", number_of(F.element_at("cells", col("_at").cast("int"))).cast("long").alias("_year")
-    ).groupBy("table_id").agg(F.min("_year").alias("year_min"), F.max("_year").alias("year_max"))
-    return shape.join(years, "table_id", "left").join(
-        year_at.select("table_id", "columns"), "table_id"
+        listed(entry).alias("columns"),
+        listed(F.when(col("numeric"), entry)).alias("numeric_columns"),
+        F.coalesce(F.bool_or(year & col("numeric")), F.lit(False)).alias("has_time_series"),
+        F.coalesce(1 - F.try_divide(F.sum("n_nulls"), F.sum("n_rows")), F.lit(0.0))
+        .alias("completeness"),
+        F.min(F.when(year, col("min_number"))).cast("long").alias("year_min"),
+        F.max(F.when(year, col("max_number"))).cast("long").alias("year_max"),
     )
 
 

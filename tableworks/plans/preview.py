@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tableworks.functions.columns import col
 from tableworks.operators import profiling, sampling
+from tableworks.session import pin
 
 # Preview modes and the number of first rows they show.
 MODES = {"header_1": 1, "header_5": 5, "full_table": 1000}
@@ -27,8 +28,9 @@ def table_previews(
     first = sampling.head(rows, ["table_id"], ["pos"], n)
     sample = first.groupBy("table_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "cells"))), lambda r: r["cells"]).alias("_rows"))
-    shapes = profiling.table_profile(rows, headers)
-    structure = profiling.column_profile(rows, headers).groupBy("table_id").agg(
+    columns = pin(profiling.column_profile(rows, headers))  # one row per column, used twice
+    shapes = profiling.table_profile(columns)
+    structure = profiling.with_first_values(columns, rows).groupBy("table_id").agg(
         F.array_sort(F.collect_list(F.struct(
             "col_pos", "column_name", "dtype", "n_nulls", "sample_value"))).alias("_columns"))
     full = shapes.join(titles, "table_id", "left").join(structure, "table_id").join(

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings the operators are designed for. AQE splits hot join keys;
 # forceOptimizeSkewedJoin lets it do so even when a later step then needs its own shuffle.
@@ -54,3 +55,12 @@ def pin(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def broadcast_if_few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``most`` rows, else as it is.
+
+    Counts the rows, so it is meant for results that are pinned already. Rows are expected to be
+    narrow (keys and a few numbers).
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

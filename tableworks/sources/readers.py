@@ -154,14 +154,14 @@ def _corpus_lines(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
         "pathGlobFilter", "*.csv").text(root).select(
         "value", F.col("_metadata.file_path").alias("path"), folder.alias("table_id"),
         item.alias("item"),
-        F.array(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        F.monotonically_increasing_id().alias("pos"),
     )
     facts = lines.groupBy("table_id", "item", "path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.min_by("value", "at").alias("first_line"), F.min("at").alias("first_at"),
+        F.min_by("value", "pos").alias("first_line"), F.min("pos").alias("first_pos"),
         F.max(F.size(F.split("value", ","))).alias("commas"),
     )
-    # one row per file from here on
+    # one row per file from here on; Spark numbers the blocks of a file in file order
     in_table = W.partitionBy("table_id")
     chosen = facts.withColumn("_first", F.min("item").over(in_table)).filter("item = _first")
     chosen = chosen.withColumn(
@@ -182,10 +182,10 @@ def _corpus_lines(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
         lambda c, i: F.coalesce(F.nullif(c, F.lit("")), F.concat(F.lit("Unnamed: "), i.cast("string"))))
     headers = named.filter("file_no = 1").select("table_id", plain.alias("_names")).select("table_id", F.transform(
         "_names", lambda c, i: _numbered_copy(c, i, F.col("_names"))).alias("columns"))
-    rows = lines.filter(F.trim("value") != "").select("path", "value", "at").join(
-        named.select("table_id", "path", "utf8", "first_at", "width", "file_no"), "path"
-    ).filter(F.col("at") > F.col("first_at")).select(
-        "table_id", F.concat(F.array("file_no"), "at").alias("pos"),
+    rows = lines.filter(F.trim("value") != "").select("path", "value", "pos").join(
+        named.select("table_id", "path", "utf8", "first_pos", "width"), "path"
+    ).filter(F.col("pos") > F.col("first_pos")).select(
+        "table_id", "pos",
         F.transform(F.slice(cells(F.col("value")), F.lit(1), F.col("width")), missing_to_null)
         .alias("cells"),
         (F.size(F.array_compact(cells(F.col("value")))) > F.col("width")).alias("too_wide"),
