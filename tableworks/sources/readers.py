@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tableworks.functions.columns import as_columns, col
+from tableworks.functions.columns import col
 from tableworks.functions.text import integer_of, missing_to_null, number_of
 from tableworks.sources import schemas
 
@@ -226,12 +226,15 @@ def read_documents(
 
     A file holds one document, or with ``lines`` one document per line.
     """
-    df = spark.read.schema(f"{schema}, _corrupt STRING").option("multiLine", not lines).option(
-        "recursiveFileLookup", True).option("pathGlobFilter", name).option(
-        "columnNameOfCorruptRecord", "_corrupt").json(root)
-    names = [c for c in df.columns if c != "_corrupt"]
-    return df.filter(F.col("_corrupt").isNull()).select(
-        *as_columns(names), F.col("_metadata.file_path").alias("_path"))
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(
+        root, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("_path"))
+    return _objects(text, schema).select("r.*", "_path")
+
+
+def _objects(text: DataFrame, schema: str) -> DataFrame:
+    """Texts that are JSON objects, parsed into the struct ``r``; the others are left out."""
+    good = text.filter(F.json_object_keys("value").isNotNull())
+    return good.withColumn("r", F.from_json("value", schema)).drop("value")
 
 
 def read_questions(spark: SparkSession, root: str) -> DataFrame:
@@ -257,18 +260,14 @@ def read_result_logs(spark: SparkSession, root: str, schema: str = schemas.RECOR
         (F.size("_lines") > 1) & F.json_object_keys(F.get("_lines", F.lit(0))).isNotNull())
     objects = files.withColumn("_lines", lines).select(
         "_path", F.explode(F.when(whole, F.array("value")).otherwise(F.col("_lines"))).alias("value"))
-    good = objects.filter(F.json_object_keys("value").isNotNull())
-    return good.select(F.from_json("value", schema).alias("r"), *_origin(F.col("_path"))).select(
-        "r.*", "source_dir", "source_file")
+    return _objects(objects, schema).select("r.*", *_origin(F.col("_path")))
 
 
 def read_log_lines(spark: SparkSession, root: str, schema: str = schemas.RECORD) -> DataFrame:
     """Logs in JSON lines form, read in splittable pieces."""
-    df = spark.read.schema(f"{schema}, _corrupt STRING").option("recursiveFileLookup", True).option(
-        "columnNameOfCorruptRecord", "_corrupt").json(root)
-    names = [c for c in df.columns if c != "_corrupt"]
-    return df.filter(F.col("_corrupt").isNull()).select(
-        *as_columns(names), *_origin(F.col("_metadata.file_path")))
+    lines = spark.read.option("recursiveFileLookup", True).text(root).select(
+        "value", F.col("_metadata.file_path").alias("_path"))
+    return _objects(lines, schema).select("r.*", *_origin(F.col("_path")))
 
 
 def _origin(path: Column) -> list[Column]:
