@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableworks.functions.columns import as_columns, col
-from tableworks.functions.similarity import edit_ratio
+from tableworks.functions.similarity import block_ratio, edit_ratio
 from tableworks.session import pin
 
 
@@ -47,10 +47,20 @@ def first_contained(
         F.min("_first").alias("_first")).select(*as_columns(by), "text", "_first.*")
 
 
-def _most_edits(length: Column, least: float) -> Column:
-    """Largest distance a text of this length can have to any text with ratio ≥ ``least``."""
-    slack = 1 - least
-    return F.floor(length * F.lit(slack / (1 - slack)) + 1e-9).cast("int")
+def _slack(least: float, measure: str) -> float:
+    """Edits per character that a text may need to reach a partner with ratio ≥ ``least``.
+
+    With ratio 1 − d / longer: d ≤ (1 − r)(len + d). With the matching-block ratio, whose unmatched
+    characters bound the edits: d ≤ (1 − r)(2·len + d).
+    """
+    if measure not in ("edits", "blocks"):
+        raise ValueError("measure must be 'edits' or 'blocks'")
+    return (1 if measure == "edits" else 2) * (1 - least) / least
+
+
+def _most_edits(length: Column, slack: float) -> Column:
+    """Largest distance a text of this length can have to any partner."""
+    return F.floor(length * F.lit(slack) + 1e-9).cast("int")
 
 
 def _pieces(text: Column, edits: Column) -> Column:
@@ -62,11 +72,11 @@ def _pieces(text: Column, edits: Column) -> Column:
     return F.filter(cut, lambda p: p["piece"] != "")
 
 
-def _windows(text: Column, edits: int, least: float) -> Column:
+def _windows(text: Column, edits: int, slack: float) -> Column:
     """The substrings of a text that could be a piece of a text of similar length."""
     size = F.char_length(text)
     near = F.sequence(F.greatest(size - edits, F.lit(1)), size + edits)
-    per_piece = lambda n: n / (F.least(F.lit(edits), _most_edits(n, least)) + 1)
+    per_piece = lambda n: n / (F.least(F.lit(edits), _most_edits(n, slack), n - 1) + 1)
     lengths = F.array_distinct(F.flatten(F.transform(near, lambda n: F.array(
         F.floor(per_piece(n)).cast("int"), F.ceil(per_piece(n)).cast("int")))))
     fitting = F.filter(lengths, lambda n: (n >= 1) & (n <= size))
@@ -77,34 +87,42 @@ def _windows(text: Column, edits: int, least: float) -> Column:
 
 def similar_pairs(
     left: DataFrame, right: DataFrame, by: list[str], edits: int, least: float,
+    measure: str = "edits",
 ) -> DataFrame:
     """All pairs within ``edits`` edits and ratio ≥ ``least``: ``(by…, left, right, ratio)``.
 
-    ``left`` has (by…, left), ``right`` has (by…, right); texts are distinct per group.
+    ``left`` has (by…, left), ``right`` has (by…, right); texts are distinct per group. ``measure``
+    is ``edits`` (1 − distance / longer length) or ``blocks`` (matching blocks, compared in Python
+    for the pairs that are within the distance).
     """
+    slack = _slack(least, measure)
     windows = left.select(
-        *as_columns(by), "left", F.explode(_windows(col("left"), edits, least)).alias("w"))
-    limit = F.least(F.lit(edits), _most_edits(F.char_length("right"), least))
+        *as_columns(by), "left", F.explode(_windows(col("left"), edits, slack)).alias("w"))
+    size = F.char_length("right")
+    limit = F.least(F.lit(edits), _most_edits(size, slack), size - 1)
     pieces = right.select(*as_columns(by), "right", F.explode(_pieces(col("right"), limit)).alias("p"))
     near = windows.select(*as_columns(by), "left", col("w")["start"].alias("_ls"),
                           col("w")["piece"].alias("piece"))
     parts = pieces.select(*as_columns(by), "right", col("p")["start"].alias("_rs"),
                           col("p")["piece"].alias("piece"))
+    apart = F.abs(F.char_length("left") - F.char_length("right"))
     met = near.join(parts, [*by, "piece"]).filter(
-        (F.abs(col("_ls") - col("_rs")) <= edits)
-        & (F.abs(F.char_length("left") - F.char_length("right")) <= edits))
-    longer = F.greatest(F.char_length("left"), F.char_length("right"))
-    allowed = F.least(F.lit(edits), F.floor(longer * F.lit(1 - least) + 1e-9).cast("int"))
+        (F.abs(col("_ls") - col("_rs")) <= edits) & (apart <= edits))
+    shared = (
+        F.greatest(F.char_length("left"), F.char_length("right")) if measure == "edits"
+        else F.char_length("left") + F.char_length("right"))
+    allowed = F.least(F.lit(edits), F.floor(shared * F.lit(1 - least) + 1e-9).cast("int"))
     pairs = met.select(*as_columns(by), "left", "right").distinct()
-    close = pairs.filter((allowed >= F.abs(F.char_length("left") - F.char_length("right"))) & (
-        F.levenshtein("left", "right") <= allowed))
-    return close.withColumn("ratio", edit_ratio(col("left"), col("right")))
+    close = pairs.filter((allowed >= apart) & (F.levenshtein("left", "right") <= allowed))
+    if measure == "edits":
+        return close.withColumn("ratio", edit_ratio(col("left"), col("right")))
+    return close.withColumn("ratio", block_ratio(col("left"), col("right"))).filter(
+        col("ratio") >= least)
 
 
-def edit_levels(longest: int, least: float) -> list[int]:
+def edit_levels(longest: int, least: float, measure: str = "edits") -> list[int]:
     """Distances to try in turn: 1, 4, 16, … up to what the longest text allows."""
-    slack = 1 - least
-    most = int(longest * slack / (1 - slack) + 1e-9)
+    most = int(longest * _slack(least, measure) + 1e-9)
     levels, step = [], 1
     while step < most:
         levels.append(step)
@@ -114,6 +132,7 @@ def edit_levels(longest: int, least: float) -> list[int]:
 
 def best_similar(
     texts: DataFrame, titles: DataFrame, by: list[str], order: str, least: float = 0.7,
+    measure: str = "edits",
 ) -> DataFrame:
     """For each text the most similar title with ratio ≥ ``least``, ties by title order.
 
@@ -125,10 +144,10 @@ def best_similar(
         F.min(F.struct(order, "title")).alias("_first"))
     longest = wanted.agg(F.max(F.char_length("text"))).first()[0] or 0
     open_texts, found = pin(wanted), None
-    for edits in edit_levels(longest, least):
+    for edits in edit_levels(longest, least, measure):
         pairs = similar_pairs(
             open_texts.select(*as_columns(by), F.col("text").alias("left")),
-            shapes.select(*as_columns(by), "right"), by, edits, least)
+            shapes.select(*as_columns(by), "right"), by, edits, least, measure)
         best = pairs.join(shapes, [*by, "right"]).groupBy(
             *as_columns(by), F.col("left").alias("text")).agg(
             F.min(F.struct((-col("ratio")).alias("key"), col("_first").alias("first"))).alias("b"))
@@ -136,9 +155,10 @@ def best_similar(
                            col("b")["first"].alias("_first"))
         size = F.char_length("text")
         # a title with more edits is at best this similar
-        settled = col("ratio") > size / (size + edits + 1) + 1e-9
+        whole = size if measure == "edits" else size * 2
+        settled = col("ratio") > whole / (whole + edits + 1) + 1e-9
         joined = pin(open_texts.join(best, [*by, "text"], "left").withColumn(
-            "_done", F.coalesce(settled, F.lit(False)) | (_most_edits(size, least) <= edits)))
+            "_done", F.coalesce(settled, F.lit(False)) | (_most_edits(size, _slack(least, measure)) <= edits)))
         part = joined.filter(col("_done") & col("ratio").isNotNull()).drop("_done")
         found = part if found is None else found.unionByName(part)
         open_texts = joined.filter(~col("_done")).select(*as_columns(by), "text")

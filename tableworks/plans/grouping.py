@@ -16,12 +16,15 @@ from tableworks.session import pin
 SCOPE = ["scope"]
 
 
-def match_titles(proposed: DataFrame, titles: DataFrame, least: float = 0.7) -> DataFrame:
+def match_titles(
+    proposed: DataFrame, titles: DataFrame, least: float = 0.7, measure: str = "edits",
+) -> DataFrame:
     """``(scope, proposal, title, tier, ratio)`` for each distinct proposal.
 
     ``proposed`` has (scope, proposal), ``titles`` has (scope, title, at) with ``at`` the list order.
     Equal texts win, then the first title that contains the proposal or lies in it, then the most
-    similar title with ratio ≥ ``least``. Empty texts match nothing.
+    similar title with ratio ≥ ``least`` (see ``fuzzy.similar_pairs`` for ``measure``). Empty texts
+    match nothing.
     """
     asked = proposed.select("scope", "proposal").distinct().withColumn(
         "text", F.lower(F.trim("proposal")))
@@ -35,7 +38,7 @@ def match_titles(proposed: DataFrame, titles: DataFrame, least: float = 0.7) ->
     part = pin(fuzzy.first_contained(rest, listed, SCOPE, "at").select(
         "scope", "text", "title", F.lit("part").alias("tier"), F.lit(None).cast("double").alias("ratio")))
     far = rest.join(part, ["scope", "text"], "left_anti")
-    like = fuzzy.best_similar(far, listed, SCOPE, "at", least).select(
+    like = fuzzy.best_similar(far, listed, SCOPE, "at", least, measure).select(
         "scope", "text", "title", F.lit("similar").alias("tier"), "ratio")
     found = equal.unionByName(part).unionByName(like)
     return asked.join(found, ["scope", "text"], "left").select(
@@ -62,7 +65,7 @@ def assign_titles(groups: DataFrame, matches: DataFrame, titles: DataFrame) -> D
                             ).unionByName(alone)
 
 
-def name_edges(groups: DataFrame, above: float = 0.7) -> DataFrame:
+def name_edges(groups: DataFrame, above: float = 0.7, measure: str = "edits") -> DataFrame:
     """``(scope, src, dst)`` between groups with the same name or names of ratio > ``above``.
 
     Equal names are tied to one representative, and only distinct names are compared.
@@ -73,10 +76,10 @@ def name_edges(groups: DataFrame, above: float = 0.7) -> DataFrame:
         "scope", F.col("group_id").alias("src"), F.col("rep").alias("dst"))
     reps = pin(reps)
     longest = reps.agg(F.max(F.char_length("group_name"))).first()[0] or 0
-    edits = (fuzzy.edit_levels(longest, above) or [0])[-1]
+    edits = (fuzzy.edit_levels(longest, above, measure) or [0])[-1]
     pairs = fuzzy.similar_pairs(
         reps.select("scope", F.col("group_name").alias("left")),
-        reps.select("scope", F.col("group_name").alias("right")), SCOPE, edits, above,
+        reps.select("scope", F.col("group_name").alias("right")), SCOPE, edits, above, measure,
     ).filter((col("left") < col("right")) & (col("ratio") > above))
     a = reps.select("scope", F.col("group_name").alias("left"), F.col("rep").alias("src"))
     b = reps.select("scope", F.col("group_name").alias("right"), F.col("rep").alias("dst"))
@@ -120,7 +123,7 @@ def overlap_edges(members: DataFrame, above: float = 0.5) -> DataFrame:
     return same.unionByName(counted.filter(col("common") / union > above).select("scope", "src", "dst"))
 
 
-def merge_groups(groups: DataFrame) -> DataFrame:
+def merge_groups(groups: DataFrame, measure: str = "edits") -> DataFrame:
     """``(scope, group_id, group_name, title)`` after merging alike groups within a scope.
 
     Groups are merged along chains of alike names (ratio > 0.7) or overlapping titles (Jaccard >
@@ -128,7 +131,7 @@ def merge_groups(groups: DataFrame) -> DataFrame:
     """
     groups = pin(groups)
     key = lambda c: F.struct("scope", c)
-    edges = name_edges(groups).unionByName(overlap_edges(groups)).select(
+    edges = name_edges(groups, measure=measure).unionByName(overlap_edges(groups)).select(
         key(F.col("src")).alias("src"), key(F.col("dst")).alias("dst"))
     renamed = edges.select(*[
         F.struct(col(c)["scope"].alias("scope"), col(c)[c].alias("group_id")).alias(c)

@@ -38,7 +38,23 @@ def test_similar_pairs_are_complete(spark, titles):
         assert got == want
 
 
-def expected(text, titles):
+def test_block_pairs_are_complete(spark, titles):
+    df = spark.createDataFrame([("s", t) for t in titles], "scope string, t string")
+    got = {(r.left, r.right) for r in fuzzy.similar_pairs(
+        df.withColumnRenamed("t", "left"), df.withColumnRenamed("t", "right"), ["scope"],
+        fuzzy.edit_levels(14, 0.7, "blocks")[-1], 0.7, "blocks").collect()}
+    assert got == {(a, b) for a in titles for b in titles if SequenceMatcher(None, a, b).ratio() >= 0.7}
+
+
+def edit_likeness(a, b):
+    return 1 - distance(a, b) / max(len(a), len(b)) + 1e-9
+
+
+def block_likeness(a, b):
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def expected(text, titles, likeness):
     low = text.lower().strip()
     for t in titles:
         if low == t.lower().strip():
@@ -46,12 +62,12 @@ def expected(text, titles):
     for t in titles:
         if low in t.lower() or t.lower() in low:
             return t, "part"
-    best = max(titles, key=lambda t: 1 - distance(low, t.lower()) / max(len(low), len(t)))
-    near = 1 - distance(low, best.lower()) / max(len(low), len(best)) >= 0.7 - 1e-9
-    return (best, "similar") if near else (None, None)
+    best = max(titles, key=lambda t: likeness(low, t.lower()))
+    return (best, "similar") if likeness(low, best.lower()) >= 0.7 else (None, None)
 
 
-def test_match_titles(spark):
+@pytest.mark.parametrize("measure, likeness", [("edits", edit_likeness), ("blocks", block_likeness)])
+def test_match_titles(spark, measure, likeness):
     random.seed(8)
     words = ["coal", "oil", "wind", "solar", "power", "output", "price", "share"]
     titles = sorted({" ".join(random.sample(words, random.randint(2, 4))).title() for _ in range(40)})
@@ -64,8 +80,9 @@ def test_match_titles(spark):
         asked += ["".join(slip), t.upper(), t[:-4], t + " (new)"]
     listed = spark.createDataFrame([("s", t, i) for i, t in enumerate(titles)], "scope string, title string, at int")
     proposed = spark.createDataFrame([("s", a) for a in asked], "scope string, proposal string")
-    got = {r.proposal: (r.title, r.tier) for r in grouping.match_titles(proposed, listed).collect()}
-    assert got == {a: expected(a, titles) for a in asked}
+    got = {r.proposal: (r.title, r.tier) for r in grouping.match_titles(
+        proposed, listed, measure=measure).collect()}
+    assert got == {a: expected(a, titles, likeness) for a in asked}
 
 
 def test_block_ratio(spark, titles):
