@@ -22,7 +22,7 @@ from tableworks.functions.text import (
 )
 from tableworks.operators import ordered, sampling
 from tableworks.operators.profiling import IDENTIFIERS, TIME_COLUMNS
-from tableworks.session import pin
+from tableworks.session import broadcast_if_few, pin
 
 
 @dataclass(frozen=True)
@@ -144,6 +144,8 @@ def drop_duplicates(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     grouped = df.groupBy(*as_columns(data))
     if not order:
         return grouped.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    if len(order) == 1:  # a single number as buffer keeps the aggregate hashed
+        return grouped.agg(F.min(col(order[0])).alias(order[0])).select(*as_columns(df.columns))
     first = F.min(F.struct(*as_columns(order))).alias("_first")
     return grouped.agg(first).select(*[
         col("_first")[c].alias(c) if c in order else col(c) for c in df.columns
@@ -387,7 +389,8 @@ def clean_corpus(rows: DataFrame, headers: DataFrame, policy: Policy = Policy())
     if not policy.keeps_missing:
         raise ValueError("a corpus is cleaned with the keep_na policy; use clean() per table")
     decisions = pin(corpus_decisions(rows, headers, policy))  # one row per table, used three times
-    going = decisions.filter(col("early").isNull()).select("table_id", "keep")
+    going = broadcast_if_few(
+        decisions.filter(col("early").isNull()).select("table_id", "keep"), 20_000)
     id_at = F.filter("keep", lambda k: k["name"].isin(IDENTIFIERS))
     lively = rows.filter(F.exists("cells", lambda c: c.isNotNull())).join(going, "table_id")
     stays = (F.size(id_at) == 0) | F.exists(

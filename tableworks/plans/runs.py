@@ -173,19 +173,17 @@ def _by_value(runs: DataFrame, dimensions: list[str] | None, keep: list[Column])
 
 def consistency_by_question(runs: DataFrame) -> DataFrame:
     """Questions with several runs: whether all decisions agree (missing ones count), and how."""
-    text = F.coalesce(col("decision").cast("string"), F.lit("null"))
     grouped = runs.groupBy("question_id").agg(
         F.count(F.lit(1)).alias("runs"),
-        (F.min(text) == F.max(text)).alias("consistent"),
         F.count_if(col("decision")).alias("n_true"),
         F.count_if(~col("decision")).alias("n_false"),
     ).filter("runs > 1")
     kind = (
         F.when(col("n_true") == col("runs"), "all_success")
         .when(col("n_false") == col("runs"), "all_error")
-        .when(col("consistent"), "all_null").otherwise("mixed")
+        .when(col("n_true") + col("n_false") == 0, "all_null").otherwise("mixed")
     )
-    return grouped.withColumn("kind", kind)
+    return grouped.withColumn("kind", kind).withColumn("consistent", col("kind") != "mixed")
 
 
 def consistency(runs: DataFrame) -> DataFrame:
