@@ -85,7 +85,7 @@ def _questions(spark, folder):
         col("c_nationkey").cast("string").alias("domain"),
         F.struct((F.col("c_acctbal") / 300).alias("complexity_score")).alias("complexity_metrics"),
         col("c_name").alias("_path"),
-    ).filter("table_number < 3")
+    ).filter("reasoning_type <> 'FURNITURE'")
 
 
 def _rounded(df, places=4):
@@ -362,7 +362,7 @@ _META = """(select printf('question_%03d', c_custkey) as question_id, c_mktsegme
   c_nationkey > 12 as has_distractor, cast(c_nationkey % 3 + 1 as int) as table_number,
   cast(c_nationkey as varchar) as domain, case when c_acctbal / 300 <= 6.0 then 'low'
   when c_acctbal / 300 <= 21.5 then 'medium' else 'high' end as complexity
-  from customer where c_nationkey % 3 + 1 < 3)"""
+  from customer where c_mktsegment <> 'FURNITURE')"""
 _JOINED = f"(select r.*, m.* exclude (question_id) from {_RUNS} r left join {_META} m on r.question_id = m.question_id)"
 _RATE = "avg(case when decision then 1.0 else 0.0 end)"
 
