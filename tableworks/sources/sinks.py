@@ -37,8 +37,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_corpus(path: str, rows: DataFrame, headers: DataFrame) -> None:
-    """All tables of a corpus in two shared datasets, rows partitioned by table."""
-    rows.write.mode("overwrite").partitionBy("table_id").parquet(f"{path}/rows")
+    """All tables of a corpus in two shared datasets, rows partitioned by table.
+
+    Rows are ranged by table and position first: small tables share a task and get one file each,
+    a large one is cut into several.
+    """
+    rows.repartitionByRange("table_id", "pos").write.mode("overwrite").partitionBy("table_id").parquet(f"{path}/rows")
     headers.write.mode("overwrite").parquet(f"{path}/headers")
 
 
@@ -50,9 +54,11 @@ def write_report(df: DataFrame, path: str) -> None:
 def write_question_logs(records: DataFrame, path: str) -> None:
     """One folder per question with one JSON line per record of it.
 
-    Nothing is gathered per question, so a question with many records is written by many tasks.
+    Nothing is gathered per question: records are ranged by question and content, so a question with
+    many records is written by several tasks and the others get one file each.
     """
-    records.write.mode("overwrite").partitionBy("question_id").json(path)
+    spread = F.xxhash64(*as_columns(c for c in records.columns if c != "question_id"))
+    records.repartitionByRange(F.col("question_id"), spread).write.mode("overwrite").partitionBy("question_id").json(path)
 
 
 def append_records(records: DataFrame, path: str) -> None:
