@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tableworks.llm.exact_dedup import exact_duplicates
+from tableworks.llm.html_text import main_text
+from tableworks.llm.license_scan import license_scan
+from tableworks.llm.merge_dropout import dropout_digest
+from tableworks.llm.near_dedup import near_duplicates
 from tableworks.llm.packing import pack_documents
+from tableworks.llm.pii import personal_data
+from tableworks.llm.quality_model import quality_scores
+from tableworks.llm.quality_rules import quality_rules
 from tableworks.llm.token_counts import token_counts
 from tableworks.session import configure
 
@@ -14,6 +21,26 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality rules on all documents, fitted on their labels."""
+    return quality_rules(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return main_text(_read(spark, folder, "pages"))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of near copies among all documents."""
+    return near_duplicates(_read(spark, folder, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences in all documents."""
+    return license_scan(_read(spark, folder, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Exact copies among all documents."""
     return exact_duplicates(_read(spark, folder, "documents"))
@@ -24,16 +51,29 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_read(spark, folder, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality_scores(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents."""
+    return personal_data(_read(spark, folder, "documents"))
+
+
+def op9_sentencepiece_dropout(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents encoded with merge-dropout and decoded again."""
+    return dropout_digest(_read(spark, folder, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of all documents."""
     return token_counts(_read(spark, folder, "documents"))
 
 
-QUERIES = {
-    "op5_exact_dedup": op5_exact_dedup,
-    "op6_best_fit_packing": op6_best_fit_packing,
-    "op10_token_counts": op10_token_counts,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_html_extraction, op3_minhash_near_dedup, op4_license_scan, op5_exact_dedup,
+    op6_best_fit_packing, op7_quality_classifier, op8_pii, op9_sentencepiece_dropout, op10_token_counts)}
 
 SQL = {
     "op5_exact_dedup": """
