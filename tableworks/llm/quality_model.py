@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tableworks.llm.batches import arrow_schema, keyed, labelled_sample, map_texts, utf8
 
 #: Words of a passage, hash buckets and size of embeddings, hidden units, labelled documents at most, steps.
-PASSAGE, BUCKETS, SIZE, HIDDEN, TRAIN_ROWS, STEPS = 64, 4096, 8, 12, 4000, 160
+PASSAGE, BUCKETS, SIZE, HIDDEN, TRAIN_ROWS, STEPS = 64, 4096, 4, 12, 4000, 150
 #: A document is taken as good from this score on.
 LEAST_SCORE = 0.3
 
@@ -28,8 +28,9 @@ for _n, _group in enumerate(_GROUPS):
     _CLASS[list(_group)] = _n
 _CLASS[:33] = len(_GROUPS)
 _CLASSES = len(_GROUPS) + 2
-#: Plain features of a passage: byte classes, distinct words, mean word length, new words, words in capitals.
-_PLAIN = _CLASSES + 4
+#: Plain features of a passage: byte classes, distinct words, mean word length, new words, words in
+#: capitals, words said twice in a row, words (in shares of a full passage).
+_PLAIN = _CLASSES + 6
 _SHAPES = {"e": (BUCKETS, SIZE), "w": (SIZE + _PLAIN, HIDDEN), "b": (HIDDEN,), "v": (HIDDEN, HIDDEN),
            "u": (HIDDEN, HIDDEN), "a": (HIDDEN,), "o": (HIDDEN,), "c": (1,)}
 
@@ -58,9 +59,11 @@ def passages(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first[np.unique(sequence, return_index=True)[1]] = 1
     heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     capital = (_CLASS[dense[heads]] == 1) & ((_CLASS[dense[heads + sizes - 1]] == 1) | (_CLASS[dense[heads + (sizes - 1) // 2]] == 1)) & (sizes > 1)
+    twice = np.append(0.0, sequence[1:] == sequence[:-1])
     plain = np.column_stack([
         classes / size[:, None] * 3, np.bincount(pairs, minlength=len(starts)) / count, size / count / 10,
-        np.add.reduceat(first, starts) / count, np.add.reduceat(capital.astype(float), starts) / count])
+        np.add.reduceat(first, starts) / count, np.add.reduceat(capital.astype(float), starts) / count,
+        np.add.reduceat(twice, starts) / count, count / PASSAGE])
     return codes[sequence], starts, plain
 
 
@@ -140,8 +143,8 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS) -> dict | No
         for k in _SHAPES:
             g[k] = g[k] + 1e-5 * model[k]
             m[k] += 0.1 * (g[k] - m[k])
-            v[k] += 0.001 * (g[k] ** 2 - v[k])
-            model[k] -= 0.03 * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
+            v[k] += 0.02 * (g[k] ** 2 - v[k])
+            model[k] -= 0.05 * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.98 ** step)) + 1e-8)
     return model
 
 

@@ -81,7 +81,8 @@ def features(data: bytes, sequence: np.ndarray, distinct: list[bytes]):
     """Buckets of the three kinds of features of a text, one entry per occurrence."""
     codes = np.fromiter(map(zlib.crc32, distinct), np.uint64, len(distinct))[sequence] if len(sequence) else np.zeros(0, np.uint64)
     yield _bucket(codes, 0)
-    yield _bucket(codes[:-1] * np.uint64(31) + codes[1:], 1)
+    # a word said twice is the same pair whatever the word
+    yield _bucket(np.where(codes[:-1] == codes[1:], np.uint64(1), codes[:-1] * np.uint64(31) + codes[1:]), 1)
     signs = np.frombuffer(data, np.uint8).astype(np.uint64)
     if len(signs) >= 4:
         yield _bucket(signs[:-3] | signs[1:-2] << np.uint64(8) | signs[2:-1] << np.uint64(16) | signs[3:] << np.uint64(24), 2)
