@@ -216,9 +216,12 @@ def _listed(spans: Column) -> Column:
 
 def found_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_spans`` cut down to the spans that are taken."""
-    every = candidates(docs, text_col)
     model = fit(candidates(docs.select(text_col), text_col))
-    return every.withColumn("_spans", F.filter("_spans", lambda s: _selected(s, model)))
+    taken = candidates(docs, text_col).withColumn("_spans", F.filter("_spans", lambda s: _selected(s, model)))
+    base = F.filter("_spans", lambda s: s["kind"] < len(BASE))
+    # what lies inside a base span is found already
+    return taken.withColumn("_spans", F.filter("_spans", lambda s: (s["kind"] < len(BASE)) | ~F.exists(
+        base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,10 +234,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = found_spans(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     base = F.filter("_spans", lambda s: s["kind"] < len(BASE))
+
+    def count(kind: str) -> Column:
+        mine = F.filter("_spans", lambda s: s["kind"] == KINDS.index(kind))
+        return F.size(mine).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id",
-        *(F.size(F.filter("_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-          for k, name in enumerate(BASE)),
+        "doc_id", *map(count, BASE),
         F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"))
 
 
