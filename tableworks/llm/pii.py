@@ -23,7 +23,8 @@ KINDS = [*BASE, "handle", "national", "secret", "ssn"]
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # whole runs of digits with single spaces or hyphens; runs of fewer than 16 digits fail the rule anyway
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "handle": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]{1,63}"
               r"\x20?(?:\.|\(dot\)|\[dot\])\x20?[a-z]{2,24}",
@@ -92,7 +93,7 @@ def _spans(kind: str, found: Column, gaps: Column) -> Column:
         lambda acc, x: F.struct(
             (acc["at"] + x["gap"] + F.length(x["value"])).cast("long").alias("at"),
             F.concat(acc["out"], F.array(_span(kind, acc["at"] + x["gap"], x["value"], x["before"], x["after"]))
-                     ).cast(_SPANS).alias("out")),
+                     ).alias("out")),
         lambda acc: acc["out"])
 
 
@@ -107,14 +108,14 @@ _NEEDS = {
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_spans``: all candidate spans of the text by kind, then start."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.withColumn("_found", F.struct(*(
-        F.when(_NEEDS[k](text), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).alias(k) for k in KINDS)))
-    some = lambda k: F.size(F.col(f"_found.{k}")) > 0
-    df = df.withColumn("_gaps", F.struct(*(F.when(some(k), F.split(text, PATTERNS[k], -1)).alias(k) for k in KINDS)))
+    some = lambda k: F.size(f"_found_{k}") > 0
+    # columns of their own: each pattern runs once for a text, whatever is read from its matches
+    df = docs.withColumns({f"_found_{k}": F.when(
+        _NEEDS[k](text), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))) for k in KINDS})
+    df = df.withColumns({f"_gaps_{k}": F.when(some(k), F.split(text, PATTERNS[k], -1)) for k in KINDS})
     none = F.array().cast(_SPANS)
-    return df.withColumn("_spans", F.concat(*(
-        F.when(some(k), _spans(k, F.col(f"_found.{k}"), F.col(f"_gaps.{k}"))).otherwise(none) for k in KINDS
-    ))).drop("_found", "_gaps")
+    spans = F.concat(*(F.when(some(k), _spans(k, F.col(f"_found_{k}"), F.col(f"_gaps_{k}"))).otherwise(none) for k in KINDS))
+    return df.select(*docs.columns, spans.alias("_spans"))
 
 
 @dataclass
@@ -182,7 +183,9 @@ def fit(spans: DataFrame) -> Model:
     """The model of all candidates of all documents; ``spans`` as ``candidates`` gives it."""
     one = F.col("span")
     table = (
-        spans.select((F.pmod(F.xxhash64("_spans"), F.lit(FOLDS)) == 0).alias("held"), F.explode("_spans").alias("span"))
+        # the fold is settled before the spans become rows, so no row carries the whole list
+        spans.select((F.pmod(F.xxhash64("_spans"), F.lit(FOLDS)) == 0).alias("held"), "_spans")
+        .select("held", F.explode("_spans").alias("span"))
         .select("held", *(one[f].alias(f) for f in FEATURES), _label(one).alias("label"))
         .groupBy("held", *FEATURES, "label").agg(F.count("*").alias("n"))
     )
@@ -199,13 +202,12 @@ def _tree_column(tree, span: Column) -> Column:
         _tree_column(tree[3], span))
 
 
-def _selected(span: Column, model: Model) -> Column:
-    """True for base spans and for other spans whose score reaches the threshold of their kind."""
+def _reached(span: Column, model: Model) -> Column:
+    """True where the score of a span reaches the threshold of its kind."""
     score = F.lit(0.0)
     for tree in model.trees:
         score = score + F.lit(RATE) * _tree_column(tree, span)
-    limit = F.element_at(F.array(*(F.lit(t) for t in model.thresholds)), span["kind"] + 1)
-    return F.when(span["kind"] < len(BASE), span["check"] == 1).otherwise(score >= limit)
+    return score >= F.element_at(F.array(*(F.lit(t) for t in model.thresholds)), span["kind"] + 1)
 
 
 def _listed(spans: Column) -> Column:
@@ -215,13 +217,15 @@ def _listed(spans: Column) -> Column:
 
 
 def found_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_spans`` cut down to the spans that are taken."""
+    """``docs`` with ``_base``, the base spans, and ``_spans``, these and the others that are taken."""
     model = fit(candidates(docs.select(text_col), text_col))
-    taken = candidates(docs, text_col).withColumn("_spans", F.filter("_spans", lambda s: _selected(s, model)))
-    base = F.filter("_spans", lambda s: s["kind"] < len(BASE))
+    parted = candidates(docs, text_col).withColumns({
+        "_base": F.filter("_spans", lambda s: (s["kind"] < len(BASE)) & (s["check"] == 1)),
+        "_more": F.filter("_spans", lambda s: s["kind"] >= len(BASE))})
     # what lies inside a base span is found already
-    return taken.withColumn("_spans", F.filter("_spans", lambda s: (s["kind"] < len(BASE)) | ~F.exists(
-        base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))))
+    inside = lambda s: F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    more = F.filter("_more", lambda s: _reached(s, model) & ~inside(s))
+    return parted.withColumn("_spans", F.concat("_base", more)).drop("_more")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,15 +237,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = found_spans(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    base = F.filter("_spans", lambda s: s["kind"] < len(BASE))
 
     def count(kind: str) -> Column:
-        mine = F.filter("_spans", lambda s: s["kind"] == KINDS.index(kind))
+        mine = F.filter("_base", lambda s: s["kind"] == KINDS.index(kind))
         return F.size(mine).cast("long").alias(f"n_{kind}")
 
     return found.select(
         "doc_id", *map(count, BASE),
-        F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"))
+        F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
