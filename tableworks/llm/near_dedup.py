@@ -1,10 +1,11 @@
 """Near duplicates: Order MinHash buckets, a parity filter, banded alignment, connected classes.
 
-Equal word sequences are one node from the start. In every bucket of the sketch each node is first
-compared with one leader; a bucket whose nodes then belong to one class is done, however large it is.
-What is left is compared across classes inside its bucket, behind two exact bounds that the join
-evaluates itself: lengths, and the parities of the k-mers (differing bits never outnumber differing
-k-mers). Pairs that pass are aligned.
+Equal word sequences are one node from the start. In every bucket of the sketch whose nodes are not yet in
+one class, a leader drawn by hash is compared with the nodes of other classes; classes that are linked
+become one, and this is repeated a few times with other leaders. That joins large groups of copies in work
+linear in their size. What is still apart is compared across classes inside its bucket, behind two exact
+bounds that the join evaluates itself: lengths, and the parities of the k-mers (differing bits never
+outnumber differing k-mers). Pairs that pass are aligned.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from tableworks.llm.batches import map_texts, strings
 from tableworks.operators.fuzzy import components
 from tableworks.session import pin, scratch_path
 
-#: 64-bit words of the parity signature.
-_SIGNATURE = 8
+#: 64-bit words of the parity signature; rounds of leaders before classes are compared with each other.
+_SIGNATURE, ROUNDS = 8, 4
 _INFO = ["n", *(f"s{i}" for i in range(_SIGNATURE))]
 
 
@@ -62,29 +63,41 @@ def _possible(a: str, b: str):
     return (F.abs(F.col(f"{a}_n") - F.col(f"{b}_n")) <= band) & (differ <= band)
 
 
-def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose alignment reaches the similarity, as ``(src, dst)``; written once."""
+def _linked(pairs: DataFrame, info: DataFrame, codes: DataFrame) -> DataFrame:
+    """The classes ``(src, dst)`` of the pairs ``(a, b, a_class, b_class)`` whose alignment reaches the
+    similarity, each once."""
 
     def check(batch):
         src, dst = [], []
-        for a, b, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))):
+        for a, b, left, right in zip(*(batch.column(c).to_pylist() for c in ("a_class", "b_class", "left", "right"))):
             one, two = (omh.kmers(np.frombuffer(x, np.uint32)) for x in (left, right))
             if omh.aligned(one, two) >= omh.SIMILAR:
                 src.append(a)
                 dst.append(b)
         return {"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())}
 
+    possible = pairs.join(_info(info, "a"), "a").join(_info(info, "b"), "b").filter(_possible("a", "b")).select(
+        "a", "b", "a_class", "b_class")
     with_codes = (
-        pairs.join(codes.select(F.col("row").alias("a"), F.col("codes").alias("left")), "a")
+        possible.join(codes.select(F.col("row").alias("a"), F.col("codes").alias("left")), "a")
         .join(codes.select(F.col("row").alias("b"), F.col("codes").alias("right")), "b")
     )
-    return pin(map_texts(with_codes.select("a", "b", "left", "right"), check, "src long, dst long"))
+    found = map_texts(with_codes.select("a_class", "b_class", "left", "right"), check, "src long, dst long")
+    return pin(found.distinct())
 
 
-def _classes(edges: DataFrame) -> DataFrame:
-    """``(node, class)`` of the nodes that have a link."""
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    return components(edges, nodes).select(F.col("id").alias("node"), F.col("component").alias("class"))
+def _joined(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """``placed`` with the classes that the edges connect made one."""
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    moved = components(edges, ends).select(F.col("id").alias("class"), "component")
+    return pin(placed.join(moved, "class", "left").select(
+        "key", "node", F.coalesce("component", "class").alias("class")))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one class."""
+    keys = placed.groupBy("key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).filter("_lo <> _hi")
+    return placed.join(keys.select("key"), "key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,25 +122,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = pin(worded.groupBy("same").agg(F.min("row").alias("node")))
     nodes = worded.select("row", *_INFO, "keys").join(first.select("node"), F.col("row") == F.col("node"))
     buckets = nodes.select("node", F.explode("keys").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("_n")).filter("_n > 1")
-    shared = pin(buckets.join(leaders.select("key", "leader"), "key"))
-    info = rows.select(F.col("row").alias("node"), *_INFO)
-    near = (
-        shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        .join(_info(info, "a"), "a").join(_info(info, "b"), "b").filter(_possible("a", "b")).select("a", "b")
-    )
-    codes = rows.select("row", "codes")
-    edges = _verified(near, codes)
-    placed = shared.join(_classes(edges), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = placed.groupBy("key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).filter("_lo <> _hi")
-    # the leader has met every node of its bucket already
-    left = pin(placed.filter("node <> leader").join(mixed.select("key"), "key").join(info, "node"))
-    one = left.select("key", F.col("class").alias("a_class"), *(F.col(c).alias(f"a_{c}") for c in _INFO), F.col("node").alias("a"))
-    two = left.select("key", F.col("class").alias("b_class"), *(F.col(c).alias(f"b_{c}") for c in _INFO), F.col("node").alias("b"))
-    across = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (
-        F.col("a_class") != F.col("b_class")) & _possible("a", "b")).select("a", "b").distinct()
-    edges = pin(edges.union(_verified(across, codes)))
-    linked = first.join(_classes(edges), "node", "left").select("same", F.coalesce("class", "node").alias("class"))
+    counts = buckets.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    placed = pin(buckets.join(counts.select("key"), "key").withColumn("class", F.col("node")))
+    info, codes = rows.select(F.col("row").alias("node"), *_INFO), rows.select("row", "codes")
+    for number in range(ROUNDS):
+        mixed = _mixed(placed)
+        leaders = mixed.groupBy("key").agg(F.min(F.struct(
+            F.xxhash64("node", F.lit(number)).alias("_hash"), F.col("node").alias("a"), F.col("class").alias("a_class"))).alias("_l"))
+        pairs = mixed.join(leaders.select("key", "_l.a", "_l.a_class"), "key").filter("class <> a_class").select(
+            "a", F.col("node").alias("b"), "a_class", F.col("class").alias("b_class")).distinct()
+        edges = _linked(pairs, info, codes)
+        if edges.isEmpty():
+            break
+        placed = _joined(placed, edges)
+    keys = nodes.select("node", "keys")
+    left = pin(_mixed(placed).join(info, "node").join(keys, "node"))
+    one, two = (left.select(F.col("key").alias(f"{x}_key"), F.col("class").alias(f"{x}_class"), F.col("keys").alias(f"{x}_keys"),
+                            *(F.col(c).alias(f"{x}_{c}") for c in _INFO), F.col("node").alias(x)) for x in ("a", "b"))
+    # a pair that shares several buckets comes out of the first of them only
+    first_shared = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key")
+    across = one.join(two, (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (
+        F.col("a_class") != F.col("b_class")) & _possible("a", "b") & first_shared).select("a", "b", "a_class", "b_class")
+    placed = _joined(placed, _linked(across, info, codes))
+    linked = first.join(placed.select("node", "class").distinct(), "node", "left").select(
+        "same", F.coalesce("class", "node").alias("class"))
     last = F.lit(2 ** 63 - 1)
     sequences = worded.groupBy("same").agg(
         F.count("*").alias("size"), F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "row", "doc_id")).alias("best"))
