@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from tableworks.llm.batches import keyed, map_texts, strings
 from tableworks.llm.words import tokenizer_path
 
-#: Variants of a unit, units remembered of each variant, and the longest one.
-VARIANTS, MEMO, LONGEST = 8, 80_000, 40
+#: Variants of a unit, units remembered of each variant before the older half goes, and the longest one.
+VARIANTS, MEMO, LONGEST = 4, 120_000, 40
 
 _MARK = "▁"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -41,7 +41,8 @@ class DropoutCoder:
         self.bytes = {int(own.id_to_piece(i)[3:5], 16): i for i in range(size) if own.is_byte(i)}
         plain = [i for i in range(size) if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i) or own.is_unused(i))]
         self.ids = {own.id_to_piece(i): i for i in plain}
-        self.scores = {own.id_to_piece(i): own.get_score(i) for i in plain}
+        # smaller is better, as the agenda pops its smallest entry first
+        self.rank = {own.id_to_piece(i): -own.get_score(i) for i in plain}
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         if any(_MARK in p.lstrip(_MARK) for p in self.ids):
             raise ValueError("a piece goes on after a space")
@@ -52,36 +53,43 @@ class DropoutCoder:
             i: bytes([b]) for b, i in self.bytes.items()}
         self._marks = [self.bytes[b] for b in _MARK.encode()]
         self._memo: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self._older: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
 
     def _skipped(self, variant: int, at: int, piece: str) -> bool:
         return self.limit > 0 and xxhash.xxh32_intdigest(f"{at}:{piece}", self.seed * VARIANTS + variant) < self.limit
 
     def segment(self, unit: str, variant: int) -> list[str]:
         """Pieces of a unit."""
-        pieces, scores = list(unit), self.scores
+        pieces, rank = list(unit), self.rank
         n = len(pieces)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j < n and (score := scores.get(pieces[i] + pieces[j])) is not None:
-                heapq.heappush(agenda, (-score, i, j, pieces[i] + pieces[j]))
-
+        agenda = []
         for i in range(n - 1):
-            offer(i, i + 1)
+            both = unit[i:i + 2]
+            if both in rank:
+                agenda.append((rank[both], i, i + 1, both))
+        if not agenda:
+            return pieces
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heapq.heapify(agenda)
         while agenda:
             _, i, j, both = heapq.heappop(agenda)
             # one of the two was merged meanwhile
-            if not pieces[i] or not pieces[j] or after[i] != j or pieces[i] + pieces[j] != both:
+            if after[i] != j or not pieces[i] or pieces[i] + pieces[j] != both:
                 continue
-            if self._skipped(variant, i, both):
+            if self.limit and self._skipped(variant, i, both):
                 continue
-            pieces[i], pieces[j] = both, ""
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(before[i], i)
-            offer(i, after[i])
+            end = after[j]
+            pieces[i], pieces[j], after[i] = both, "", end
+            if end < n:
+                before[end] = i
+                new = both + pieces[end]
+                if new in rank:
+                    heapq.heappush(agenda, (rank[new], i, end, new))
+            start = before[i]
+            if start >= 0:
+                new = pieces[start] + both
+                if new in rank:
+                    heapq.heappush(agenda, (rank[new], start, i, new))
         return [p for p in pieces if p]
 
     def _unit(self, unit: str, variant: int) -> bytes:
@@ -91,6 +99,15 @@ class DropoutCoder:
             out += [known] if known is not None else [self.bytes[b] for b in piece.encode()]
         return np.array(out, "<u4").tobytes()
 
+    def _remembered(self, unit: str, variant: int) -> bytes:
+        """Ids of a unit that is not among the younger ones; units in use stay young."""
+        ids = self._older[variant].get(unit) or self._unit(unit, variant)
+        if len(unit) <= LONGEST:
+            if len(self._memo[variant]) >= MEMO:
+                self._older[variant], self._memo[variant] = self._memo[variant], {}
+            self._memo[variant][unit] = ids
+        return ids
+
     def encode(self, text: str, key: int) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes; ``key`` stands for the document."""
         if not text:
@@ -104,15 +121,8 @@ class DropoutCoder:
             variants = ((np.arange(len(units), dtype=np.uint64) + start) * _MIX >> np.uint64(32)) % np.uint64(VARIANTS)
             place += len(units)
             for unit, variant in zip(units, variants.tolist()):
-                memo = self._memo[variant]
-                ids = memo.get(unit)
-                if ids is None:
-                    ids = self._unit(unit, variant)
-                    if len(unit) <= LONGEST:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[unit] = ids
-                out.append(ids)
+                ids = self._memo[variant].get(unit)
+                out.append(self._remembered(unit, variant) if ids is None else ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
