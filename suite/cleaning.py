@@ -23,6 +23,9 @@ _DIRTY = [
     ("Unnamed: 7", "p_name"),
 ]
 
+# The caps are asked for; without them every row is kept.
+CAPPED = cleaning.Policy(max_rows=1000, max_entities=300)
+
 
 def _dirty(spark, folder):
     df = read(spark, folder, "part")
@@ -89,7 +92,7 @@ def clean_entity_cap_idle(spark, folder):
 
 
 def clean_table(spark, folder):
-    return cleaning.clean(_dirty(spark, folder), ["_pos"]).table
+    return cleaning.clean(_dirty(spark, folder), ["_pos"], CAPPED).table
 
 
 def _report(df):
@@ -97,7 +100,7 @@ def _report(df):
 
 
 def clean_report(spark, folder):
-    return _report(cleaning.clean(_dirty(spark, folder), ["_pos"], name="part").report)
+    return _report(cleaning.clean(_dirty(spark, folder), ["_pos"], CAPPED, "part").report)
 
 
 def clean_table_uncapped(spark, folder):
@@ -108,7 +111,7 @@ def clean_table_uncapped(spark, folder):
 
 
 def clean_report_median(spark, folder):
-    policy = cleaning.Policy(numeric="median", categorical="mode")
+    policy = cleaning.Policy(numeric="median", categorical="mode", max_rows=1000, max_entities=300)
     return _report(cleaning.clean(_dirty(spark, folder), ["_pos"], policy, "part").report)
 
 
@@ -154,18 +157,18 @@ def _corpus(spark, folder):
 
 def clean_corpus_report(spark, folder):
     """One verdict and summary per table of the corpus."""
-    return _report(cleaning.clean_corpus(*_corpus(spark, folder)).report)
+    return _report(cleaning.clean_corpus(*_corpus(spark, folder), CAPPED).report)
 
 
 def clean_corpus_rows(spark, folder):
     """Cleaned rows of all tables that passed."""
-    cleaned = cleaning.clean_corpus(*_corpus(spark, folder)).rows
+    cleaned = cleaning.clean_corpus(*_corpus(spark, folder), CAPPED).rows
     return cleaned.select("table_id", "pos",
                           F.array_join("cells", "|", "-").alias("cells"))
 
 
 def clean_corpus_headers(spark, folder):
-    cleaned = cleaning.clean_corpus(*_corpus(spark, folder)).headers
+    cleaned = cleaning.clean_corpus(*_corpus(spark, folder), CAPPED).headers
     return cleaned.select("table_id", F.array_join("columns", "|").alias("columns"))
 
 

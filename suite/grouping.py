@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from suite import read
 from tableworks.functions.columns import col
-from tableworks.functions.similarity import block_ratio, edit_ratio
+from tableworks.functions.similarity import edit_ratio
 from tableworks.functions.text import clean_group_name
 from tableworks.operators import fuzzy
 from tableworks.plans import grouping
@@ -26,12 +26,6 @@ def edit_ratios(spark, folder):
                      F.round(edit_ratio(F.lower("p_brand"), col("p_name")), 6).alias("by_brand"))
 
 
-def block_ratios(spark, folder):
-    """Matching-block ratio of neighbours in the list of names, 1 for equal names."""
-    df = read(spark, folder, "part").select("p_name").distinct()
-    return df.select("p_name", F.round(block_ratio(col("p_name"), F.reverse("p_name")), 6).alias("ratio"))
-
-
 # Proposed spellings of part names: exact, upper case, a part of it, longer, one letter off, far off.
 _SPELLED = """case when p_size < 8 then p_name when p_size < 16 then concat(' ', upper(p_name), ' ')
   when p_size < 24 then split_part(p_name, ' ', 2) when p_size < 32 then concat('all ', p_name, 's here')
@@ -132,7 +126,7 @@ def topic_index(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in [
-    clean_group_names, edit_ratios, block_ratios, match_titles, match_page_titles, assign_titles,
+    clean_group_names, edit_ratios, match_titles, match_page_titles, assign_titles,
     name_edges, overlap_edges, merge_groups, drop_single_groups, grouped_index, topic_index,
 ]}
 

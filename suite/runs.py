@@ -443,7 +443,7 @@ SQL = {
         from b, range(0, 30) g(bin) left join c on c.bin = g.bin where g.bin < n""",
     "runs_with_metadata": f"select question_id, o_orderkey, run_index, {', '.join(runs.DIMENSIONS)} from {_JOINED}",
     "by_dimension": f"""select dimension, value, count(*) as count, round({_RATE}, 6) as success_rate,
-        round(avg(time_s), 6) as mean_time, round(median(time_s), 6) as median_time,
+        round(avg(cast(time_s as decimal(18,6))), 6) as mean_time, round(median(time_s), 6) as median_time,
         round(stddev_samp(time_s), 6) as std_time, round(min(time_s), 6) as min_time,
         round(max(time_s), 6) as max_time from {_long('time_s, decision')} group by 1, 2""",
     "errors_by_dimension": f"""select dimension, value, error_code, count(*) as count
@@ -460,7 +460,7 @@ SQL = {
         on c.question_id = r.question_id || '/' || r.o_orderkey""",
     "status_success": f"""select 'all' as source_dir, count(*) as count,
           round(avg(case when status = 'SUCCESS' then 1.0 else 0.0 end), 4) as success_rate
-          from {_RUNS} where status is not null
+          from {_RUNS}
         union all select source_dir, count(*), round(avg(case when status = 'SUCCESS' then 1.0 else 0.0 end), 4)
           from {_RUNS} group by 1""",
     "top_errors": f"""select error_code, count(*) as count from {_RUNS} where error_code is not null

@@ -86,7 +86,7 @@ def _datasets(spark, folder):
 
 def scan_datasets(spark, folder):
     """Folders with a manifest and a CSV file; the one without a manifest is left out."""
-    return readers.scan_datasets(spark, _datasets(spark, folder)).select("dataset")
+    return readers.scan_datasets(spark, _datasets(spark, folder), max_mb=50).select("dataset")
 
 
 def check_structure(spark, folder):

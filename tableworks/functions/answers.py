@@ -45,8 +45,8 @@ _STARRED_PLAN = r"(?s)\*\*PLAN\*\*\s*\n(?:PLAN\s*\n)?(.*?)\n(?:\*\*END\*\*|END P
 _HEADED_PLAN = r"(?s)##\s+PLAN\s*\n(?:PLAN\s*\n)?(.*?)\nEND PLAN"
 _PLAN = r"(?s)PLAN\n(.*?)\nEND PLAN"
 _PLAN_OPEN = r"(?s)(?:^|\n)PLAN\s+(.+)$"
-_END_MARK = r"(?:^|\n)[ \t]*(?:\*\*END\*\*|##[ \t]+END|END)[ \t]*(?=\n|$)"
-_END = r"(?s)(?:^|\n)[ \t]*(?:\*\*END\*\*|##[ \t]+END|END)[ \t]*(?:\n(.*?))?(?:\n[ \t]*(?:\*\*END\*\*|END)[ \t]*(?:\n|$)|$)"
+_END_MARK = r"(?i)(?:^|\n)[ \t]*(?:\*\*END\*\*|##[ \t]+END|END)[ \t]*(?=\n|$)"
+_END = r"(?is)(?:^|\n)[ \t]*(?:\*\*END\*\*|##[ \t]+END|END)[ \t]*(?:\n(.*?))?(?:\n[ \t]*(?:\*\*END\*\*|END)[ \t]*(?:\n|$)|$)"
 _END_LINE = r"(?:^|\n)[ \t]*(?:\*\*END\*\*|##[ \t]+END|END)[ \t]+([^\n]+)"
 
 

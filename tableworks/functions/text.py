@@ -12,7 +12,7 @@ MISSING_TOKENS = [
 ]
 
 _NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
-_INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+_INTEGER = r"^\s*[+-]?\d+\s*$"
 
 
 def squeeze(text: Column) -> Column:
@@ -35,6 +35,7 @@ def number_of(text: Column) -> Column:
 
 
 def integer_of(text: Column) -> Column:
+    """Text as 64-bit integer, NULL where it is none or does not fit."""
     likely = F.ascii(text).between(9, 57)
     return F.when(likely & text.rlike(_INTEGER), text.try_cast("long"))
 

@@ -38,8 +38,8 @@ class Policy:
     min_numeric_columns: int = 1
     min_completeness: float = 0.3
     min_entity_share: float = 0.5
-    max_rows: int | None = 1000
-    max_entities: int | None = 300
+    max_rows: int | None = None
+    max_entities: int | None = None
     remove_duplicates: bool = True
     standard_names: bool = True
 
@@ -348,7 +348,7 @@ def corpus_decisions(rows: DataFrame, headers: DataFrame, policy: Policy) -> Dat
         F.when((col("integers") == col("present")) & (col("present") == col("n")), "int")
         .when(col("numbers") == col("present"), "float")
         .when(~col("column_name").isin(IDENTIFIERS)
-              & (col("money") / col("kept") > policy.numeric_share), "money")
+              & (F.try_divide(col("money").cast("double"), col("kept")) > policy.numeric_share), "money")
         .otherwise("text")
     )
     good = (col("present") > 0) & ~col("column_name").startswith("Unnamed")

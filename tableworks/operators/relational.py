@@ -211,12 +211,12 @@ def join(
 
 def semi(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``left`` whose key exists in ``right``."""
-    return left.join(right.select(*as_columns(on)), on, "left_semi")
+    return left.join(right.select(*as_columns(on)).distinct(), on, "left_semi")
 
 
 def anti(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``left`` whose key does not exist in ``right``."""
-    return left.join(right.select(*as_columns(on)), on, "left_anti")
+    return left.join(right.select(*as_columns(on)).distinct(), on, "left_anti")
 
 
 def group_aggregate(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableworks.functions.columns import as_columns, col, is_numeric, is_string, require
@@ -33,19 +33,23 @@ def result_values(results: DataFrame, key: list[str], columns: list[str]) -> Dat
     return results.select(*as_columns(key), F.explode(F.array_compact(cells)).alias("value")).distinct()
 
 
-def list_answers(values: DataFrame, key: list[str], max_values: int = 10_000) -> DataFrame:
+def _within(number: Column, most: int | None) -> Column:
+    return F.lit(True) if most is None else number <= most
+
+
+def list_answers(values: DataFrame, key: list[str], max_values: int | None = None) -> DataFrame:
     """Values of each question joined in order by ", ", with their number.
 
-    A list longer than ``max_values`` is not built as one text (the answer is NULL); its values
-    stay available from :func:`result_values`, and :func:`same_lists` compares lists of any length.
+    ``max_values`` may be given to leave the text of longer lists NULL; the values of a list stay
+    available as rows from :func:`result_values`, and :func:`same_lists` compares lists of any length.
     """
     numbered = ordered.positions(values, ["value"], by=key, out="_at")
     gathered = numbered.groupBy(*as_columns(key)).agg(
         F.max("_at").alias("n_values"),
-        F.collect_list(F.when(col("_at") <= max_values, F.struct("_at", "value"))).alias("_v"))
+        F.collect_list(F.when(_within(col("_at"), max_values), F.struct("_at", "value"))).alias("_v"))
     text = F.array_join(F.transform(F.array_sort("_v"), lambda v: v["value"]), ", ")
     return gathered.select(
-        *as_columns(key), "n_values", F.when(col("n_values") <= max_values, text).alias("answer"))
+        *as_columns(key), "n_values", F.when(_within(col("n_values"), max_values), text).alias("answer"))
 
 
 def same_lists(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

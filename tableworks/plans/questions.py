@@ -24,6 +24,10 @@ def select_subset(questions: DataFrame, mode: str, subset: str = "subset") -> Da
     return questions.filter(col(subset).isin(_MODES[mode]))
 
 
+#: Ids of a range that are made at a time.
+_BLOCK = 10_000
+
+
 def expand_ids(specs: DataFrame, list_id: str, spec: str, order: str) -> DataFrame:
     """Id lists like ``1``, ``2-3``, ``7-5`` or ``8,9`` as ``(list, rank, id)``, first mention kept.
 
@@ -40,10 +44,18 @@ def expand_ids(specs: DataFrame, list_id: str, spec: str, order: str) -> DataFra
     right = F.when(dash > 0, F.substring(token, dash + 1, F.char_length(token))).otherwise(token)
     ends = tokens.filter(left.rlike(number) & right.rlike(number)).select(
         col(list_id), "_order", "_token_at",
-        left.cast("long").alias("_a"), right.cast("long").alias("_b"))
-    ids = ends.select(
-        col(list_id), "_order", "_token_at",
-        F.posexplode(F.sequence(F.least("_a", "_b"), F.greatest("_a", "_b"))).alias("_at", "id"))
+        left.try_cast("long").alias("_a"), right.try_cast("long").alias("_b")).filter(
+        "_a is not null and _b is not null")
+    # a wide range becomes blocks first, so no array grows with it
+    low, high = F.least("_a", "_b"), F.greatest("_a", "_b")
+    blocks = ends.select(
+        col(list_id), "_order", "_token_at", low.alias("_low"), high.alias("_high"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((high - low) / _BLOCK).cast("long"))).alias("_block"))
+    start = col("_low") + col("_block") * _BLOCK
+    ids = blocks.select(
+        col(list_id), "_order", "_token_at", "_low",
+        F.explode(F.sequence(start, F.least(start + (_BLOCK - 1), col("_high")))).alias("id"))
+    ids = ids.withColumn("_at", col("id") - col("_low"))
     first = ids.groupBy(col(list_id), "id").agg(F.min(F.struct("_order", "_token_at", "_at")).alias("_first"))
     return ordered.positions(first, ["_first", "id"], by=[list_id], out="rank").drop("_first")
 

@@ -26,16 +26,20 @@ def _is_round(step: Column) -> Column:
     return (content != "") & ~content.startswith("System:") & ~content.startswith("User:")
 
 
+def _length(values: Column) -> Column:
+    return F.when(values.isNotNull(), F.size(values)).otherwise(0)
+
+
 def flatten(records: DataFrame) -> DataFrame:
     """One row per run: run index, number of runs, decision, times, final step, rounds, errors.
 
     The features come from the step arrays of the row itself, so nothing is shuffled. Columns of
-    the record other than ``runs`` are kept.
+    the record other than ``runs`` are kept. A record without runs is one row without index or answer.
     """
     kept = [c for c in records.columns if c != "runs"]
     exploded = records.select(
-        *as_columns(kept), F.size("runs").alias("total_runs"),
-        F.posexplode("runs").alias("run_index", "_run"))
+        *as_columns(kept), F.greatest(F.coalesce(F.size("runs"), F.lit(0)), F.lit(0)).alias("total_runs"),
+        F.posexplode_outer("runs").alias("run_index", "_run"))
     run = col("_run")
     last = F.when(F.size(run["steps"]) > 0, F.element_at(run["steps"], -1))
     failed = F.filter(run["steps"], lambda s: s["status"] == "FAILED")
@@ -46,8 +50,8 @@ def flatten(records: DataFrame) -> DataFrame:
         run["llm_valid"]["time_s"].alias("time_s"), run["error"].alias("error"),
         F.when(last.isNotNull(), F.coalesce(last["status"], F.lit(UNKNOWN))).alias("status"),
         last["error"].alias("error_code"),
-        F.size(F.filter(run["steps"], _is_round)).alias("rounds"),
-        F.size(failed).alias("failed_steps"),
+        _length(F.filter(run["steps"], _is_round)).alias("rounds"),
+        _length(failed).alias("failed_steps"),
     )
 
 
@@ -151,7 +155,9 @@ def by_dimension(runs: DataFrame, dimensions: list[str] | None = None) -> DataFr
     keys = ["dimension", "value"]
     basics = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"), stats.rate(col("decision")).alias("success_rate"),
-        F.avg("time").alias("mean_time"), F.stddev_samp("time").alias("std_time"),
+        # exact to the microsecond, so that the order of the rows does not matter
+        F.avg(col("time").cast("decimal(18,6)")).cast("double").alias("mean_time"),
+        F.stddev_samp("time").alias("std_time"),
         F.min("time").alias("min_time"), F.max("time").alias("max_time"))
     medians = ordered.quantiles(long, keys, "time", {"median_time": 0.5})
     return stats.attach(basics, medians, keys)
@@ -209,9 +215,8 @@ def consistency_detail(runs: DataFrame) -> DataFrame:
 
 
 def status_success(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Success rate by final status, overall or per group."""
-    return stats.rate_by(runs.filter(col("status").isNotNull()) if not by else runs, by or [],
-                         col("status") == "SUCCESS")
+    """Share of all runs whose final status is SUCCESS, overall or per group; no status is no success."""
+    return stats.rate_by(runs, by or [], F.coalesce(col("status") == "SUCCESS", F.lit(False)))
 
 
 def top_errors(runs: DataFrame, n: int = 5) -> DataFrame:

@@ -98,14 +98,15 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     ).filter("folder <> ''")
 
 
-def scan_datasets(spark: SparkSession, root: str, max_mb: float = 50) -> DataFrame:
+def scan_datasets(spark: SparkSession, root: str, max_mb: float | None = None) -> DataFrame:
     """Folders with a manifest, at least one CSV file and a total size within the limit, by name."""
     return _files(spark, root).groupBy("folder").agg(
         F.sum("size").alias("bytes"),
         F.bool_or(F.col("item").endswith(".csv")).alias("has_csv"),
         F.bool_or(F.col("item") == "datapackage.json").alias("has_manifest"),
     ).filter(
-        F.col("has_csv") & F.col("has_manifest") & (F.col("bytes") / (1024 * 1024) <= max_mb)
+        F.col("has_csv") & F.col("has_manifest")
+        & (F.lit(True) if max_mb is None else F.col("bytes") / (1024 * 1024) <= max_mb)
     ).select(F.col("folder").alias("dataset"), "bytes").orderBy("dataset")
 
 
@@ -208,7 +209,7 @@ def check_structure(spark: SparkSession, root: str, min_columns: int = 3) -> Dat
     tables = headers.join(first, "table_id", "left").select(
         F.col("table_id").alias("dataset"), F.size("columns").alias("n_columns"), "too_wide")
     known = manifests(spark, root).select("dataset", F.lit(True).alias("manifest"))
-    every = scan_datasets(spark, root, max_mb=float("inf")).select("dataset")
+    every = scan_datasets(spark, root).select("dataset")
     reason = (
         F.when(F.col("manifest").isNull(), "manifest is not an object")
         .when(F.col("n_columns").isNull(), "no readable table")
