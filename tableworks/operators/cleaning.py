@@ -193,6 +193,8 @@ def clean(df: DataFrame, order: list[str], policy: Policy = Policy(), name: str
         reason = "too many missing values"
     elif facts["kept"] < policy.rows_after_missing:
         reason = "too few rows after missing values"
+    elif policy.standard_names and len({" ".join(c.split()) for c in columns}) < len(columns):
+        reason = "column names clash"
     if reason:
         return Cleaned(None, _summary(df, data, None, [], policy, name, reason))
 
