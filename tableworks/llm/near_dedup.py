@@ -23,7 +23,7 @@ from tableworks.operators.fuzzy import components
 from tableworks.session import pin, scratch_path
 
 #: 64-bit words of the parity signature; rounds of leaders before classes are compared with each other.
-_SIGNATURE, ROUNDS = 8, 4
+_SIGNATURE, ROUNDS = 8, 3
 _INFO = ["n", *(f"s{i}" for i in range(_SIGNATURE))]
 
 
@@ -86,12 +86,16 @@ def _linked(pairs: DataFrame, info: DataFrame, codes: DataFrame) -> DataFrame:
     return pin(found.distinct())
 
 
-def _joined(placed: DataFrame, edges: DataFrame) -> DataFrame:
-    """``placed`` with the classes that the edges connect made one."""
+def _hooked(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """``placed`` with each class under the smallest class it is linked to."""
+    under = edges.groupBy(F.greatest("src", "dst").alias("class")).agg(F.min(F.least("src", "dst")).alias("_under"))
+    return pin(placed.join(under, "class", "left").select("key", "node", F.coalesce("_under", "class").alias("class")))
+
+
+def _closed(edges: DataFrame) -> DataFrame:
+    """``(node, class)`` of the nodes that the edges connect."""
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    moved = components(edges, ends).select(F.col("id").alias("class"), "component")
-    return pin(placed.join(moved, "class", "left").select(
-        "key", "node", F.coalesce("component", "class").alias("class")))
+    return components(edges, ends).select(F.col("id").alias("node"), F.col("component").alias("class"))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -125,6 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = buckets.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
     placed = pin(buckets.join(counts.select("key"), "key").withColumn("class", F.col("node")))
     info, codes = rows.select(F.col("row").alias("node"), *_INFO), rows.select("row", "codes")
+    links = None
     for number in range(ROUNDS):
         mixed = _mixed(placed)
         leaders = mixed.groupBy("key").agg(F.min(F.struct(
@@ -132,9 +137,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = mixed.join(leaders.select("key", "_l.a", "_l.a_class"), "key").filter("class <> a_class").select(
             "a", F.col("node").alias("b"), "a_class", F.col("class").alias("b_class")).distinct()
         edges = _linked(pairs, info, codes)
-        if edges.isEmpty():
-            break
-        placed = _joined(placed, edges)
+        links = edges if links is None else links.union(edges)
+        placed = _hooked(placed, edges)
+    # classes are named by nodes, so the links of all rounds close over nodes
+    links = pin(links.distinct())
+    placed = placed.drop("class").join(_closed(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
     keys = nodes.select("node", "keys")
     left = pin(_mixed(placed).join(info, "node").join(keys, "node"))
     one, two = (left.select(F.col("key").alias(f"{x}_key"), F.col("class").alias(f"{x}_class"), F.col("keys").alias(f"{x}_keys"),
@@ -143,8 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first_shared = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key")
     across = one.join(two, (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (
         F.col("a_class") != F.col("b_class")) & _possible("a", "b") & first_shared).select("a", "b", "a_class", "b_class")
-    placed = _joined(placed, _linked(across, info, codes))
-    linked = first.join(placed.select("node", "class").distinct(), "node", "left").select(
+    linked = first.join(_closed(links.union(_linked(across, info, codes))), "node", "left").select(
         "same", F.coalesce("class", "node").alias("class"))
     last = F.lit(2 ** 63 - 1)
     sequences = worded.groupBy("same").agg(
