@@ -23,7 +23,7 @@ from tableworks.operators.fuzzy import components
 from tableworks.session import pin, scratch_path
 
 #: 64-bit words of the parity signature; rounds of leaders before classes are compared with each other.
-_SIGNATURE, ROUNDS = 8, 3
+_SIGNATURE, ROUNDS = 8, 2
 _INFO = ["n", *(f"s{i}" for i in range(_SIGNATURE))]
 
 
@@ -63,7 +63,7 @@ def _possible(a: str, b: str):
     return (F.abs(F.col(f"{a}_n") - F.col(f"{b}_n")) <= band) & (differ <= band)
 
 
-def _linked(pairs: DataFrame, info: DataFrame, codes: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     """The classes ``(src, dst)`` of the pairs ``(a, b, a_class, b_class)`` whose alignment reaches the
     similarity, each once."""
 
@@ -76,10 +76,8 @@ def _linked(pairs: DataFrame, info: DataFrame, codes: DataFrame) -> DataFrame:
                 dst.append(b)
         return {"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())}
 
-    possible = pairs.join(_info(info, "a"), "a").join(_info(info, "b"), "b").filter(_possible("a", "b")).select(
-        "a", "b", "a_class", "b_class")
     with_codes = (
-        possible.join(codes.select(F.col("row").alias("a"), F.col("codes").alias("left")), "a")
+        pairs.join(codes.select(F.col("row").alias("a"), F.col("codes").alias("left")), "a")
         .join(codes.select(F.col("row").alias("b"), F.col("codes").alias("right")), "b")
     )
     found = map_texts(with_codes.select("a_class", "b_class", "left", "right"), check, "src long, dst long")
@@ -136,7 +134,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.xxhash64("node", F.lit(number)).alias("_hash"), F.col("node").alias("a"), F.col("class").alias("a_class"))).alias("_l"))
         pairs = mixed.join(leaders.select("key", "_l.a", "_l.a_class"), "key").filter("class <> a_class").select(
             "a", F.col("node").alias("b"), "a_class", F.col("class").alias("b_class")).distinct()
-        edges = _linked(pairs, info, codes)
+        near = pairs.join(_info(info, "a"), "a").join(_info(info, "b"), "b").filter(_possible("a", "b")).select(
+            "a", "b", "a_class", "b_class")
+        edges = _linked(near, codes)
         links = edges if links is None else links.union(edges)
         placed = _hooked(placed, edges)
     # classes are named by nodes, so the links of all rounds close over nodes
@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first_shared = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key")
     across = one.join(two, (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (
         F.col("a_class") != F.col("b_class")) & _possible("a", "b") & first_shared).select("a", "b", "a_class", "b_class")
-    linked = first.join(_closed(links.union(_linked(across, info, codes))), "node", "left").select(
+    linked = first.join(_closed(links.union(_linked(across, codes))), "node", "left").select(
         "same", F.coalesce("class", "node").alias("class"))
     last = F.lit(2 ** 63 - 1)
     sequences = worded.groupBy("same").agg(
