@@ -1,10 +1,11 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Merges are taken from an agenda, best score first and then leftmost. A candidate that comes up is skipped
-when a hash keyed by the seed, the variant and its place falls below the rate, so a text has many
-segmentations of the merge type, each repeatable. Spaces and line breaks cannot be crossed by a piece,
-so a text is cut into units there; the variant of a unit is a keyed hash of document and place. At rate 0
-the ids are those of the library.
+when a hash keyed by the seed, the document, the place of the unit and its place there falls below the rate,
+so every occurrence of a word draws its own segmentation, and each repeats. Spaces and line breaks cannot
+be crossed by a piece, so a text is cut into units there. Remembered is only what does not depend on the
+draws: the candidates that come up in a unit after given skips, and the ids if none of them is skipped. At
+rate 0 the ids are those of the library.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import functools
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,33 @@ from pyspark.sql import DataFrame
 from tableworks.llm.batches import keyed, map_texts, strings
 from tableworks.llm.words import tokenizer_path
 
-#: Variants of a unit, units remembered of each variant before the older half goes, and the longest one.
-VARIANTS, MEMO, LONGEST = 4, 120_000, 40
+#: Paths remembered before the older half goes, the longest unit remembered, units that are drawn at a time.
+MEMO, LONGEST, BLOCK = 250_000, 40, 1 << 16
 
 _MARK = "▁"
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _LAST, _FULL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+
+
+def _draw(x: int) -> int:
+    """32 bits of a mixed 64-bit number."""
+    x = x * _MIX & _FULL
+    return ((x ^ x >> 32) * _LAST & _FULL) >> 32
+
+
+def _draws(x: np.ndarray) -> np.ndarray:
+    """The same for many."""
+    x = x * np.uint64(_MIX)
+    return (x ^ x >> np.uint64(32)) * np.uint64(_LAST) >> np.uint64(32)
+
+
+class _Path:
+    """A unit after given skips: the codes of the candidates that come up from there on, the ids if none of
+    them is skipped, and the paths that begin with skipping one."""
+
+    __slots__ = ("skips", "codes", "ids", "after")
+
+    def __init__(self, skips: tuple[int, ...], codes: bytes, ids: bytes):
+        self.skips, self.codes, self.ids, self.after = skips, codes, ids, {}
 
 
 class DropoutCoder:
@@ -43,6 +67,7 @@ class DropoutCoder:
         self.ids = {own.id_to_piece(i): i for i in plain}
         # smaller is better, as the agenda pops its smallest entry first
         self.rank = {own.id_to_piece(i): -own.get_score(i) for i in plain}
+        self._codes = {p: xxhash.xxh64_intdigest(p, seed) for p in self.ids}
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         if any(_MARK in p.lstrip(_MARK) for p in self.ids):
             raise ValueError("a piece goes on after a space")
@@ -51,15 +76,20 @@ class DropoutCoder:
         self._units = re.compile(f"[{breaks}]|{_MARK}+[^{_MARK}{breaks}]*|[^{_MARK}{breaks}]+" if breaks else f"{_MARK}*[^{_MARK}]+|{_MARK}+")
         self._table = {i: p.replace(_MARK, " ").encode() for p, i in self.ids.items()} | {
             i: bytes([b]) for b, i in self.bytes.items()}
-        self._marks = [self.bytes[b] for b in _MARK.encode()]
-        self._memo: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self._older: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self._mark = _Path((), b"", np.array([self.bytes[b] for b in _MARK.encode()], "<u4").tobytes())
+        self._memo: dict[str, _Path] = {}
+        self._older: dict[str, _Path] = {}
+        self._paths = 0
+
+    def _code(self, at: int, piece: str) -> int:
+        code = self._codes.get(piece)
+        return (xxhash.xxh64_intdigest(piece, self.seed) if code is None else code) + at * _LAST & _FULL
 
-    def _skipped(self, variant: int, at: int, piece: str) -> bool:
-        return self.limit > 0 and xxhash.xxh32_intdigest(f"{at}:{piece}", self.seed * VARIANTS + variant) < self.limit
+    def _skipped(self, key: int, at: int, piece: str) -> bool:
+        return self.limit > 0 and _draw(key ^ self._code(at, piece)) < self.limit
 
-    def segment(self, unit: str, variant: int) -> list[str]:
-        """Pieces of a unit."""
+    def segment(self, unit: str, key: int) -> list[str]:
+        """Pieces of a unit; ``key`` stands for the document and the place of the unit."""
         pieces, rank = list(unit), self.rank
         n = len(pieces)
         agenda = []
@@ -76,7 +106,7 @@ class DropoutCoder:
             # one of the two was merged meanwhile
             if after[i] != j or not pieces[i] or pieces[i] + pieces[j] != both:
                 continue
-            if self.limit and self._skipped(variant, i, both):
+            if self.limit and self._skipped(key, i, both):
                 continue
             end = after[j]
             pieces[i], pieces[j], after[i] = both, "", end
@@ -92,38 +122,126 @@ class DropoutCoder:
                     heapq.heappush(agenda, (rank[new], start, i, new))
         return [p for p in pieces if p]
 
-    def _unit(self, unit: str, variant: int) -> bytes:
+    def _ids(self, pieces: list[str]) -> bytes:
         out: list[int] = []
-        for piece in self.segment(unit, variant):
+        for piece in pieces:
             known = self.ids.get(piece)
             out += [known] if known is not None else [self.bytes[b] for b in piece.encode()]
-        return np.array(out, "<u4").tobytes()
-
-    def _remembered(self, unit: str, variant: int) -> bytes:
-        """Ids of a unit that is not among the younger ones; units in use stay young."""
-        ids = self._older[variant].get(unit) or self._unit(unit, variant)
-        if len(unit) <= LONGEST:
-            if len(self._memo[variant]) >= MEMO:
-                self._older[variant], self._memo[variant] = self._memo[variant], {}
-            self._memo[variant][unit] = ids
-        return ids
+        return array("I", out).tobytes()
+
+    def _path(self, unit: str, skips: tuple[int, ...]) -> _Path:
+        """The path of a unit on which the candidates of these numbers are skipped."""
+        # the agenda of a short unit is a list with the rank of each neighbouring pair
+        rank, none, codes, of_piece = self.rank.get, float("inf"), [], self._codes
+        pieces, starts = list(unit), list(range(len(unit)))
+        ranks = [rank(unit[i:i + 2], none) for i in range(len(unit) - 1)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            both = pieces[i] + pieces[i + 1]
+            codes.append(of_piece[both] + starts[i] * _LAST & _FULL)
+            if len(codes) - 1 in skips:
+                ranks[i] = none
+                continue
+            pieces[i] = both
+            del pieces[i + 1], starts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(both + pieces[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(pieces[i - 1] + both, none)
+        self._paths += 1
+        return _Path(skips, array("Q", codes[skips[-1] + 1 if skips else 0:]).tobytes(), self._ids(pieces))
+
+    def _root(self, unit: str | None, key: int) -> _Path:
+        """The path without skips of a unit that is not among the younger ones; units in use stay young."""
+        if unit is None:
+            return self._mark
+        if len(unit) > LONGEST:
+            return _Path((), b"", self._ids(self.segment(unit, key)))
+        if self._paths >= MEMO:
+            self._older, self._memo, self._paths = self._memo, {}, 0
+        old = self._older.get(unit)
+        if old is None:
+            path = self._path(unit, ())
+        else:  # what follows it is found again, so that the number of paths stays bounded
+            path = _Path((), old.codes, old.ids)
+            self._paths += 1
+        self._memo[unit] = path
+        return path
+
+    def _drawn(self, units: list[str | None], keys: np.ndarray) -> list[bytes]:
+        """Ids of each unit; None is a mark that the text itself holds."""
+        known = self._memo
+        paths = [known.get(u) for u in units]
+        for n, path in enumerate(paths):
+            if path is None:
+                # the younger ones may have changed, or hold the unit since
+                paths[n] = self._memo.get(units[n]) or self._root(units[n], int(keys[n]))
+        live = np.arange(len(units))
+        while self.limit and len(live):
+            codes = [paths[n].codes for n in live.tolist()]
+            ends = np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)) // 8)
+            sizes = np.diff(ends, prepend=0)
+            owner = np.repeat(np.arange(len(live)), sizes)
+            hits = np.flatnonzero(_draws(keys[live][owner] ^ np.frombuffer(b"".join(codes), np.uint64)) < self.limit)
+            # the first that is skipped settles what comes up after it
+            owner, first = np.unique(owner[hits], return_index=True)
+            places = hits[first] - (ends - sizes)[owner]
+            live = live[owner]
+            for n, place in zip(live.tolist(), places.tolist()):
+                path = paths[n]
+                new = path.after.get(place)
+                if new is None:
+                    number = place + (path.skips[-1] + 1 if path.skips else 0)
+                    new = path.after[place] = self._path(units[n], (*path.skips, number))
+                paths[n] = new
+        return [path.ids for path in paths]
+
+    def _cut(self, text: str) -> list[str | None]:
+        """Units of a text; a mark in the text itself is None, or it would decode to a space."""
+        units: list[str | None] = []
+        for number, part in enumerate((" " + text).split(_MARK)):
+            units += [None] * (number > 0) + self._units.findall(part.replace(" ", _MARK))
+        return units
+
+    def _keys(self, key: int, count: int) -> np.ndarray:
+        """A key of each unit of a document."""
+        start = np.uint64(xxhash.xxh64_intdigest(b"%d" % key, self.seed))
+        x = (np.arange(count, dtype=np.uint64) * np.uint64(_LAST) + start) * np.uint64(_MIX)
+        return (x ^ x >> np.uint64(29)) * np.uint64(_LAST)
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """``encode`` of each text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, units, numbers = [], [], []
+
+        def settle():
+            ids, at = self._drawn(units, np.concatenate(numbers)), 0
+            for n, count in waiting:
+                out[n].append(b"".join(ids[at:at + count]))
+                at += count
+            for kept in (waiting, units, numbers):
+                kept.clear()
+
+        for n, (text, key) in enumerate(zip(texts, keys)):
+            cut = self._cut(text) if text else []
+            own = self._keys(key, len(cut))
+            for start in range(0, len(cut), BLOCK):
+                part = cut[start:start + BLOCK]
+                waiting.append((n, len(part)))
+                units += part
+                numbers.append(own[start:start + BLOCK])
+                if len(units) >= BLOCK:
+                    settle()
+        if units:
+            settle()
+        return [b"".join(parts) for parts in out]
 
     def encode(self, text: str, key: int) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes; ``key`` stands for the document."""
-        if not text:
-            return b""
-        out, place = [], 0
-        for number, part in enumerate((" " + text).split(_MARK)):
-            if number:  # a mark in the text itself is written as bytes, or it would decode to a space
-                out.append(np.array(self._marks, "<u4").tobytes())
-            units = self._units.findall(part.replace(" ", _MARK))
-            start = np.uint64(xxhash.xxh64_intdigest(b"%d" % key, self.seed) + place & (1 << 64) - 1)
-            variants = ((np.arange(len(units), dtype=np.uint64) + start) * _MIX >> np.uint64(32)) % np.uint64(VARIANTS)
-            place += len(units)
-            for unit, variant in zip(units, variants.tolist()):
-                ids = self._memo[variant].get(unit)
-                out.append(self._remembered(unit, variant) if ids is None else ids)
-        return b"".join(out)
+        return self.encode_all([text], [key])[0]
 
     def decode(self, ids: bytes) -> str:
         """The text of encoded ids."""
@@ -152,7 +270,8 @@ def encoded(
 
     def run(batch):
         own, keys = coder(path, seed, rate), batch.column("doc_id").to_pylist()
-        ids = [np.frombuffer(own.encode(t, k or 0), "<i4") for t, k in zip(strings(batch, "text"), keys)]
+        coded = own.encode_all(strings(batch, "text"), [k or 0 for k in keys])
+        ids = [np.frombuffer(x, "<i4") for x in coded]
         return {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))}
 
     return map_texts(keyed(docs, id_col, text_col), run, "doc_id long, ids array<int>")
@@ -179,9 +298,8 @@ def dropout_digest(
     path = _path(path)
 
     def run(batch):
-        own, rows = coder(path, seed, rate), []
-        for text, key in zip(strings(batch, "text"), batch.column("doc_id").to_pylist()):
-            ids = own.encode(text, key or 0)
+        own, rows, texts = coder(path, seed, rate), [], strings(batch, "text")
+        for text, ids in zip(texts, own.encode_all(texts, [k or 0 for k in batch.column("doc_id").to_pylist()])):
             rows.append((len(text), len(ids) // 4, zlib.crc32(ids), own.decode(ids) == text))
         names = ["n_chars", "n_tokens", "ids_crc32", "lossless"]
         columns = list(zip(*rows)) or [()] * len(names)

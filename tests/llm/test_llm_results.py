@@ -274,6 +274,17 @@ def test_merge_dropout(texts):
     assert other.encode(some[0], 1) != varied.encode(some[0], 1)
 
 
+def test_every_occurrence_draws_its_own_merges():
+    coder = merge_dropout.DropoutCoder(tokenizer_path("piece_bpe_32k.model"), 17, 0.1)
+    text = " ".join(["internationalization"] * 3000 + ["x" * 90, "a▁b", "\n"])
+    units = coder._cut(text)
+    splits = [coder.segment(u, int(k)) if u else ["▁"] for u, k in zip(units, coder._keys(4, len(units)))]
+    assert len({tuple(x) for x in splits[:3000]}) > 20
+    # what is remembered changes nothing
+    want = b"".join(coder._ids(s) if u else coder._mark.ids for u, s in zip(units, splits))
+    assert coder.encode(text, 4) == want == coder.encode_all(["", "b c", text], [1, 2, 4])[2]
+
+
 def test_skipped_share():
     coder = merge_dropout.DropoutCoder(tokenizer_path("piece_bpe_32k.model"), 5, 0.25)
     skipped = [coder._skipped(v, at, f"p{n}") for v in range(8) for at in range(20) for n in range(20)]
