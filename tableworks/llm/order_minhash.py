@@ -3,7 +3,8 @@
 A text is the sequence of its k-mers of five words (lower case, letters and digits), each labelled with
 its occurrence number, so no symbol comes twice. One sketch entry takes the ``ell`` k-mers of smallest
 hash and keeps them in text order. Two texts share an entry only if they share those k-mers in the same
-order, which favours pairs within a small edit distance.
+order, which favours pairs within a small edit distance. A text of few k-mers also has an entry for all of
+its k-mers but one, so that it meets every similar text that has at most ``ell`` of them.
 """
 
 from __future__ import annotations
@@ -57,8 +58,20 @@ def kmers(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _folded(kept: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """A number for the k-mers of each row."""
+    for n in range(kept.shape[1]):
+        out = _mix(out + kept[:, n] + _A)
+    return out
+
+
 def sketch(grams: np.ndarray, ell: int = ELL, entries: int = ENTRIES) -> np.ndarray:
-    """Distinct entries of the sketch as 64-bit numbers; a text of at most ``ell`` k-mers has one."""
+    """Distinct entries of the sketch as 64-bit numbers.
+
+    A text of at most ``ell`` k-mers has one entry of all of them. A similar text has the same k-mers or one
+    more, as ``ell`` of ``ell`` + 2 are too few; so a text of ``ell`` or ``ell`` + 1 k-mers has the entries
+    that leave out one, too.
+    """
     n = len(grams)
     if not n:
         return np.zeros(0, np.int64)
@@ -72,9 +85,10 @@ def sketch(grams: np.ndarray, ell: int = ELL, entries: int = ENTRIES) -> np.ndar
             hashes = _mix(grams[None, :] ^ seeds[:, None])
             parts.append(np.sort(np.argpartition(hashes, ell, axis=1)[:, :ell], axis=1))
         kept = grams[np.concatenate(parts)]
-    out = np.zeros(len(kept), np.uint64) if n <= ell else np.arange(len(kept), dtype=np.uint64)
-    for n in range(kept.shape[1]):
-        out = _mix(out + kept[:, n] + _A)
+    out = _folded(kept, np.zeros(len(kept), np.uint64) if n <= ell else np.arange(len(kept), dtype=np.uint64))
+    if ell <= n <= ell + 1:
+        without = np.array([np.delete(grams, i) for i in range(n)])
+        out = np.append(out, _folded(without, np.zeros(n, np.uint64)))
     return np.unique(out).view(np.int64)
 
 

@@ -211,6 +211,19 @@ def test_near_duplicates(spark):
     assert [got[i] for i in range(len(rows))] == brute.classes(rows, linked)
 
 
+def test_short_near_duplicates(spark):
+    rows = []
+    for group in range(40):
+        words = [f"g{group}w{i}" for i in range(10)]
+        long = words[:9 + group % 2]
+        rows += [" ".join(long), " ".join(long[1:] if group % 4 < 2 else long[:-1])]
+    rows += [" ".join(f"x{i}" for i in range(n)) for n in (6, 7, 3, 4)]  # too far apart
+    got = {r.doc_id: r.class_id for r in near_duplicates(
+        spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if (brute.ordered_similarity(rows[i], rows[j]) or 0) >= 0.8]
+    assert len(linked) == 40 and [got[i] for i in range(len(rows))] == brute.classes(rows, linked)
+
+
 def test_main_text():
     pages = labelled_pages(14)[140:]  # rounds that did not train
     read = [html_text.Page(p) for p in pages]
