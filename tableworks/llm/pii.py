@@ -26,14 +26,18 @@ PATTERNS = {
     # whole runs of digits with single spaces or hyphens; runs of fewer than 16 digits fail the rule anyway
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "handle": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]{1,63}"
-              r"\x20?(?:\.|\(dot\)|\[dot\])\x20?[a-z]{2,24}",
+    # a plain dot before a space ends a sentence, unless a well-known ending follows
+    "handle": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]++"
+              r"(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\x20?\.|\x20\.\x20"
+              r"|\.\x20(?=(?:com|org|net|edu|gov|info|io)(?![a-z0-9])))[a-z0-9-]++)++",
     "national": r"(?<![0-9+().-])\(?[0-9]{3}\)?[-.\x20][0-9]{3}[-.\x20][0-9]{4}(?![0-9])",
     "secret": r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20\"']{0,3}[:=]"
               r"[\x20\"']{0,3}[a-z0-9+/_-]{8,256}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 _OCTETS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
+#: A spelled-out address has a part behind a dot, after the at, that can end a domain.
+_ENDING = r"(?i)[(\[]at[)\]].*?(?:\.|dot[)\]])\x20?(?:[a-z]{2,}+(?![a-z0-9])|xn--)"
 _KEYWORDS = r"(?i)(?:mail|phone|tel|call|fax|card|visa|pay|host|addr|token|key|pass|secret|login|user|ssn|social)"
 
 FEATURES = ["kind", "size", "digits", "letters", "distinct", "check", "before", "after", "keyword"]
@@ -53,7 +57,7 @@ def _check(kind: str, value: Column, digits: Column) -> Column:
         "ip": value.rlike(_OCTETS),
         "card": _luhn(digits),
         "phone": F.length(digits).between(8, 15),
-        "handle": ~value.contains(" "),
+        "handle": value.rlike(_ENDING),
         "national": ~digits.rlike(r"^(?:[01]|...[01])|^(.)\1*$"),
         "secret": value.rlike(r"[:=][\x20\"']*(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_-]+$"),
         "ssn": ~digits.rlike(r"^(?:000|666|9)|^...00|0000$"),

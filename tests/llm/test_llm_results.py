@@ -179,6 +179,24 @@ def test_redaction(spark):
     assert got == {1: "😀 [EMAIL] é [CARD] [PHONE]!", 2: "nothing"}
 
 
+def _redacted(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    listed = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
+    return [got[n] for n in range(len(texts))], [listed[n] for n in range(len(texts))]
+
+
+def test_spelled_out_addresses(spark):
+    forms = ["john (at) example (dot) com", "john [at] example [dot] com", "john(at)example.com", "j.d(at)mail(dot)co(dot)uk",
+             "john (at) example (dot) co (dot) uk", "john [at] mail.example.org", "john (at) example . com",
+             "john (at) example. com", "a" * 100 + " (at) " + "b" * 70 + " (dot) museum", "a(at)b" + ".c1" * 5000 + ".com"]
+    # an at in brackets alone is no address
+    plain = ["we met (at) home. Then we left", "x (at) y"]
+    got, listed = _redacted(spark, [*(f"write to {f}, or call" for f in forms), *(f"{f}. Then" for f in forms), *plain])
+    assert got == ["write to [HANDLE], or call"] * len(forms) + ["[HANDLE]. Then"] * len(forms) + plain
+    assert [x for x in listed if x] == [f"handle:9:{9 + len(f)}" for f in forms] + [f"handle:0:{len(f)}" for f in forms]
+
+
 def test_alignment_against_the_table():
     pick = random.Random(2)
     for _ in range(150):
