@@ -32,7 +32,7 @@ PATTERNS = {
               r"|\.\x20(?=(?:com|org|net|edu|gov|info|io)(?![a-z0-9])))[a-z0-9-]++)++",
     "national": r"(?<![0-9+().-])\(?[0-9]{3}\)?[-.\x20][0-9]{3}[-.\x20][0-9]{4}(?![0-9])",
     "secret": r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20\"']{0,3}[:=]"
-              r"[\x20\"']{0,3}[a-z0-9+/_-]{8,256}",
+              r"[\x20\"']{0,3}(?=(?:\.?[a-z0-9+/_-]){8})[a-z0-9+/_-]++(?:\.{1,2}+[a-z0-9+/_-]++)*+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 _OCTETS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
@@ -59,7 +59,7 @@ def _check(kind: str, value: Column, digits: Column) -> Column:
         "phone": F.length(digits).between(8, 15),
         "handle": value.rlike(_ENDING),
         "national": ~digits.rlike(r"^(?:[01]|...[01])|^(.)\1*$"),
-        "secret": value.rlike(r"[:=][\x20\"']*(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_-]+$"),
+        "secret": value.rlike(r"[:=][\x20\"']*(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_.-]+$"),
         "ssn": ~digits.rlike(r"^(?:000|666|9)|^...00|0000$"),
     }[kind]
 

@@ -197,6 +197,15 @@ def test_spelled_out_addresses(spark):
     assert [x for x in listed if x] == [f"handle:9:{9 + len(f)}" for f in forms] + [f"handle:0:{len(f)}" for f in forms]
 
 
+def test_whole_secrets(spark):
+    forms = ["token=" + "a1B2" * 250, "api_key: '" + "x9" * 20_000, "secret=abc12345def",
+             "token=eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U",
+             "token=eyJhbGciOiJkaXIifQ..48V1_ALb6US04U3b.5eym8TW_c8SuK0lt.XFBoMYUZodetZdvT", "pwd=a.b.c.d.e1.f.g"]
+    got, listed = _redacted(spark, [*forms, *(f"{f}. The rest" for f in forms)])
+    assert got == ["[SECRET]"] * len(forms) + ["[SECRET]. The rest"] * len(forms)
+    assert listed == [f"secret:0:{len(f)}" for f in forms] * 2
+
+
 def test_alignment_against_the_table():
     pick = random.Random(2)
     for _ in range(150):
