@@ -4,13 +4,16 @@ The automaton knows every run of words of every template. A text is streamed thr
 word it holds the longest run ending there that some template contains (the matching statistics). Runs
 that cannot grow further and are long enough become matches with their places in the templates; matches
 of one template in the same order are chained into spans, and a span that covers enough of its template
-gives the text that label. Phrases of the base rule are counted as they stand.
+gives the text that label. Templates are licence notices and the sections of whole licence texts. Short
+statements (names of licences, SPDX identifiers, reserved rights) are too short for runs and shares; they
+count where they stand complete, the longest at a place. Phrases of the base rule are counted as they stand.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +66,59 @@ TEMPLATES = {
     "proprietary": "All rights reserved. No part of this publication may be reproduced",
 }
 
+#: Whole licence texts beside this module, by file name; their sections of at least so many words are templates.
+WHOLE = {"Apache-2.0": "apache", "BSD": "bsd", "CC0-1.0": "cc0", "GPL-2": "gpl", "GPL-3": "gpl", "LGPL-2.1": "lgpl",
+         "LGPL-3": "lgpl", "MPL-2.0": "mpl"}
+LEAST_SECTION = 12
+
+#: Names that stand for a licence wherever they are, and those that need "licensed under" or the like.
+_NAMES = {
+    "apache": ["apache license", "apache license version 2 0", "apache license 2 0", "apache software license"],
+    "gpl": ["gnu general public license", "gnu general public license version 2", "gnu general public license version 3",
+            "gnu gpl"],
+    "lgpl": ["gnu lesser general public license", "gnu library general public license", "gnu lgpl"],
+    "agpl": ["gnu affero general public license", "gnu agpl"],
+    "mpl": ["mozilla public license"], "epl": ["eclipse public license"], "isc": ["isc license"],
+    "mit": ["mit license", "expat license"], "bsd": ["bsd license", "bsd 2 clause", "bsd 3 clause"],
+    "cc0": ["cc0 1 0", "cc0 license", "creative commons zero"], "proprietary": ["all rights reserved"],
+}
+_WEAK = {
+    "apache": ["apache", "apache 2 0"], "gpl": ["gpl", "gplv2", "gplv3"], "lgpl": ["lgpl", "lgplv2", "lgplv3"],
+    "agpl": ["agpl", "agplv3"], "mpl": ["mpl"], "epl": ["epl"], "isc": ["isc"], "mit": ["mit"], "bsd": ["bsd"], "cc0": ["cc0"],
+    "unlicense": ["unlicense"],
+}
+_VERBS = ["licensed", "released", "distributed", "published", "available", "provided", "offered", "covered", "terms"]
+_CC_PARTS = {"nc": ["noncommercial", "non commercial"], "nd": ["noderivatives", "noderivs", "no derivatives"],
+             "sa": ["sharealike", "share alike"]}
+_SPDX = ["apache", "gpl", "lgpl", "agpl", "mpl", "epl", "isc", "mit", "bsd", "cc0", "unlicense"]
+
+
+def _statements() -> dict[tuple[bytes, ...], str]:
+    """Label of each statement, by its words."""
+    out = {name: label for label, names in _NAMES.items() for name in names}
+    for verb in _VERBS:
+        for under in ("under", "under the", "under a", "under an", "of the"):
+            if (verb == "terms") == (under == "of the"):
+                out |= {f"{verb} {under} {name}": label for label, names in _WEAK.items() for name in names}
+    out |= {f"spdx license identifier {name}": name for name in _SPDX}
+    for parts in ([], ["sa"], ["nc"], ["nd"], ["nc", "sa"], ["nc", "nd"]):
+        label, spelled = "-".join(["cc-by", *parts]), ["creative commons attribution"]
+        for part in parts:
+            spelled = [f"{a} {b}" for a in spelled for b in _CC_PARTS[part]]
+        short = " ".join(["cc by", *parts])
+        out |= {name: label for name in [short, f"spdx license identifier {short}", *spelled]}
+    out |= {name.replace("license", "licence").replace("licenced", "licensed"): label for name, label in out.items()}
+    return {tuple(name.encode().split()): label for name, label in out.items()}
+
+
+def _sections() -> list[tuple[str, str]]:
+    """Label and text of each section of the whole licence texts."""
+    folder = Path(__file__).parent / "licences"
+    return [(label, section) for name, label in WHOLE.items()
+            for section in re.split(r"\n\s*\n", (folder / name).read_text())
+            if len(words(section.encode())) >= LEAST_SECTION]
+
+
 #: Shortest match in words, words that may be missing between chained matches, share of a template for a label.
 LEAST_RUN, MOST_GAP, LEAST_COVER = 4, 8, 0.6
 
@@ -144,11 +200,17 @@ class Scanner:
     """Templates and phrases, ready to scan texts."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES):
-        self.labels = list(templates)
-        self.texts = [words(t.encode()) for t in templates.values()]
+        texts = [*templates.items(), *_sections()]
+        self.labels = [label for label, _ in texts]
+        self.texts = [words(t.encode()) for _, t in texts]
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
         self.known = {w: n + 1 for n, w in enumerate(sorted({w for t in self.texts for w in t}))}
         self.automaton = SuffixAutomaton([[self.known[w] for w in t] for t in self.texts])
+        # statements by their first two words, the longest first
+        self.statements: dict[tuple[bytes, bytes], list[tuple[tuple[bytes, ...], str]]] = {}
+        for phrase, label in sorted(_statements().items(), key=lambda x: -len(x[0])):
+            self.statements.setdefault(phrase[:2], []).append((phrase, label))
+        self.seconds = {pair[1] for pair in self.statements}
 
     def base(self, found: list[bytes], lower: bytes) -> list[tuple[int, str]]:
         """Start and label of each place where a base phrase stands."""
@@ -166,6 +228,20 @@ class Scanner:
                     places.append((at, label))
         return sorted(places)
 
+    def stated(self, found: list[bytes]) -> list[tuple[str, int, int, float]]:
+        """``label, start, end, 1`` of the complete statements, without those inside a longer one."""
+        out, reached = [], 0
+        # only pairs of neighbours that begin a statement are looked at
+        for at in [n for n, w in enumerate(found) if w in self.seconds]:
+            for phrase, label in self.statements.get((found[at - 1], found[at]), ()) if at else ():
+                end = at - 1 + len(phrase)
+                if tuple(found[at - 1:end]) == phrase:
+                    if end > reached:
+                        out.append((label, at - 1, end, 1.0))
+                        reached = end
+                    break
+        return out
+
     def spans(self, found: list[bytes]) -> list[tuple[str, int, int, float]]:
         """``label, start, end, cover`` of chained template spans, by word; the best cover of each chain."""
         known = self.known
@@ -207,7 +283,7 @@ class Scanner:
         """The output columns of one text."""
         lower = data.lower()  # of bytes: A-Z only
         found = _WORD.findall(lower)
-        base, spans = self.base(found, lower), self.spans(found)
+        base, spans = self.base(found, lower), sorted({*self.spans(found), *self.stated(found)})
         labels = {x[1] for x in base}
         score = max([0.5 if base else 0.0, *(x[3] for x in spans)])
         return (len(found), len(base), base[0][0] if base else None, base[-1][0] if base else None,
@@ -226,7 +302,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans``.
 
     ``spans`` lists the covered template spans as label:first word:end. ``score`` is the largest share of
-    a template that a span covers, at least 0.5 where a base phrase stands, else 0. A null or empty text
+    a template or statement that a span covers, at least 0.5 where a base phrase stands, else 0. A null or empty text
     has no words, no labels (empty strings) and null places. Repeated rows are scanned each; a null
     identifier stays null; an empty table gives an empty result; other columns are ignored.
     """

@@ -144,6 +144,24 @@ def test_licences(texts):
     assert scan(b"the software and the public of the license to use free")[5] == ""
 
 
+def test_short_and_whole_licences(texts):
+    scan = license_scan.scanner().scan
+    lines = {"This work is licensed under the GNU General Public License, version 3.": "gpl", "All rights reserved.": "proprietary",
+             "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under the Apache License, Version 2.0.": "apache",
+             "Released under the MIT License.": "mit", "SPDX-License-Identifier: BSD-3-Clause": "bsd",
+             "Distributed under the MIT licence": "mit", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0": "cc-by-nc-sa"}
+    for line, label in lines.items():
+        got = scan(f"Some words before.\n{line} Some words after it.".encode())
+        assert label in got[5].split(",") and got[6] == 1.0 and f"{label}:" in got[7], line
+    # the lines of the table reach a label by a span, not only by the base rule
+    for line, label in list(lines.items())[:5]:
+        having = [scan(t.encode()) for t in texts.values() if line in t]
+        assert having and all(f"{label}:" in got[7] for got in having)
+    for label, section in license_scan._sections():
+        assert label in scan(f"Before. {section}".encode())[5].split(",")
+    assert scan(b"all rights are reserved, by cc, released under the tree")[5] == ""
+
+
 def test_matching_statistics():
     pick = random.Random(1)
     runs = [[pick.randint(0, 3) for _ in range(12)] for _ in range(4)]
