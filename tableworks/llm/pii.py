@@ -221,9 +221,14 @@ def _listed(spans: Column) -> Column:
 
 
 def found_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_base``, the base spans, and ``_spans``, these and the others that are taken."""
-    model = fit(candidates(docs.select(text_col), text_col))
-    parted = candidates(docs, text_col).withColumns({
+    """``row``, the columns of ``docs`` as a struct, ``text``, ``_base``, the base spans, and ``_spans``, these and
+    the others that are taken.
+
+    The struct keeps columns of any name apart from those made here.
+    """
+    held = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs[f"`{text_col}`"].alias("text"))
+    model = fit(candidates(held.select("text")))
+    parted = candidates(held).withColumns({
         "_base": F.filter("_spans", lambda s: (s["kind"] < len(BASE)) & (s["check"] == 1)),
         "_more": F.filter("_spans", lambda s: s["kind"] >= len(BASE))})
     # what lies inside a base span is found already
@@ -247,7 +252,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.size(mine).cast("long").alias(f"n_{kind}")
 
     return found.select(
-        "doc_id", *map(count, BASE),
+        F.col("row.doc_id").alias("doc_id"), *map(count, BASE),
         F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"))
 
 
@@ -255,14 +260,14 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every found span of the text replaced by its kind in brackets; a null text stays null.
 
     Of overlapping spans the one that starts first (then the longer one) names the mark, which stands
-    for all of them.
+    for all of them. Empty texts stay empty, repeated rows are treated each, an empty table stays empty;
+    other columns pass through whatever their names.
     """
-    columns = docs.columns
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     found = found_spans(docs, text_col)
     ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(
         s["start"].alias("start"), (-s["end"]).alias("_end"), s["kind"].alias("kind"))))
-    text = F.col(text_col)
+    text = F.col("text")
     built = F.aggregate(
         ordered, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.struct(
@@ -272,4 +277,5 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
                                     F.element_at(names, s["kind"] + 1)))).alias("out")),
         lambda acc: F.concat(F.array_join(acc["out"], ""),
                              text.substr((acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, built).otherwise(text)).select(*columns)
+    clean = F.when(F.size("_spans") > 0, built).otherwise(text).alias(text_col)
+    return found.select(*(clean if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

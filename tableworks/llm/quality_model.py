@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tableworks.llm.batches import arrow_schema, keyed, labelled_sample, map_texts, utf8
 
 #: Words of a passage, hash buckets and size of embeddings, hidden units, labelled documents at most, steps.
-PASSAGE, BUCKETS, SIZE, HIDDEN, TRAIN_ROWS, STEPS = 64, 4096, 4, 12, 4000, 150
+PASSAGE, BUCKETS, SIZE, HIDDEN, TRAIN_ROWS, STEPS = 64, 4096, 8, 12, 4000, 160
 #: A document is taken as good from this score on.
 LEAST_SCORE = 0.3
 
@@ -177,8 +177,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> byt
         model = fit([x[2] for x in got], np.array([x[1] for x in got], float)) if got else None
         yield pa.RecordBatch.from_arrays([pa.array([_packed(model)], pa.binary())], schema=schema)
 
-    # 0.3 MB whatever the input
-    return sample.mapInArrow(run, "model binary").first()[0]
+    # 0.5 MB whatever the input; a sample without rows runs no task
+    found = sample.mapInArrow(run, "model binary").collect()
+    return found[0][0] if found else _packed(None)
 
 
 def quality_scores(

@@ -176,8 +176,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.
         model = fit([x[2] for x in got], np.array([x[1] for x in got], np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()], pa.binary())], schema=schema)
 
-    # 0.4 MB whatever the input
-    return np.frombuffer(sample.mapInArrow(run, "model binary").first()[0], np.float32)
+    # 0.4 MB whatever the input; a sample without rows runs no task
+    found = sample.mapInArrow(run, "model binary").collect()
+    return np.frombuffer(found[0][0], np.float32) if found else fit([], np.zeros(0))
 
 
 def _judged(texts: list[bytes], weights: np.ndarray, least: float) -> list[tuple]:
@@ -220,7 +221,10 @@ def good_documents(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     train_rows: int = TRAIN_ROWS, least: float = LEAST_PROBABILITY,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns whatever their names.
+
+    Null and empty texts fail; repeated rows are judged each; an empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit_model(keyed(docs, id_col, text_col), labels, train_rows))
 
     def run(batches):

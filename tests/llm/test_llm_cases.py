@@ -21,7 +21,10 @@ ROWS = [
     (5, "plain words of a short text"), (1, "plain words of a short text"), (6, LONG), (7, "x" * 60_000),
     (8, "1" * 20_000), (9, "日本語 😀 é a"),
 ]
-NAMES = ["kept", "row", "class", "_spans", "key", "label", "lang", "source", "n_chars", "held_out", "_part"]
+#: Names that operators and stages use inside.
+NAMES = """kept row class _spans key label lang source n_chars held_out _part _at _n _base _more _found_email _gaps_ip
+_id _mark at id mark kept_id n sha bytes check run best size _above text_md5 text_sha256 same codes keys node open
+piece start length offset sequence_id ids_crc32 probability score spans a b _row digest shard slot""".split()
 
 
 @pytest.fixture(scope="module")
@@ -96,6 +99,8 @@ def test_exact_cases(docs):
 def test_columns_stay(docs, labels):
     assert good_documents(docs, labels).schema == docs.schema
     assert redacted(docs).columns == docs.columns
+    for df in (redacted(docs), good_documents(docs, labels)):
+        assert all(r[n] == "z" for r in df.collect() for n in NAMES)
     assert good_documents(docs.limit(0), labels).count() == 0 and redacted(docs.limit(0)).count() == 0
     texts = {r.doc_id: r.text for r in redacted(docs).collect()}
     assert texts[2] is None and texts[3] == "" and texts[6] == LONG
@@ -110,7 +115,7 @@ def test_round_trip_of_cases(docs):
 def test_pipeline_stages_take_the_cases(spark, docs, labels, tmp_path):
     folder = str(tmp_path)
     labels.write.parquet(f"{folder}/labels.parquet")
-    table = docs.withColumn("n_chars", F.length("text").cast("long")).select("doc_id", "text", "lang", "source", "n_chars")
+    table = docs.withColumn("n_chars", F.length("text").cast("long"))
     table.write.parquet(f"{folder}/documents.parquet")
     table = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
@@ -118,6 +123,8 @@ def test_pipeline_stages_take_the_cases(spark, docs, labels, tmp_path):
         assert none.count() == 0
         if name != "packing":
             assert some.columns == table.columns and some.dtypes == table.dtypes
+            assert all(r[n] == "z" for r in some.collect() for n in NAMES if n != "n_chars")
+            assert stage(spark, table.drop("n_chars"), folder).columns == table.drop("n_chars").columns
     once = corpus_pipeline.exact_stage(spark, table, folder)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in once.collect()) == [
         (False, 3), (False, 4), (False, 5), (False, 6), (False, 7), (False, 8), (False, 9), (True, 0)]
