@@ -17,38 +17,47 @@ from tableworks.session import configure, scratch_path
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame, mark: str, marked) -> DataFrame:
-    """The rows of ``docs`` whose identifier and text were kept, each once."""
-    columns = docs.columns
-    keep = verdicts.filter("kept").select(F.col("doc_id").alias("_id"), F.col(mark).alias("_mark"))
+    """The rows of ``docs`` whose identifier and text were kept, each once.
+
+    The columns of ``docs`` travel as a struct, so they may have any names.
+    """
+    keep = verdicts.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col(mark).alias("mark"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_at", marked(text))
-    found = rows.join(keep, (rows["_at"] == keep["_mark"]) & rows["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-    one = Window.partitionBy("_at", "doc_id").orderBy("_at")
-    return found.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), marked(text).alias("at"),
+                       F.col("doc_id").alias("id"))
+    found = rows.join(keep, (rows["at"] == keep["mark"]) & rows["id"].eqNullSafe(keep["kept_id"]), "left_semi")
+    one = Window.partitionBy("at", "id").orderBy("at")
+    return found.withColumn("n", F.row_number().over(one)).filter("n = 1").select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; null, empty and short texts fail, other columns stay as they are."""
     return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text, the one of the largest identifier; null counts as empty, other columns stay."""
     return _kept(docs, exact_duplicates(docs), "text_sha256", lambda t: F.sha2(t, 256))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies; texts without a word are a class each, other columns stay."""
     return _kept(docs, near_duplicates(docs), "text_md5", F.md5)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; ``n_chars`` follows the text."""
-    return redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents with personal data replaced by its kind; ``n_chars``, where there is one, follows the text.
+
+    Null and empty texts stay, other columns too.
+    """
+    clean = redacted(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
+    """Pieces of documents and their places in sequences; null and empty texts are one piece with the end token."""
     return pack_documents(docs)
 
 
