@@ -29,6 +29,10 @@ def load_table(spark, folder):
     return rel.join(rel.use(spark, "tw_customers"), raw, ["c_custkey"])
 
 
+#: The cap of the reports below.
+CAPPED = cleaning.Policy(max_rows=1000)
+
+
 def bundle_documents(spark, folder):
     """Metadata and quality documents of written bundles, read back and joined."""
     base = scratch_path(spark, "tables")
@@ -36,7 +40,7 @@ def bundle_documents(spark, folder):
         df = read(spark, folder, table)
         meta = profiling.shape(df).select(
             F.lit(table).alias("title"), "row_count", "column_count", "has_time_series")
-        report = cleaning.clean(df.withColumn("_pos", col(df.columns[0])), ["_pos"]).report
+        report = cleaning.clean(df.withColumn("_pos", col(df.columns[0])), ["_pos"], CAPPED).report
         quality = report.select(
             F.col("passed").alias("success"),
             F.array("original_rows", "original_columns").alias("original_shape"),

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.errors import AnalysisException
 
-from tableworks.operators import profiling
+from suite import sources as suite_sources
+from tableworks.operators import cleaning, profiling
 from tableworks.plans import questions, runs
 from tableworks.sources import readers, sinks
 from tableworks.streaming import run_logs
@@ -131,6 +132,15 @@ def test_stream_reads_each_record_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4
 
 
+def test_bundle_report_at_the_cap(spark, monkeypatch):
+    """The report counts what the cap takes away; the smallest tables lie below the cap of the query."""
+    monkeypatch.setattr(suite_sources, "CAPPED", cleaning.Policy(max_rows=100))
+    got = {r.title: (r.row_count, r.final_rows, r.rows_removed)
+           for r in suite_sources.bundle_documents(spark, "/root/testdata/sf0.001").collect()}
+    want = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count() for t in got}
+    assert got == {t: (n, min(n, 100), n - min(n, 100)) for t, n in want.items()} and max(want.values()) > 100
+
+
 def test_bundle_and_ids(spark, tmp_path):
     base = str(tmp_path)
     df = spark.createDataFrame([("a", 1)], "k string, v int")
