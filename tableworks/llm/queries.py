@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tableworks.llm.conversation_repair import damaged, repair_report
 from tableworks.llm.exact_dedup import exact_duplicates
 from tableworks.llm.html_text import main_text
 from tableworks.llm.license_scan import license_scan
@@ -13,6 +14,7 @@ from tableworks.llm.packing import pack_documents
 from tableworks.llm.pii import personal_data
 from tableworks.llm.quality_model import quality_scores
 from tableworks.llm.quality_rules import quality_rules
+from tableworks.llm.repair_sql import REPAIR
 from tableworks.llm.token_counts import token_counts
 from tableworks.session import configure
 
@@ -71,9 +73,15 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_read(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair."""
+    return repair_report(damaged(_read(spark, folder, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_html_extraction, op3_minhash_near_dedup, op4_license_scan, op5_exact_dedup,
-    op6_best_fit_packing, op7_quality_classifier, op8_pii, op9_sentencepiece_dropout, op10_token_counts)}
+    op6_best_fit_packing, op7_quality_classifier, op8_pii, op9_sentencepiece_dropout, op10_token_counts,
+    op11_conversation_repair)}
 
 SQL = {
     "op5_exact_dedup": """
@@ -82,4 +90,5 @@ SQL = {
                row_number() over (partition by coalesce(text, '') order by doc_id desc) = 1 as kept,
                sha256(coalesce(text, '')) as text_sha256
         from documents""",
+    "op11_conversation_repair": REPAIR,
 }
