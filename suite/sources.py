@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from suite import corpus, read
 from tableworks.functions.columns import col
+from tableworks.functions.text import MISSING_TOKENS
 from tableworks.operators import cleaning, profiling
 from tableworks.operators import relational as rel
 from tableworks.plans import catalog
@@ -88,6 +89,11 @@ def _datasets(spark, folder):
     return root
 
 
+#: Columns of the tables that are written and read cell by cell; numbers, dates and texts.
+_WRITTEN = {"documents": ["doc_id", "text", "lang", "source", "n_chars"],
+            "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]}
+
+
 def scan_datasets(spark, folder):
     """Folders with a manifest and a CSV file; the one without a manifest is left out."""
     return readers.scan_datasets(spark, _datasets(spark, folder), max_mb=50).select("dataset")
@@ -107,6 +113,23 @@ def corpus_csv(spark, folder):
     return profiling.column_profile(rows, headers).drop("first_pos", "min_number", "max_number")
 
 
+def csv_cells(spark, folder):
+    """Prose with line breaks and quotes, orders, and nations with surplus cells, read back cell by cell."""
+    root = scratch_path(spark, "cells")
+    for table, columns in _WRITTEN.items():
+        sinks.write_csv(read(spark, folder, table).select(*columns), f"{root}/{table}_data/table.csv")
+    nation = read(spark, folder, "nation").select(
+        F.lit(1).alias("part"), "n_nationkey", F.concat_ws(
+            ",", "n_nationkey", "n_name", F.expr("case when n_nationkey % 3 = 0 then concat('more,', n_regionkey) end")).alias("line"))
+    head = nation.limit(1).select(F.lit(0).alias("part"), "n_nationkey", F.lit("key,name").alias("line"))
+    # written as it is: no line holds the separator or a quote
+    head.union(nation).repartition(1).sortWithinPartitions("part", "n_nationkey").select("line").write.option(
+        "sep", "|").csv(f"{root}/nation_data/table.csv")
+    rows, _ = readers.read_corpus(spark, root)
+    return rows.select(F.col("table_id").alias("dataset"), *(F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(5)),
+                       F.array_join("surplus", "/").alias("surplus"))
+
+
 def corpus_store(spark, folder):
     """A corpus written as two datasets and read back."""
     path = scratch_path(spark, "corpus")
@@ -224,7 +247,7 @@ def row_count_histogram(spark, folder):
 
 QUERIES = {f.__name__: f for f in [
     load_table, bundle_documents, csv_round_trip, csv_with_schema, scan_datasets, check_structure,
-    manifests, corpus_csv, corpus_store, incremental_skip, assign_ids, append_log, domain_index,
+    manifests, corpus_csv, csv_cells, corpus_store, incremental_skip, assign_ids, append_log, domain_index,
     index_statistics, index_distributions, index_upsert, table_summaries, table_quality,
     table_report, table_percentages, numeric_ratio_by_domain, row_count_histogram,
 ]}
@@ -239,6 +262,12 @@ def _column(table_id, pos, name, table, kind):
       count(*) as n_rows, 0::bigint as n_nulls, {numbers}::bigint as n_numbers, '{kind}' as dtype from {table}"""
 
 
+def _present(column):
+    """A cell as text, null for the tokens that a CSV reader takes as missing."""
+    tokens = ", ".join(f"'{t}'" for t in MISSING_TOKENS)
+    return f"case when {column}::varchar not in ({tokens}) then {column}::varchar end"
+
+
 _CSV_COLUMNS = {
     "customer": [("c_custkey", "int64"), ("c_name", "object"), ("c_nationkey", "int64"),
                  ("c_acctbal", "float64"), ("c_mktsegment", "object")],
@@ -300,6 +329,11 @@ SQL = {
         ('region_data', 'The region table'), ('supplier_data', 'The supplier table')) v(dataset, title)""",
     "corpus_csv": " union all ".join(
         _column(f"{t}_data", i, n, t, k) for t, cs in _CSV_COLUMNS.items() for i, (n, k) in enumerate(cs)),
+    "csv_cells": " union all ".join(
+        f"select '{t}_data' as dataset, {', '.join(f'{_present(c)} as c{i}' for i, c in enumerate([*cs, 'null'][:5]))}, null::varchar as surplus from {t}"
+        for t, cs in _WRITTEN.items()) + """
+        union all select 'nation_data', n_nationkey::varchar, n_name, null, null, null,
+          case when n_nationkey % 3 = 0 then 'more/' || n_regionkey end from nation""",
     "corpus_store": " union all ".join(
         f"select '{t}' as table_id, count(*) as n, {len(s[3])} as width from {s[0]}"
         for t, s in corpus.CORPUS.items()),

@@ -8,11 +8,14 @@ the totals of the earlier pieces forward. A hot group is cut into as many pieces
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tableworks.functions.columns import as_columns, col
+from tableworks.functions.columns import as_columns, col, same_value
 from tableworks.session import pin
 
 
@@ -86,39 +89,77 @@ def batches(
     ).withColumn("batch_position", (col("position") - 1) % F.lit(size) + 1)
 
 
+#: Accuracy of the sketches that bracket a quantile; groups of at most so many values are bracketed by all of them.
+SKETCH = 10_000
+
+
+def _beside(rows: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the struct ``_f`` of their group; one row of facts per group."""
+    if not by:
+        return rows.withColumn("_f", facts.select(F.struct(*facts.columns)).scalar())
+    held = [c for c in facts.columns if c not in by]
+    small = facts.select(*[col(k).alias(f"_g{i}") for i, k in enumerate(by)], F.struct(*as_columns(held)).alias("_f"))
+    same = same_value([(col(k), col(f"_g{i}")) for i, k in enumerate(by)])
+    return rows.join(small, same).drop(*[f"_g{i}" for i in range(len(by))])
+
+
 def quantiles(
     df: DataFrame, by: list[str], value: str, at: dict[str, float], exact: bool = True,
-    accuracy: int = 10000,
+    accuracy: int = SKETCH,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, ``{output name: probability}``; nulls are skipped.
 
-    Exact form: equal values are counted first, then ranked by :func:`running`, so that no task
-    holds the values of a group. ``exact=False`` uses the bounded sketch of ``approx_percentile``.
+    Exact form, by selection: a sketch of bounded size brackets each quantile, one count of what lies below
+    and up to its end proves that the bracket holds it (one that does not is opened to all values), and
+    only values inside brackets are counted and ranked. Nothing is sorted or written but these few, no
+    job runs when the result is built. ``exact=False`` uses the sketch alone.
     """
     rows = df.select(*as_columns(by), col(value).cast("double").alias("_value")).filter(
         col("_value").isNotNull()
     )
+    groups = lambda d: d.groupBy(*as_columns(by))
     if not exact:
         outputs = [
             F.percentile_approx(col("_value"), p, accuracy).alias(name) for name, p in at.items()
         ]
-        return rows.groupBy(*as_columns(by)).agg(*outputs)
-    counts = rows.groupBy(*as_columns(by), "_value").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(
-        range_pieces(counts, by, ["_value"]), by, ["_value"],
-        sums={"_upto": col("_n")}, totals={"_all": col("_n")},
-    )
+        return groups(rows).agg(*outputs)
+    margin = 4 / accuracy
+    ends = [x for p in at.values() for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    places = range(len(at))
+    sketch = groups(rows).agg(
+        F.count("*").alias("n"), F.min("_value").alias("least"), F.max("_value").alias("most"),
+        F.percentile_approx("_value", ends, accuracy).alias("ends"))
+    few = col("n") <= accuracy
+    bracketed = _beside(rows, sketch.select(*as_columns(by), "n", *(x for i in places for x in (
+        F.when(few, col("least")).otherwise(col("ends")[2 * i]).alias(f"lo{i}"),
+        F.when(few, col("most")).otherwise(col("ends")[2 * i + 1]).alias(f"hi{i}")))), by)
+    f = lambda name: col("_f")[name]
+    counted = groups(bracketed).agg(F.max(f("n")).alias("n"), *(x for i in places for x in (
+        F.count_if(col("_value") < f(f"lo{i}")).alias(f"below{i}"), F.count_if(col("_value") <= f(f"hi{i}")).alias(f"upto{i}"),
+        F.max(f(f"lo{i}")).alias(f"lo{i}"), F.max(f(f"hi{i}")).alias(f"hi{i}"))))
+    ranks = [(col("n") - 1) * F.lit(float(p)) for p in at.values()]
+    facts = ["n"]
+    for i, rank in enumerate(ranks):
+        holds = (col(f"below{i}") <= F.floor(rank)) & (F.ceil(rank) < col(f"upto{i}"))
+        counted = counted.withColumn(f"_h{i}", holds)
+        facts += [F.when(col(f"_h{i}"), col(f"below{i}")).otherwise(0).alias(f"below{i}"),
+                  F.when(col(f"_h{i}"), col(f"lo{i}")).otherwise(float("-inf")).alias(f"lo{i}"),
+                  F.when(col(f"_h{i}"), col(f"hi{i}")).otherwise(float("inf")).alias(f"hi{i}")]
+    inside = [col("_value").between(f(f"lo{i}"), f(f"hi{i}")) for i in places]
+    near = _beside(rows, counted.select(*as_columns(by), *facts), by).filter(functools.reduce(operator.or_, inside))
+    values = near.groupBy(*as_columns(by), "_value").agg(F.count("*").alias("m"), F.max(f("n")).alias("n"), *(x for i in places for x in (
+        F.max(f(f"below{i}")).alias(f"below{i}"), F.max(inside[i]).alias(f"in{i}"))))
+    upto = W.partitionBy(*as_columns(by)) if by else W.partitionBy(F.lit(0))
+    upto = upto.orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
     outputs = []
-    for name, p in at.items():
-        rank = (col("_all") - 1) * F.lit(float(p))
+    for i, (name, rank) in enumerate(zip(at, ranks)):
+        values = values.withColumn(f"upto{i}", col(f"below{i}") + F.sum(F.when(col(f"in{i}"), col("m")).otherwise(0)).over(upto))
         covers = [
-            F.when((r >= col("_upto") - col("_n")) & (r < col("_upto")), col("_value"))
+            F.max(F.when(col(f"in{i}") & (r >= col(f"upto{i}") - col("m")) & (r < col(f"upto{i}")), col("_value")))
             for r in (F.floor(rank), F.ceil(rank))
         ]
-        low, high = F.max(covers[0]), F.max(covers[1])
-        weight = F.max(rank - F.floor(rank))
-        outputs.append((low + (high - low) * weight).alias(name))
-    return ranked.groupBy(*as_columns(by)).agg(*outputs)
+        outputs.append((covers[0] + (covers[1] - covers[0]) * F.max(rank - F.floor(rank))).alias(name))
+    return groups(values).agg(*outputs)
 
 
 def streaks(

@@ -144,17 +144,14 @@ def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
 def boxplot(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 IQR) and outlier count per group."""
     require(df, *by, value)
-    counts = df.select(*as_columns(by), col(value).cast("double").alias("_v")).filter(
-        col("_v").isNotNull()
-    ).groupBy(*as_columns(by), "_v").agg(F.count(F.lit(1)).alias("_n"))
-    quartiles = ordered.quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    rows = df.select(*as_columns(by), col(value).cast("double").alias("_v")).filter(col("_v").isNotNull())
+    quartiles = ordered.quantiles(rows, by, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (col("q3") - col("q1")) * 1.5
     inside = (col("_v") >= col("q1") - reach) & (col("_v") <= col("q3") + reach)
-    with_box = attach(counts, quartiles, by)
-    return with_box.groupBy(*as_columns(by)).agg(
-        F.sum("_n").alias("count"), F.max("q1").alias("q1"), F.max("median").alias("median"),
+    return attach(rows, quartiles, by).groupBy(*as_columns(by)).agg(
+        F.count("_v").alias("count"), F.max("q1").alias("q1"), F.max("median").alias("median"),
         F.max("q3").alias("q3"),
         F.min(F.when(inside, col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, col("_v"))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, col("_n"))), F.lit(0)).alias("outliers"),
+        F.count_if(~inside).alias("outliers"),
     )

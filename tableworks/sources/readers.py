@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tableworks.functions.columns import col
 from tableworks.functions.text import integer_of, missing_to_null, number_of
 from tableworks.sources import schemas
+from tableworks.sources.records import csv_records, record_cells
 
 FILES = {"processed": "table", "raw": "raw"}
 
@@ -137,60 +138,39 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """All raw CSV files below ``root`` as corpus rows and headers (see operators.profiling)."""
-    rows, headers = _corpus_lines(spark, root)
-    return rows.drop("too_wide"), headers
+    """All raw CSV files below ``root`` as corpus rows and headers (see operators.profiling).
 
-
-def _corpus_lines(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Corpus rows, marked where a record is wider than its header, and headers.
-
-    The table id is the folder name; of several files in a folder the first by name is read (a
-    folder of part files with headers, as Spark writes them, counts as one file). Files
-    that are not valid UTF-8 are decoded as Latin-1. Empty header cells are called ``Unnamed: i``
-    and repeated ones get ``.1``, ``.2``. Records may be quoted but not contain line breaks.
+    The table id is the folder name; of several files in a folder the first by name is read (a folder of
+    part files with headers, as Spark writes them, counts as one file). Files that are not valid UTF-8
+    are decoded as Latin-1. Empty header cells are called ``Unnamed: i`` and repeated ones get ``.1``,
+    ``.2``. Quoted cells may hold line breaks (see :func:`records.csv_records`). Cells beyond the header are
+    kept in ``surplus``, which is null where there are none.
     """
-    folder, item = _below(root, F.col("_metadata.file_path"))
-    lines = spark.read.option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.csv").text(root).select(
-        "value", F.col("_metadata.file_path").alias("path"), folder.alias("table_id"),
-        item.alias("item"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
-    facts = lines.groupBy("table_id", "item", "path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.min_by("value", "pos").alias("first_line"), F.min("pos").alias("first_pos"),
-        F.max(F.size(F.split("value", ","))).alias("commas"),
-    )
-    # one row per file from here on; Spark numbers the blocks of a file in file order
+    records = csv_records(spark, root)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+    path = F.col("_metadata.file_path")
+    folder, item = _below(root, path)
+    facts = lines.groupBy(path.alias("path"), folder.alias("table_id"), item.alias("item")).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    # one row per file from here on
     in_table = W.partitionBy("table_id")
-    chosen = facts.withColumn("_first", F.min("item").over(in_table)).filter("item = _first")
-    chosen = chosen.withColumn(
-        "file_no", F.row_number().over(in_table.orderBy("path")).cast("long"))
-    # columns needed to hold the widest line of any file: one number for the whole corpus
-    width = facts.agg(F.max("commas")).first()[0] or 1
-    fields = [f"c{i}" for i in range(width)]
-
-    def cells(line: Column) -> Column:
-        text = F.when(F.col("utf8"), line).otherwise(F.decode(line.cast("binary"), "ISO-8859-1"))
-        parsed = F.from_csv(text, ", ".join(f"{f} STRING" for f in fields), {"escape": '"'})
-        return F.array(*[parsed[f] for f in fields])
-
-    named = chosen.withColumn("_cells", cells(F.col("first_line"))).withColumn(
-        "width", F.size(F.split("first_line", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")))
-    plain = F.transform(
-        F.slice("_cells", F.lit(1), F.col("width")),
-        lambda c, i: F.coalesce(F.nullif(c, F.lit("")), F.concat(F.lit("Unnamed: "), i.cast("string"))))
-    headers = named.filter("file_no = 1").select("table_id", plain.alias("_names")).select("table_id", F.transform(
+    chosen = facts.withColumn("_first", F.min("item").over(in_table)).filter("item = _first").withColumn(
+        "file_no", F.row_number().over(in_table.orderBy("path")))
+    first = records.groupBy("path").agg(F.min("pos").alias("first_pos"))
+    files = chosen.join(first, "path").select("path", "table_id", "utf8", "file_no", "first_pos")
+    read = records.join(files, "path")
+    text = F.when(F.col("utf8"), F.col("record")).otherwise(F.decode(F.col("record").cast("binary"), "ISO-8859-1"))
+    heads = read.filter("pos = first_pos").select(
+        "path", "table_id", "file_no", record_cells(F.regexp_replace(text, "^\ufeff", "")).alias("_cells"))
+    plain = F.transform("_cells", lambda c, i: F.coalesce(
+        F.nullif(c, F.lit("")), F.concat(F.lit("Unnamed: "), i.cast("string"))))
+    headers = heads.filter("file_no = 1").select("table_id", plain.alias("_names")).select("table_id", F.transform(
         "_names", lambda c, i: _numbered_copy(c, i, F.col("_names"))).alias("columns"))
-    rows = lines.filter(F.trim("value") != "").select("path", "value", "pos").join(
-        named.select("table_id", "path", "utf8", "first_pos", "width"), "path"
-    ).filter(F.col("pos") > F.col("first_pos")).select(
+    cells = read.filter("pos > first_pos").select("path", "table_id", "pos", record_cells(text).alias("_cells"))
+    rows = cells.join(heads.select("path", F.size("_cells").alias("width")), "path").select(
         "table_id", "pos",
-        F.transform(F.slice(cells(F.col("value")), F.lit(1), F.col("width")), missing_to_null)
-        .alias("cells"),
-        (F.size(F.array_compact(cells(F.col("value")))) > F.col("width")).alias("too_wide"),
-    )
+        F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: missing_to_null(F.get("_cells", i))).alias("cells"),
+        F.when(F.size("_cells") > F.col("width"), F.slice("_cells", F.col("width") + 1, F.size("_cells"))).alias("surplus"))
     return rows, headers
 
 
@@ -203,9 +183,9 @@ def check_structure(spark: SparkSession, root: str, min_columns: int = 3) -> Dat
     """``(dataset, accepted, reason)``: manifest is an object, five first rows fit, enough columns."""
     from tableworks.operators.sampling import head
 
-    rows, headers = _corpus_lines(spark, root)
+    rows, headers = read_corpus(spark, root)
     first = head(rows, ["table_id"], ["pos"], 5).groupBy("table_id").agg(
-        F.bool_or("too_wide").alias("too_wide"))
+        F.bool_or(F.col("surplus").isNotNull()).alias("too_wide"))
     tables = headers.join(first, "table_id", "left").select(
         F.col("table_id").alias("dataset"), F.size("columns").alias("n_columns"), "too_wide")
     known = manifests(spark, root).select("dataset", F.lit(True).alias("manifest"))

@@ -33,7 +33,9 @@ def write_bundle(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; cells keep their white space, quotes are doubled."""
+    df.write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_corpus(path: str, rows: DataFrame, headers: DataFrame) -> None:
