@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suite import read
@@ -104,6 +106,33 @@ def merge_groups(spark, folder):
     return grouping.merge_groups(_groups(spark, folder)).select("scope", "group_name", "title")
 
 
+#: Groups over blocks of twelve parts: which parts a group has. A and B have alike names; C and D overlap
+#: enough with both together only, E only with all of them, so merging takes three rounds.
+_CHAIN = {"A": [0, 1, 2, 3], "B": [4, 5, 6, 7], "C": [0, 1, 2, 4, 5, 6], "D": [0, 1, 2, 4, 5, 6, 8, 9, 10],
+          "E": [0, 1, 3, 7, 8, 9, 10]}
+
+
+def _chain_name(letter, block):
+    """Names of blocks and groups are unlike, but for the last letter of A and B."""
+    name = f"md5(concat({block}, '{'A' if letter == 'B' else letter}'))"
+    return f"concat(substr({name}, 1, 31), 'x')" if letter == "B" else name
+
+
+def _chain_select(letter, integer, whole):
+    block = f"cast({whole} as {integer})"
+    return [f"concat('s', {block} % 5) as scope", f"concat({block}, '-{letter}') as group_id",
+            f"{_chain_name(letter, block)} as group_name", "concat('part ', p_partkey) as title"]
+
+
+def merge_chains(spark, folder):
+    """Groups that become alike only after others were merged."""
+    part = read(spark, folder, "part")
+    groups = functools.reduce(DataFrame.union, [
+        part.filter((F.col("p_partkey") % 12).isin(places)).selectExpr(
+            *_chain_select(letter, "bigint", "p_partkey div 12")) for letter, places in _CHAIN.items()])
+    return grouping.merge_groups(groups).select("scope", "group_id", "group_name", "title")
+
+
 def drop_single_groups(spark, folder):
     df = grouping.drop_singles(_groups(spark, folder))
     return df.select("scope", "group_id", "title")
@@ -127,7 +156,7 @@ def topic_index(spark, folder):
 
 QUERIES = {f.__name__: f for f in [
     clean_group_names, edit_ratios, match_titles, match_page_titles, assign_titles,
-    name_edges, overlap_edges, merge_groups, drop_single_groups, grouped_index, topic_index,
+    name_edges, overlap_edges, merge_groups, merge_chains, drop_single_groups, grouped_index, topic_index,
 ]}
 
 
@@ -162,31 +191,50 @@ _ASKED = f"(select 'pages' as scope, {_SLIPPED} as proposal from pages)"
 _GROUPS = f"""(select distinct p_brand as scope, p_type || '/' || split_part(p_name, ' ', -1) as group_id,
   {_clean("p_type || ' ' || split_part(p_name, ' ', -1)")} as group_name, p_name as title from part)"""
 _NAME_EDGE = "1 - levenshtein(a.group_name, b.group_name) / greatest(length(a.group_name), length(b.group_name)) > 0.7"
-_GRAPH = f"""g as materialized (select * from {_GROUPS}),
-  n as materialized (select distinct scope, group_id, group_name from g),
-  s as materialized (select scope, group_id, count(*) as size from g group by 1, 2),
-  o as materialized (select a.scope, a.group_id as src, b.group_id as dst from g a join g b
+
+
+def _graph(k=""):
+    """Names, sizes and both kinds of edges between the groups of ``g``."""
+    return f"""n{k} as materialized (select distinct scope, group_id, group_name from g{k}),
+  s{k} as materialized (select scope, group_id, count(*) as size from g{k} group by 1, 2),
+  o{k} as materialized (select a.scope, a.group_id as src, b.group_id as dst from g{k} a join g{k} b
     on a.scope = b.scope and a.title = b.title and a.group_id <> b.group_id
-    join s sa on sa.scope = a.scope and sa.group_id = a.group_id
-    join s sb on sb.scope = b.scope and sb.group_id = b.group_id
+    join s{k} sa on sa.scope = a.scope and sa.group_id = a.group_id
+    join s{k} sb on sb.scope = b.scope and sb.group_id = b.group_id
     group by 1, 2, 3, sa.size, sb.size having count(*) / (sa.size + sb.size - count(*)) > 0.5),
-  ne as materialized (select a.scope, a.group_id as src, b.group_id as dst from n a join n b
+  ne{k} as materialized (select a.scope, a.group_id as src, b.group_id as dst from n{k} a join n{k} b
     on a.scope = b.scope and a.group_id <> b.group_id where {_NAME_EDGE})"""
 
 
-def _components(edges):
-    return f"""reach(scope, id, other) as (select scope, group_id, group_id from n
-        union select r.scope, r.id, e.dst from reach r join {edges} e on e.scope = r.scope and e.src = r.other),
-      comp as (select scope, id, min(other) as component from reach group by 1, 2)"""
+_GRAPH = f"g as materialized (select * from {_GROUPS}), {_graph()}"
+
+
+def _components(edges, k=""):
+    return f"""reach{k}(scope, id, other) as (select scope, group_id, group_id from n{k}
+        union select r.scope, r.id, e.dst from reach{k} r join {edges} e on e.scope = r.scope and e.src = r.other),
+      comp{k} as (select scope, id, min(other) as component from reach{k} group by 1, 2)"""
 
 
-_MERGED = f"""{_GRAPH}, {_components('(select * from o union select * from ne)')},
-  named as (select c.scope, c.component, n.group_name from comp c join n on n.scope = c.scope and n.group_id = c.id
+def _round(k):
+    """The groups of round ``k`` along all edges, as those of the next one."""
+    return f"""{_graph(k)}, {_components(f'(select * from o{k} union select * from ne{k})', k)},
+  named{k} as (select c.scope, c.component, n.group_name from comp{k} c join n{k} n on n.scope = c.scope and n.group_id = c.id
     qualify row_number() over (partition by c.scope, c.component
       order by length(n.group_name) desc, n.group_name) = 1),
-  merged as (select distinct c.scope, c.component as group_id, named.group_name, g.title from g
-    join comp c on c.scope = g.scope and c.id = g.group_id
-    join named on named.scope = c.scope and named.component = c.component)"""
+  g{k + 1} as materialized (select distinct c.scope, c.component as group_id, w.group_name, g.title from g{k} g
+    join comp{k} c on c.scope = g.scope and c.id = g.group_id
+    join named{k} w on w.scope = c.scope and w.component = c.component)"""
+
+
+def _merged(groups, rounds=4):
+    """Groups merged again and again; the last round finds nothing any more on these tables."""
+    return f"g1 as materialized (select * from {groups}), {', '.join(map(_round, range(1, rounds + 1)))}, merged as (select * from g{rounds + 1})"
+
+
+_MERGED = _merged(_GROUPS)
+_CHAINS = "(" + " union all ".join(
+    f"select {', '.join(_chain_select(x, 'bigint', 'p_partkey // 12'))} from part where p_partkey % 12 in ({', '.join(map(str, places))})"
+    for x, places in _CHAIN.items()) + ")"
 
 
 def _index(groups):
@@ -221,6 +269,7 @@ SQL = {
         select scope, least(src, dst) as a, greatest(src, dst) as b from ne group by all""",
     "overlap_edges": f"""with recursive {_GRAPH}, {_components('o')} select scope, id, component from comp""",
     "merge_groups": f"with recursive {_MERGED} select scope, group_name, title from merged",
+    "merge_chains": f"with recursive {_merged(_CHAINS)} select scope, group_id, group_name, title from merged",
     "drop_single_groups": f"""with g as (select * from {_GROUPS}), {_several('g')}
         select g.scope, g.group_id, title from g join kept k on k.scope = g.scope and k.group_id = g.group_id""",
     "grouped_index": f"""with g as (select * from {_GROUPS}), {_index('g')}

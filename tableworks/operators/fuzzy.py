@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableworks.functions.columns import as_columns, col
-from tableworks.functions.similarity import block_ratio, edit_ratio
+from tableworks.functions.similarity import block_ratio
 from tableworks.session import pin
 
 
@@ -63,60 +63,95 @@ def _most_edits(length: Column, slack: float) -> Column:
     return F.floor(length * F.lit(slack) + 1e-9).cast("int")
 
 
+def _edits_of(size: Column, edits: int | None, slack: float) -> Column:
+    """How many edits the pieces of a text of this length allow for: one piece more than that."""
+    most = F.greatest(F.least(_most_edits(size, slack), size - 1), F.lit(0))
+    return most if edits is None else F.least(F.lit(edits), most)
+
+
+def _piece_start(size: Column, i: Column, n: Column) -> Column:
+    """Start (from 0) of piece ``i`` (from 0) of a text cut into ``n`` almost equal pieces."""
+    return F.floor(size * i / n).cast("int")
+
+
 def _pieces(text: Column, edits: Column) -> Column:
-    """The text cut into edits + 1 almost equal pieces, as (start, piece)."""
+    """The text cut into edits + 1 almost equal pieces, as (no, piece)."""
     n, size = edits + 1, F.char_length(text)
-    start = lambda i: F.floor(size * i / n).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(
-        (start(i) + 1).alias("start"), F.substr(text, start(i) + 1, start(i + 1) - start(i)).alias("piece")))
-    return F.filter(cut, lambda p: p["piece"] != "")
+    start = lambda i: _piece_start(size, i, n)
+    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(
+        i.alias("no"), F.substr(text, start(i) + 1, start(i + 1) - start(i)).alias("piece")))
+
 
+def _probes(text: Column, edits: int | None, least: float, slack: float, measure: str) -> Column:
+    """The substrings of a text that could be a piece of a similar text, as (size, no, piece).
 
-def _windows(text: Column, edits: int, slack: float) -> Column:
-    """The substrings of a text that could be a piece of a text of similar length."""
+    For a partner of length ``n``, piece number ``i`` can only be found where neither the pieces before
+    it nor those behind it would need more edits than are left for them (otherwise another piece matches),
+    which leaves few starts on both sides of its own.
+    """
     size = F.char_length(text)
-    near = F.sequence(F.greatest(size - edits, F.lit(1)), size + edits)
-    per_piece = lambda n: n / (F.least(F.lit(edits), _most_edits(n, slack), n - 1) + 1)
-    lengths = F.array_distinct(F.flatten(F.transform(near, lambda n: F.array(
-        F.floor(per_piece(n)).cast("int"), F.ceil(per_piece(n)).cast("int")))))
-    fitting = F.filter(lengths, lambda n: (n >= 1) & (n <= size))
-    return F.flatten(F.transform(fitting, lambda n: F.transform(
-        F.sequence(F.lit(1), size - n + 1), lambda i: F.struct(
-            i.alias("start"), F.substr(text, i, n).alias("piece")))))
+
+    def of_length(n: Column) -> Column:
+        k, delta = _edits_of(n, edits, slack), size - n
+
+        def of_piece(i: Column) -> Column:
+            start = _piece_start(n, i, k + 1)
+            length = _piece_start(n, i + 1, k + 1) - start
+            first = F.greatest(F.lit(0), start - i, start + delta - (k - i))
+            last = F.least(size - length, start + i, start + delta + (k - i))
+            at = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            return F.array_distinct(F.transform(at, lambda p: F.struct(
+                n.alias("size"), i.alias("no"), F.substr(text, p + 1, length).alias("piece"))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), k), of_piece))
+
+    reach = _most_edits(size, slack) if edits is None else F.lit(edits)
+    lengths = F.filter(F.sequence(F.greatest(size - reach, F.lit(1)), size + reach), lambda n: (
+        F.abs(size - n) <= F.least(_edits_of(n, edits, slack), _allowed(size, n, edits, least, measure))))
+    return F.flatten(F.transform(lengths, of_length))
+
+
+def _allowed(left: Column, right: Column, edits: int | None, least: float, measure: str) -> Column:
+    """Edits that two texts of these lengths may be apart."""
+    shared = F.greatest(left, right) if measure == "edits" else left + right
+    most = F.floor(shared * F.lit(1 - least) + 1e-9).cast("int")
+    return most if edits is None else F.least(F.lit(edits), most)
+
+
+def candidate_pairs(
+    left: DataFrame, right: DataFrame, by: list[str], edits: int | None, least: float, measure: str = "edits",
+) -> DataFrame:
+    """``(by…, left, right)`` of the texts that share a piece, met by (length of the right text, number of the
+    piece, piece)."""
+    slack = _slack(least, measure)
+    probes = left.select(*as_columns(by), "left", F.explode(
+        _probes(col("left"), edits, least, slack, measure)).alias("p"))
+    limit = _edits_of(F.char_length("right"), edits, slack)
+    pieces = right.select(*as_columns(by), "right", F.explode(
+        _pieces(col("right"), limit)).alias("q"))
+    probes = probes.select(*as_columns(by), "left", col("p")["size"].alias("size"), col("p")["no"].alias("no"), col("p")["piece"].alias("piece"))
+    pieces = pieces.select(*as_columns(by), "right", F.char_length("right").alias("size"), col("q")["no"].alias("no"),
+                           col("q")["piece"].alias("piece"))
+    return probes.join(pieces, [*by, "size", "no", "piece"]).select(*as_columns(by), "left", "right").distinct()
 
 
 def similar_pairs(
-    left: DataFrame, right: DataFrame, by: list[str], edits: int, least: float,
+    left: DataFrame, right: DataFrame, by: list[str], edits: int | None, least: float,
     measure: str = "edits",
 ) -> DataFrame:
-    """All pairs within ``edits`` edits and ratio ≥ ``least``: ``(by…, left, right, ratio)``.
+    """All pairs within ``edits`` edits (any number if None) and ratio ≥ ``least``: ``(by…, left, right, ratio)``.
 
     ``left`` has (by…, left), ``right`` has (by…, right); texts are distinct per group. ``measure``
     is ``edits`` (1 − distance / longer length) or ``blocks`` (matching blocks, compared in Python
-    for the pairs that are within the distance).
+    for the pairs that are within the distance). Empty texts are similar to nothing.
     """
-    slack = _slack(least, measure)
-    windows = left.select(
-        *as_columns(by), "left", F.explode(_windows(col("left"), edits, slack)).alias("w"))
-    size = F.char_length("right")
-    limit = F.least(F.lit(edits), _most_edits(size, slack), size - 1)
-    pieces = right.select(*as_columns(by), "right", F.explode(_pieces(col("right"), limit)).alias("p"))
-    near = windows.select(*as_columns(by), "left", col("w")["start"].alias("_ls"),
-                          col("w")["piece"].alias("piece"))
-    parts = pieces.select(*as_columns(by), "right", col("p")["start"].alias("_rs"),
-                          col("p")["piece"].alias("piece"))
-    apart = F.abs(F.char_length("left") - F.char_length("right"))
-    met = near.join(parts, [*by, "piece"]).filter(
-        (F.abs(col("_ls") - col("_rs")) <= edits) & (apart <= edits))
-    shared = (
-        F.greatest(F.char_length("left"), F.char_length("right")) if measure == "edits"
-        else F.char_length("left") + F.char_length("right"))
-    allowed = F.least(F.lit(edits), F.floor(shared * F.lit(1 - least) + 1e-9).cast("int"))
-    pairs = met.select(*as_columns(by), "left", "right").distinct()
-    close = pairs.filter((allowed >= apart) & (F.levenshtein("left", "right") <= allowed))
+    sizes = [F.char_length("left"), F.char_length("right")]
+    allowed = _allowed(*sizes, edits, least, measure)
+    pairs = candidate_pairs(left, right, by, edits, least, measure)
+    close = pairs.withColumn("_d", F.call_function("levenshtein", col("left"), col("right"), allowed)).filter("_d >= 0")
     if measure == "edits":
-        return close.withColumn("ratio", edit_ratio(col("left"), col("right")))
-    return close.withColumn("ratio", block_ratio(col("left"), col("right"))).filter(
+        return close.withColumn("ratio", 1 - col("_d") / F.greatest(*sizes)).drop("_d")
+    return close.drop("_d").withColumn("ratio", block_ratio(col("left"), col("right"))).filter(
         col("ratio") >= least)
 
 
@@ -169,25 +204,29 @@ def best_similar(
     return found.select(*as_columns(by), "text", "ratio", "_first.*")
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``(id, component)``: the smallest id reachable over the edges (src, dst).
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so
-    long chains shrink quickly. Labels are pinned every round; the loop ends when nothing changes.
+    Without ``nodes`` only ids that occur in an edge are listed. Each round takes the smallest label among
+    the neighbours and then the label of that label, so long chains shrink quickly. Labels are pinned
+    every round together with the old ones; the loop ends when nothing changes.
     """
     both = pin(edges.select("src", "dst").unionByName(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = pin(nodes.select("id", F.col("id").alias("component")))
+    # the first round needs no labels: every id starts as its own
+    labels = pin(both.groupBy("src").agg(F.min("dst").alias("offer")).select(
+        F.col("src").alias("id"), F.least("src", "offer").alias("component")))
     while True:
         offered = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(
             F.min("component").alias("offer"))
-        lower = labels.join(offered, labels["id"] == offered["src"], "left").select(
-            "id", F.least("component", "offer").alias("component"))
+        lower = labels.join(offered, labels["id"] == offered["src"]).select(
+            "id", F.col("component").alias("before"), F.least("component", "offer").alias("component"))
         jump = lower.select(F.col("id").alias("_to"), F.col("component").alias("_next"))
-        moved = pin(lower.join(jump, lower["component"] == jump["_to"], "left").select(
-            "id", F.least("component", "_next").alias("component")))
-        changed = moved.join(
-            labels.withColumnRenamed("component", "_old"), "id").filter("component <> _old")
-        if changed.isEmpty():
-            return moved
-        labels = moved
+        moved = pin(lower.join(jump, lower["component"] == jump["_to"]).select(
+            "id", "before", F.least("component", "_next").alias("component")))
+        labels = moved.select("id", "component")
+        if moved.filter("component <> before").isEmpty():
+            break
+    if nodes is None:
+        return labels
+    return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -71,15 +71,12 @@ def name_edges(groups: DataFrame, above: float = 0.7, measure: str = "edits") ->
     Equal names are tied to one representative, and only distinct names are compared.
     """
     names = groups.select("scope", "group_id", "group_name").distinct()
-    reps = names.groupBy("scope", "group_name").agg(F.min("group_id").alias("rep"))
+    reps = pin(names.groupBy("scope", "group_name").agg(F.min("group_id").alias("rep")))
     same = names.join(reps, ["scope", "group_name"]).filter("group_id <> rep").select(
         "scope", F.col("group_id").alias("src"), F.col("rep").alias("dst"))
-    reps = pin(reps)
-    longest = reps.agg(F.max(F.char_length("group_name"))).first()[0] or 0
-    edits = (fuzzy.edit_levels(longest, above, measure) or [0])[-1]
     pairs = fuzzy.similar_pairs(
         reps.select("scope", F.col("group_name").alias("left")),
-        reps.select("scope", F.col("group_name").alias("right")), SCOPE, edits, above, measure,
+        reps.select("scope", F.col("group_name").alias("right")), SCOPE, None, above, measure,
     ).filter((col("left") < col("right")) & (col("ratio") > above))
     a = reps.select("scope", F.col("group_name").alias("left"), F.col("rep").alias("src"))
     b = reps.select("scope", F.col("group_name").alias("right"), F.col("rep").alias("dst"))
@@ -87,12 +84,17 @@ def name_edges(groups: DataFrame, above: float = 0.7, measure: str = "edits") ->
     return same.unionByName(near)
 
 
-def overlap_edges(members: DataFrame, above: float = 0.5) -> DataFrame:
+#: The rarer half of a group's titles is cut off by a sketch of this accuracy, with a share on the safe side.
+_SKETCH, _HALF = 1000, 0.51
+
+
+def overlap_edges(members: DataFrame, above: float = 0.5, changed: DataFrame | None = None) -> DataFrame:
     """``(scope, src, dst)`` between groups whose title sets have a Jaccard index > ``above`` (≥ 0.5).
 
     Groups with equal sets are tied to one representative. Of the others, two sets this alike share
     a title among the rarer half of both, so only those titles are joined; the overlap of each
-    found pair is then counted in full.
+    found pair is then counted in full. The half is cut by a bounded sketch on the safe side, so no group
+    is ranked as a whole. ``changed`` (scope, group_id) asks only for pairs with at least one of these groups.
     """
     if above < 0.5:
         raise ValueError("the half-prefix rule needs a limit of at least 0.5")
@@ -101,50 +103,66 @@ def overlap_edges(members: DataFrame, above: float = 0.5) -> DataFrame:
         F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("title").cast("decimal(38,0)")).alias("h1"),
         F.bit_xor(F.xxhash64(F.lit("b"), "title")).alias("h2"))
     reps = shape.groupBy("scope", "size", "h1", "h2").agg(F.min("group_id").alias("rep"))
-    tied = shape.join(reps, ["scope", "size", "h1", "h2"])
+    tied = pin(shape.join(reps, ["scope", "size", "h1", "h2"]).select("scope", "group_id", "size", "rep"))
     same = tied.filter("group_id <> rep").select(
         "scope", F.col("group_id").alias("src"), F.col("rep").alias("dst"))
     kept = tied.filter("group_id = rep").select("scope", "group_id", "size")
-    sets = pin(titles.join(kept, ["scope", "group_id"]))
+    sets = titles.join(kept, ["scope", "group_id"])
     often = sets.groupBy("scope", "title").agg(F.count(F.lit(1)).alias("often"))
-    ranked = ordered.positions(
-        sets.join(often, ["scope", "title"]), ["often", "title"], by=["scope", "group_id"], out="rank")
-    rare = ranked.filter(col("rank") <= F.ceil(col("size") / 2))
+    # rarity as one number: how often a title occurs, then its hash
+    rarity = col("often") + F.pmod(F.xxhash64("title"), F.lit(2 ** 20)) / 2 ** 20
+    keyed = sets.join(often, ["scope", "title"]).withColumn("rarity", rarity)
+    half = keyed.groupBy("scope", "group_id").agg(F.percentile_approx("rarity", _HALF, _SKETCH).alias("upto"))
+    rare = keyed.join(half, ["scope", "group_id"]).filter("rarity <= upto")
     a = rare.select("scope", "title", F.col("group_id").alias("src"), F.col("size").alias("n_src"))
     b = rare.select("scope", "title", F.col("group_id").alias("dst"), F.col("size").alias("n_dst"))
+    if changed is not None:
+        # a changed group may be the representative of others
+        new = tied.join(changed, ["scope", "group_id"], "left_semi").select("scope", col("rep").alias("src")).distinct()
+        a = a.join(new, ["scope", "src"], "left_semi")
+        same = same.join(new.withColumnRenamed("src", "dst"), ["scope", "dst"], "left_semi").select("scope", "src", "dst")
+    order = (col("src") < col("dst")) if changed is None else (col("src") != col("dst"))
     pairs = a.join(b, ["scope", "title"]).filter(
-        (col("src") < col("dst")) & (col("n_src") < col("n_dst") * 2) & (col("n_dst") < col("n_src") * 2)
-    ).select("scope", "src", "dst", "n_src", "n_dst").distinct()
-    left = sets.select("scope", F.col("group_id").alias("src"), "title")
-    right = sets.select("scope", F.col("group_id").alias("dst"), "title")
+        order & (col("n_src") < col("n_dst") * 2) & (col("n_dst") < col("n_src") * 2)
+    ).select("scope", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"),
+             F.when(col("src") < col("dst"), col("n_src")).otherwise(col("n_dst")).alias("n_src"),
+             F.when(col("src") < col("dst"), col("n_dst")).otherwise(col("n_src")).alias("n_dst")).distinct()
+    left = titles.select("scope", F.col("group_id").alias("src"), "title")
+    right = titles.select("scope", F.col("group_id").alias("dst"), "title")
     counted = pairs.join(left, ["scope", "src"]).join(right, ["scope", "dst", "title"]).groupBy(
         "scope", "src", "dst", "n_src", "n_dst").agg(F.count(F.lit(1)).alias("common"))
     union = col("n_src") + col("n_dst") - col("common")
     return same.unionByName(counted.filter(col("common") / union > above).select("scope", "src", "dst"))
 
 
+def _joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """Groups after one round, with ``new`` where several of them became one: titles once, the longest name."""
+    ends = edges.select(*(F.struct("scope", col(c).alias("group_id")).alias(c) for c in ("src", "dst")))
+    found = fuzzy.components(ends).select(
+        "id.scope", "id.group_id", F.col("component")["group_id"].alias("merged"))
+    placed = groups.join(found, ["scope", "group_id"], "left").withColumn("group_id", F.coalesce("merged", "group_id"))
+    placed = placed.withColumn("new", F.col("merged").isNotNull())
+    # a name has at most 60 characters, so length and name make one small key
+    names = placed.select("scope", "group_id", "group_name").distinct().groupBy("scope", "group_id").agg(F.min_by(
+        "group_name", F.struct(-F.char_length("group_name"), "group_name")).alias("group_name"))
+    titles = placed.groupBy("scope", "group_id", "title").agg(F.max("new").alias("new"))
+    return pin(titles.join(names, ["scope", "group_id"]).select("scope", "group_id", "group_name", "title", "new"))
+
+
 def merge_groups(groups: DataFrame, measure: str = "edits") -> DataFrame:
-    """``(scope, group_id, group_name, title)`` after merging alike groups within a scope.
+    """``(scope, group_id, group_name, title)`` after merging alike groups within a scope until nothing changes.
 
-    Groups are merged along chains of alike names (ratio > 0.7) or overlapping titles (Jaccard >
-    0.5); the merged group has the longest name (ties: the smallest) and every title once.
+    A round merges along chains of alike names (ratio > 0.7) or overlapping titles (Jaccard > 0.5), whatever
+    the order of the groups; a merged group has the longest name (ties: the smallest) and every title once.
+    Later rounds compare the groups that the last round made with all others. Only their titles can bring
+    something new: each of their names was compared with all names, and merged along, in the first round.
     """
-    groups = pin(groups)
-    key = lambda c: F.struct("scope", c)
-    edges = name_edges(groups, measure=measure).unionByName(overlap_edges(groups)).select(
-        key(F.col("src")).alias("src"), key(F.col("dst")).alias("dst"))
-    renamed = edges.select(*[
-        F.struct(col(c)["scope"].alias("scope"), col(c)[c].alias("group_id")).alias(c)
-        for c in ("src", "dst")])
-    nodes = groups.select(key(F.col("group_id")).alias("id")).distinct()
-    found = fuzzy.components(renamed, nodes).select(
-        "id.scope", "id.group_id", F.col("component")["group_id"].alias("merged"))
-    joined = groups.join(found, ["scope", "group_id"])
-    names = joined.groupBy("scope", "merged").agg(F.min_by(
-        "group_name", F.struct(-F.char_length("group_name"), "group_name")).alias("name"))
-    titles = joined.select("scope", "merged", "title").distinct()
-    return titles.join(names, ["scope", "merged"]).select(
-        "scope", F.col("merged").alias("group_id"), F.col("name").alias("group_name"), "title")
+    groups = pin(groups.select("scope", "group_id", "group_name", "title"))
+    edges = pin(name_edges(groups, measure=measure).unionByName(overlap_edges(groups)))
+    while not edges.isEmpty():
+        groups = _joined(groups.drop("new"), edges)
+        edges = pin(overlap_edges(groups, changed=groups.filter("new").select("scope", "group_id").distinct()))
+    return groups.select("scope", "group_id", "group_name", "title")
 
 
 def drop_singles(groups: DataFrame) -> DataFrame:

@@ -155,3 +155,23 @@ def test_responses(spark):
     assert got == cases
     later = df.filter("t like '%7%'").select(classify_response(F.col("t"), True).alias("c")).first().c
     assert (later.kind, later.content) == ("END", "7")
+
+
+def test_candidates_are_few(spark):
+    """Pieces met by length, number and text leave few pairs that are not similar."""
+    names = spark.read.parquet("/root/testdata/sf0.01/part.parquet").selectExpr(
+        "p_brand as scope", "concat(p_type, ' ', p_name) as name").distinct()
+    left, right = names.selectExpr("scope", "name as left"), names.selectExpr("scope", "name as right")
+    found = fuzzy.similar_pairs(left, right, ["scope"], None, 0.8)
+    assert fuzzy.candidate_pairs(left, right, ["scope"], None, 0.8).count() <= 20 * found.count()
+
+
+def test_merging_goes_on_until_nothing_changes(spark):
+    titles = {"A": "1234", "B": "5678", "C": "123567", "D": "1235679XY"}
+    names = {"A": "alpha group one", "B": "alpha group two", "C": "zzzz", "D": "qqqqqqqqqqqqqqqq"}
+    rows = [("s", g, names[g], t) for g, ts in titles.items() for t in ts]
+    df = spark.createDataFrame(rows, "scope string, group_id string, group_name string, title string")
+    first = grouping.name_edges(df).unionByName(grouping.overlap_edges(df)).select("src", "dst")
+    assert {r.component for r in fuzzy.components(first).collect()} == {"A", "C"}  # two groups after one round
+    got = {(r.group_id, r.title) for r in grouping.merge_groups(df).collect()}
+    assert got == {("A", t) for t in "123456789XY"}
