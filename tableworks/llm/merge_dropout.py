@@ -3,9 +3,9 @@
 Merges are taken from an agenda, best score first and then leftmost. A candidate that comes up is skipped
 when a hash keyed by the seed, the document, the place of the unit and its place there falls below the rate,
 so every occurrence of a word draws its own segmentation, and each repeats. Spaces and line breaks cannot
-be crossed by a piece, so a text is cut into units there. Remembered is only what does not depend on the
-draws: the candidates that come up in a unit after given skips, and the ids if none of them is skipped. At
-rate 0 the ids are those of the library.
+be crossed by a piece, so a text is cut into units there. Units of like length share a matrix: a row holds the
+symbols of a unit and the ranks of its neighbouring pairs, and each round takes the best pair of every row,
+draws, and merges or skips, until no row has a pair left. At rate 0 the ids are those of the library.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from tableworks.llm.batches import keyed, map_texts, strings
 from tableworks.llm.words import tokenizer_path
 
-#: Paths remembered before the older half goes, the longest unit remembered, units that are drawn at a time.
-MEMO, LONGEST, BLOCK = 250_000, 40, 1 << 16
+#: Units that are drawn at a time, and the widths of the matrices; longer units have a heap of their own.
+BLOCK, WIDTHS = 1 << 16, (2, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 21, 28, 40)
+_NONE = np.iinfo(np.int32).max
 
 _MARK = "▁"
 _MIX, _LAST, _FULL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
@@ -43,16 +44,6 @@ def _draws(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(32)) * np.uint64(_LAST) >> np.uint64(32)
 
 
-class _Path:
-    """A unit after given skips: the codes of the candidates that come up from there on, the ids if none of
-    them is skipped, and the paths that begin with skipping one."""
-
-    __slots__ = ("skips", "codes", "ids", "after")
-
-    def __init__(self, skips: tuple[int, ...], codes: bytes, ids: bytes):
-        self.skips, self.codes, self.ids, self.after = skips, codes, ids, {}
-
-
 class DropoutCoder:
     """Encoder and decoder of one vocabulary with one seed and rate."""
 
@@ -76,10 +67,66 @@ class DropoutCoder:
         self._units = re.compile(f"[{breaks}]|{_MARK}+[^{_MARK}{breaks}]*|[^{_MARK}{breaks}]+" if breaks else f"{_MARK}*[^{_MARK}]+|{_MARK}+")
         self._table = {i: p.replace(_MARK, " ").encode() for p, i in self.ids.items()} | {
             i: bytes([b]) for b, i in self.bytes.items()}
-        self._mark = _Path((), b"", np.array([self.bytes[b] for b in _MARK.encode()], "<u4").tobytes())
-        self._memo: dict[str, _Path] = {}
-        self._older: dict[str, _Path] = {}
-        self._paths = 0
+        self._mark = np.array([self.bytes[b] for b in _MARK.encode()], np.uint32)
+        self._tables()
+
+    def _tables(self) -> None:
+        """Symbols (pieces, and characters that only occur inside pieces) by code point, and what pairs of them make."""
+        symbol = {p: n for n, p in enumerate(self.ids)}
+        for p in self.ids:
+            for c in p:
+                symbol.setdefault(c, len(symbol))
+        self._strange = len(symbol)  # any other character: joins nothing
+        self._of_char = np.full(0x110000, self._strange, np.int32)
+        for p, n in symbol.items():
+            if len(p) == 1:
+                self._of_char[ord(p)] = n
+        self._id_of = np.array([self.ids.get(p, -1) for p in symbol] + [-1], np.int64)
+        order = {x: n for n, x in enumerate(sorted(set(self.rank.values())))}
+        self._code_of = np.array([self._codes.get(p, 0) for p in symbol], np.uint64)
+        pairs = {}
+        for p in self.ids:
+            for cut in range(1, len(p)):
+                left, right = symbol.get(p[:cut]), symbol.get(p[cut:])
+                if left is not None and right is not None:
+                    pairs[left * (self._strange + 1) + right] = (order[self.rank[p]], symbol[p])
+        # two halves of a table of two slots for each hash; what fits neither is looked up in a sorted rest
+        keys = np.array(sorted(pairs), np.int64)
+        made = np.array([pairs[k] for k in keys.tolist()], np.int32).reshape(-1, 2)
+        self._bits = max(4, int(len(keys)).bit_length() + 2)
+        self._slots = np.full((2, 1 << self._bits), -1, np.int64)
+        self._made = np.full((2, 1 << self._bits, 2), _NONE, np.int32)
+        left = np.arange(len(keys))
+        for half in range(2):
+            _, first = np.unique(self._hashed(keys[left], half), return_index=True)
+            at = self._hashed(keys[left[first]], half)
+            self._slots[half, at], self._made[half, at] = keys[left[first]], made[left[first]]
+            left = np.delete(left, first)
+        self._rest, self._rest_made = keys[left], made[left]
+
+    def _hashed(self, keys: np.ndarray, half: int) -> np.ndarray:
+        mix = np.uint64((_MIX, _LAST)[half])
+        return (keys.astype(np.uint64) * mix >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def _merged(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and symbol of what neighbours make, or no rank."""
+        keys = left.astype(np.int64) * (self._strange + 1) + right
+        at = self._hashed(keys, 0)
+        found = self._made[0][at]
+        rank, made = found[:, 0].copy(), found[:, 1].copy()
+        missed = np.flatnonzero(self._slots[0][at] != keys)
+        rank[missed] = _NONE
+        # few keys share their first slot with another one, so most of these are no pairs at all
+        again = keys[missed]
+        at = self._hashed(again, 1)
+        hit = self._slots[1][at] == again
+        rank[missed[hit]], made[missed[hit]] = self._made[1][at[hit]].T
+        if len(self._rest):
+            missed, again = missed[~hit], again[~hit]
+            at = np.minimum(np.searchsorted(self._rest, again), len(self._rest) - 1)
+            hit = self._rest[at] == again
+            rank[missed[hit]], made[missed[hit]] = self._rest_made[at[hit]].T
+        return rank, made
 
     def _code(self, at: int, piece: str) -> int:
         code = self._codes.get(piece)
@@ -129,75 +176,93 @@ class DropoutCoder:
             out += [known] if known is not None else [self.bytes[b] for b in piece.encode()]
         return array("I", out).tobytes()
 
-    def _path(self, unit: str, skips: tuple[int, ...]) -> _Path:
-        """The path of a unit on which the candidates of these numbers are skipped."""
-        # the agenda of a short unit is a list with the rank of each neighbouring pair
-        rank, none, codes, of_piece = self.rank.get, float("inf"), [], self._codes
-        pieces, starts = list(unit), list(range(len(unit)))
-        ranks = [rank(unit[i:i + 2], none) for i in range(len(unit) - 1)]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            both = pieces[i] + pieces[i + 1]
-            codes.append(of_piece[both] + starts[i] * _LAST & _FULL)
-            if len(codes) - 1 in skips:
-                ranks[i] = none
+    def _rounds(self, chars: np.ndarray, lengths: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
+        """Symbols of units of at most ``width`` characters after all rounds: a row each, -1 where a place was
+        merged away or does not exist."""
+        n = len(lengths)
+        places = np.arange(width)
+        symbols = np.full((n, width), -1, np.int32)
+        symbols[places < lengths[:, None]] = self._of_char[chars]
+        ranks, makes = np.full((n, width), _NONE, np.int32), np.zeros((n, width), np.int32)
+        row, at = np.nonzero(places < lengths[:, None] - 1)
+        ranks[row, at], makes[row, at] = self._merged(symbols[row, at], symbols[row, at + 1])
+        # neighbours to the right and left; the place behind the last one is `width`
+        after = np.broadcast_to((places + 1).astype(np.int8), (n, width)).copy()
+        before = np.broadcast_to((places - 1).astype(np.int8), (n, width)).copy()
+        live = np.arange(n)
+        while True:
+            block = ranks[live]
+            at = block.argmin(1)
+            open_ = block[np.arange(len(live)), at] != _NONE
+            live, at = live[open_], at[open_]
+            if not len(live):
+                return symbols
+            whole = makes[live, at]
+            if self.limit:
+                draws = _draws(keys[live] ^ (self._code_of[whole] + at.astype(np.uint64) * np.uint64(_LAST)))
+                skip = draws < self.limit
+                ranks[live[skip], at[skip]] = _NONE
+                row, at, whole = live[~skip], at[~skip], whole[~skip]
+            else:
+                row = live
+            gone = after[row, at].astype(np.int64)
+            behind = after[row, gone].astype(np.int64)
+            symbols[row, at], symbols[row, gone] = whole, -1
+            ranks[row, gone], ranks[row, at] = _NONE, _NONE
+            after[row, at] = behind
+            inner = np.flatnonzero(behind < lengths[row])
+            r, i, j = row[inner], at[inner], behind[inner]
+            before[r, j] = i
+            ranks[r, i], makes[r, i] = self._merged(symbols[r, i], symbols[r, j])
+            front = before[row, at].astype(np.int64)
+            inner = np.flatnonzero(front >= 0)
+            r, i, j = row[inner], front[inner], at[inner]
+            ranks[r, i], makes[r, i] = self._merged(symbols[r, i], symbols[r, j])
+
+    def _tokens(self, symbols: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of final symbols, and how many each has; a character without a piece becomes its bytes."""
+        ids = self._id_of[symbols]
+        sizes = np.ones(len(ids), np.int64)
+        strange = np.flatnonzero(ids < 0)
+        if not len(strange):
+            return ids.astype(np.uint32), sizes
+        codes, which = np.unique(chars[strange], return_inverse=True)
+        spelled = [[self.bytes[b] for b in chr(c).encode()] for c in codes.tolist()]
+        sizes[strange] = np.array([len(x) for x in spelled])[which]
+        out = np.repeat(ids, sizes)
+        starts = np.cumsum(sizes) - sizes
+        for number, own in enumerate(spelled):
+            mine = starts[strange[which == number]]
+            for k, b in enumerate(own):
+                out[mine + k] = b
+        return out.astype(np.uint32), sizes
+
+    def _drawn(self, units: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in order, and how many each has; None is a mark that the text itself holds."""
+        lengths = np.fromiter((0 if u is None else len(u) for u in units), np.int64, len(units))
+        chars = np.frombuffer("".join([u for u in units if u]).encode("utf-32-le", "surrogatepass"), "<u4")
+        starts, counts, parts = np.cumsum(lengths) - lengths, np.zeros(len(units), np.int64), []
+        group = np.searchsorted(WIDTHS, lengths)
+        for number, width in enumerate(WIDTHS):
+            mine = np.flatnonzero((group == number) & (lengths > 0))
+            if not len(mine):
                 continue
-            pieces[i] = both
-            del pieces[i + 1], starts[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank(both + pieces[i + 1], none)
-            if i:
-                ranks[i - 1] = rank(pieces[i - 1] + both, none)
-        self._paths += 1
-        return _Path(skips, array("Q", codes[skips[-1] + 1 if skips else 0:]).tobytes(), self._ids(pieces))
-
-    def _root(self, unit: str | None, key: int) -> _Path:
-        """The path without skips of a unit that is not among the younger ones; units in use stay young."""
-        if unit is None:
-            return self._mark
-        if len(unit) > LONGEST:
-            return _Path((), b"", self._ids(self.segment(unit, key)))
-        if self._paths >= MEMO:
-            self._older, self._memo, self._paths = self._memo, {}, 0
-        old = self._older.get(unit)
-        if old is None:
-            path = self._path(unit, ())
-        else:  # what follows it is found again, so that the number of paths stays bounded
-            path = _Path((), old.codes, old.ids)
-            self._paths += 1
-        self._memo[unit] = path
-        return path
-
-    def _drawn(self, units: list[str | None], keys: np.ndarray) -> list[bytes]:
-        """Ids of each unit; None is a mark that the text itself holds."""
-        known = self._memo
-        paths = [known.get(u) for u in units]
-        for n, path in enumerate(paths):
-            if path is None:
-                # the younger ones may have changed, or hold the unit since
-                paths[n] = self._memo.get(units[n]) or self._root(units[n], int(keys[n]))
-        live = np.arange(len(units))
-        while self.limit and len(live):
-            codes = [paths[n].codes for n in live.tolist()]
-            ends = np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)) // 8)
-            sizes = np.diff(ends, prepend=0)
-            owner = np.repeat(np.arange(len(live)), sizes)
-            hits = np.flatnonzero(_draws(keys[live][owner] ^ np.frombuffer(b"".join(codes), np.uint64)) < self.limit)
-            # the first that is skipped settles what comes up after it
-            owner, first = np.unique(owner[hits], return_index=True)
-            places = hits[first] - (ends - sizes)[owner]
-            live = live[owner]
-            for n, place in zip(live.tolist(), places.tolist()):
-                path = paths[n]
-                new = path.after.get(place)
-                if new is None:
-                    number = place + (path.skips[-1] + 1 if path.skips else 0)
-                    new = path.after[place] = self._path(units[n], (*path.skips, number))
-                paths[n] = new
-        return [path.ids for path in paths]
+            sizes = lengths[mine]
+            own = chars[np.repeat(starts[mine] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            symbols = self._rounds(own, sizes, keys[mine], width)
+            row, at = np.nonzero(symbols >= 0)
+            ids, each = self._tokens(symbols[row, at], chars[starts[mine][row] + at])
+            counts[mine] = np.bincount(row, each, len(mine)).astype(np.int64)
+            parts.append((mine, ids))
+        for n in np.flatnonzero((group == len(WIDTHS)) | (lengths == 0)).tolist():
+            ids = self._mark if units[n] is None else np.frombuffer(self._ids(self.segment(units[n], int(keys[n]))), "<u4")
+            counts[n] = len(ids)
+            parts.append((np.array([n]), ids))
+        ends, out = np.cumsum(counts), np.zeros(counts.sum(), np.uint32)
+        for mine, ids in parts:
+            sizes = counts[mine]
+            out[np.repeat(ends[mine] - sizes - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
+        return out, counts
 
     def _cut(self, text: str) -> list[str | None]:
         """Units of a text; a mark in the text itself is None, or it would decode to a space."""
@@ -218,9 +283,10 @@ class DropoutCoder:
         waiting, units, numbers = [], [], []
 
         def settle():
-            ids, at = self._drawn(units, np.concatenate(numbers)), 0
+            ids, counts = self._drawn(units, np.concatenate(numbers))
+            ends, at = [0, *np.cumsum(counts).tolist()], 0
             for n, count in waiting:
-                out[n].append(b"".join(ids[at:at + count]))
+                out[n].append(ids[ends[at]:ends[at + count]].tobytes())
                 at += count
             for kept in (waiting, units, numbers):
                 kept.clear()
