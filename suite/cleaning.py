@@ -172,11 +172,55 @@ def clean_corpus_headers(spark, folder):
     return cleaned.select("table_id", F.array_join("columns", "|").alias("columns"))
 
 
+def clean_rejected_late(spark, folder):
+    """Final verdicts: too few entities, numeric columns without a value, too incomplete."""
+    parts = read(spark, folder, "part")
+    shape = lambda **exprs: parts.select(col("p_partkey").alias("_pos"), *[F.expr(e).alias(n) for n, e in exprs.items()])
+    entities = shape(Country="p_type", Entity="case when p_size = 10 then p_brand end", Size="p_size")
+    numbers = shape(Entity="case when p_size < 30 then p_name end", Kind="p_type",
+                    Size="case when p_size >= 30 then p_size end")
+    sparse = shape(Entity="p_brand", Size="p_size", **{f"t{i}": f"case when p_size = {i} then p_name end" for i in range(5)})
+    reports = [
+        cleaning.clean(entities, ["_pos"], name="entities").report,
+        cleaning.clean(numbers, ["_pos"], name="numbers").report,
+        cleaning.clean(sparse, ["_pos"], cleaning.Policy(numeric="mean", min_completeness=0.5), "sparse").report,
+    ]
+    return _report(reduce(DataFrame.unionByName, reports))
+
+
+def _filled_corpus(spark, folder, **policy):
+    """Rows of the dirty table after the corpus was cleaned with a filling policy."""
+    rows = cleaning.clean_corpus(*_corpus(spark, folder), cleaning.Policy(**policy)).rows.filter("table_id = 'dirty'")
+    cell = lambda i: F.get("cells", F.lit(i))
+    return rows.select("pos", cell(0).alias("Entity"), cell(1).cast("int").alias("Year"), cell(2).alias("Kind"),
+                       cell(3).cast("double").alias("Price band"), F.round(cell(4).cast("double"), 6).alias("Size"),
+                       cell(5).alias("Mostly text"))
+
+
+def clean_corpus_mean(spark, folder):
+    return _filled_corpus(spark, folder, numeric="mean", categorical="mode")
+
+
+def clean_corpus_median(spark, folder):
+    return _filled_corpus(spark, folder, numeric="median", categorical="mode")
+
+
+def clean_corpus_mode(spark, folder):
+    return _filled_corpus(spark, folder, categorical="mode")
+
+
+def clean_corpus_report_median(spark, folder):
+    """Verdicts with filled cells, without caps."""
+    policy = cleaning.Policy(numeric="median", categorical="mode")
+    return _report(cleaning.clean_corpus(*_corpus(spark, folder), policy).report)
+
+
 QUERIES = {f.__name__: f for f in [
     clean_empty_rows, clean_columns, clean_impute_mean, clean_impute_median, clean_impute_mode,
     clean_coerce_numeric, clean_dedupe, clean_entity_cap, clean_entity_cap_idle, clean_table,
     clean_report, clean_table_uncapped, clean_report_median, clean_rejected, clean_corpus_report,
-    clean_corpus_rows, clean_corpus_headers,
+    clean_corpus_rows, clean_corpus_headers, clean_rejected_late, clean_corpus_mean, clean_corpus_median,
+    clean_corpus_mode, clean_corpus_report_median,
 ]}
 
 _MONEY = "try_cast(regexp_replace({}, '[,$%]', '', 'g') as double)"
@@ -257,6 +301,19 @@ SQL = {
           "Year", coalesce("Kind", '-'), "Price band", coalesce("Size" || '.0', '-'), "Mostly text") as cells
           from {_CLEAN}
         union all select 'orders', _pos, concat_ws('|', "Entity", "Year", "Total") from {_ORDER_CAP}""",
+    "clean_rejected_late": " union all ".join([
+        _rejected("entities", "too few entities", "part", 3),
+        _rejected("numbers", "no numeric values", "part", 3),
+        _rejected("sparse", "too incomplete", "part", 7)]),
+    **{f"clean_corpus_{name}": f"""select _pos as pos, "Entity", cast("Year" as int) as "Year", "Kind", "Price band",
+        round(cast("Size" as double), 6) as "Size", "Mostly text" from {table}"""
+       for name, table in {"mean": _MEAN, "median": _MEDIAN, "mode": _FILLED.format(size='"Size"')}.items()},
+    "clean_corpus_report_median": " union all ".join([
+        _summary("dirty", None, _FINAL, 3, "part", 8, _MEDIAN),
+        _summary("orders", None, ["Entity", "Year", "Total"], 3, "orders", 3, """(select o_custkey as "Entity",
+          year(o_orderdate) as "Year", o_totalprice as "Total" from orders group by all)"""),
+        _rejected("region", "too small", "region", 2),
+        _rejected("texts", "too few numeric columns", "customer", 3)]),
     "clean_corpus_headers": """select 'dirty' as table_id, 'Entity|Year|Kind|Price band|Size|Mostly text' as columns
         union all select 'orders', 'Entity|Year|Total'""",
 }

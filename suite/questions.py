@@ -252,7 +252,7 @@ SQL = {
         round(corr(steps_count, complexity_score), 4) as corr_steps_complexity from {_FEATURES}""",
     "distractor_report": f"""select distractor_type, count(*) as count,
         round(avg(complexity_score), 4) as mean_complexity, round(avg(table_number), 4) as mean_table_number
-        from {_FEATURES} where subset = 'distractor_bank' group by 1""",
+        from {_FEATURES} where subset = 'distractor_bank' group by rollup (distractor_type)""",
     "domain_by_reasoning": f"""select reasoning_type, count(*) filter (domain = 'de') as de,
         count(*) filter (domain = 'en') as en, count(*) filter (domain = 'es') as es,
         count(*) filter (domain = 'fr') as fr from {_FEATURES} group by 1""",

@@ -175,6 +175,14 @@ def join_outer(spark, folder):
     return rel.join(lines, _some_orders(spark, folder), ["key"], "outer")
 
 
+def join_outer_hot(spark, folder):
+    """Lines and orders by customer's nation and status; every key is hot, some on one side only."""
+    lines = read(spark, folder, "customer").selectExpr("nullif(c_nationkey, 3) as key", "c_custkey as left_row")
+    suppliers = read(spark, folder, "supplier").selectExpr(
+        "case when s_nationkey % 4 > 0 then s_nationkey end as key", "s_suppkey as right_row").filter("key is null or key > 4")
+    return rel.join(lines, suppliers, ["key"], "outer", hot_rows=3)
+
+
 def _counts_by_nation(spark, folder, table, prefix):
     """Row counts per nation key, where nation keys below 3 are blanked."""
     key = F.expr(f"case when {prefix}_nationkey >= 3 then {prefix}_nationkey end")
@@ -308,7 +316,7 @@ QUERIES = {f.__name__: f for f in [
     flagship, select_cols, filter_eq, filter_order_ops, filter_ne_nulls, filter_type_mismatch,
     filter_all, filter_any, filter_any_one_column, saved_tables, derive_arith, derive_div_null,
     derive_div_ieee, derive_concat, derive_agg_scalar, join_inner, join_left, join_right,
-    join_outer, join_null_keys, join_overlap_suffix, join_two_keys, join_ratio, arg_max,
+    join_outer, join_outer_hot, join_null_keys, join_overlap_suffix, join_two_keys, join_ratio, arg_max,
     year_difference, existence_test, top_ten_sum, semi_top_entities, anti_new_only,
     group_agg_multi, group_null_key, group_sum_null_zero, agg_global, agg_global_empty,
     order_limit_topk,
@@ -362,6 +370,10 @@ SQL = {
     "join_right": f"select o.key, l_linenumber, l_quantity, o_orderpriority from {_BIG} l right join {_ORDERS} o on l.key = o.key",
     "join_outer": f"""select coalesce(l.key, o.key) as key, l_linenumber, l_quantity, o_orderpriority
         from {_BIG} l full join {_ORDERS} o on l.key = o.key""",
+    "join_outer_hot": """select coalesce(c.key, s.key) as key, left_row, right_row
+        from (select nullif(c_nationkey, 3) as key, c_custkey as left_row from customer) c full join
+          (select case when s_nationkey % 4 > 0 then s_nationkey end as key, s_suppkey as right_row from supplier
+            where s_nationkey % 4 = 0 or s_nationkey > 4) s on coalesce(c.key, -1) = coalesce(s.key, -1)""",
     "join_null_keys": f"""select coalesce(c.nation, s.nation) as nation, c.n as n_x, s.n as n_y
         from {_CUST} c full join {_SUPP} s on coalesce(c.nation, -1) = coalesce(s.nation, -1)""",
     "join_overlap_suffix": f"""select c.nation, c.n as n_x, s.n as n_y

@@ -223,20 +223,35 @@ def timeout_streaks_session(spark, folder):
     return df.select("event_id", "streak", "stopped")
 
 
+_LOG = "record STRING, o_orderkey BIGINT, runs ARRAY<STRUCT<" + readers.schemas.RUN + ">>"
+
+
+def _logs(spark, folder):
+    """One log folder per question, stored once per session."""
+    key = (spark.sparkContext.applicationId, folder, "logs")
+    if key not in _STORED:
+        path = scratch_path(spark, "logs")
+        records = _records(spark, folder).withColumn("record", col("question_id"))
+        sinks.write_question_logs(records.drop("source_dir"), path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def question_log(spark, folder):
-    """One log folder per order, read back as JSON lines and flattened."""
-    path = scratch_path(spark, "logs")
-    customers = read(spark, folder, "customer").select(
-        F.format_string("question_%03d", "c_custkey").alias("question_id"))
-    records = _records(spark, folder).join(customers, "question_id", "left_semi")
-    by_priority = records.withColumn("record", col("question_id")).withColumn("question_id", col("source_dir"))
-    sinks.write_question_logs(by_priority.drop("source_dir"), path)
-    back = readers.read_log_lines(spark, path, "record STRING, o_orderkey BIGINT, runs ARRAY<STRUCT<"
-                                  + readers.schemas.RUN + ">>")
-    flat = runs.flatten(back)
+    """One log folder per question, read back as JSON lines and flattened."""
+    flat = runs.flatten(readers.read_log_lines(spark, _logs(spark, folder), _LOG))
     return flat.groupBy("record").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("rounds").alias("rounds"))
 
 
+def result_logs(spark, folder):
+    """The logs of all questions scanned file by file: runs by decision, and where each log lies."""
+    logs = readers.read_result_logs(spark, _logs(spark, folder), _LOG, "*.json")
+    flat = runs.flatten(logs)
+    return flat.groupBy("record", F.substring_index("source_dir", "=", -1).alias("question")).agg(
+        F.count(F.lit(1)).alias("n_runs"), F.count_if("decision").alias("n_true"),
+        F.count_if(col("decision").isNull()).alias("n_null"), F.sum("failed_steps").alias("failed"))
+
+
 def run_log_stream(spark, folder):
     """A log followed as a stream: two appends, each read once."""
     log, out, progress = (scratch_path(spark, n) for n in ("log", "runs", "progress"))
@@ -295,6 +310,19 @@ def result_as_list(spark, folder):
     return answers.list_answers(_result_cells(spark, folder, "O"), ["o_custkey"])
 
 
+def result_chunks(spark, folder):
+    """The same lists in chunks of two values."""
+    chunks = answers.answer_chunks(_result_cells(spark, folder, "O"), ["o_custkey"], 2)
+    return chunks.drop("digest")
+
+
+def result_long_lists_equal(spark, folder):
+    """Lists compared by the digests of their chunks."""
+    chunks = lambda status: answers.answer_chunks(read(spark, folder, "orders").filter(col("o_orderstatus") == status).select(
+        "o_custkey", col("o_orderpriority").alias("value")).distinct(), ["o_custkey"], 2)
+    return answers.same_long_lists(chunks("O"), chunks("P"), ["o_custkey"])
+
+
 def result_lists_equal(spark, folder):
     cells = lambda status: read(spark, folder, "orders").filter(col("o_orderstatus") == status).select(
         "o_custkey", col("o_orderpriority").alias("value")).distinct()
@@ -328,6 +356,12 @@ def response_blocks(spark, folder):
                      later["kind"].alias("kind_later"), later["content"].alias("content_later"))
 
 
+def single_blocks(spark, folder):
+    """Responses that must hold exactly one block."""
+    block = answer.single_block(col("response"))
+    return _responses(spark, folder).select("conv_id", "turn", block["kind"].alias("kind"), block["content"].alias("content"))
+
+
 QUERIES = {f.__name__: f for f in [
     runs_flatten, final_status, runs_of_questions, runs_overview, decision_dist, step_status,
     step_errors, step_error_shares, rounds_hist, failed_step_errors, errors_by_question,
@@ -335,7 +369,8 @@ QUERIES = {f.__name__: f for f in [
     consistency, consistency_by_question, consistency_detail, status_success, top_errors,
     compare_sources, repeated_plans, stubborn_plans, timeout_streaks, timeout_streaks_session,
     question_log, run_log_stream, answers_match, answers_numeric_tol, single_cell_answer,
-    result_values, result_as_list, result_lists_equal, response_blocks,
+    result_values, result_as_list, result_chunks, result_lists_equal, result_long_lists_equal, response_blocks,
+    single_blocks, result_logs,
 ]}
 
 _STEPS = f"""(select printf('question_%03d', o_custkey) as question_id, o_orderkey, o_orderpriority as source_dir,
@@ -487,6 +522,9 @@ SQL = {
         select event_id, streak, streak >= 3 as stopped from s""",
     "question_log": f"""select question_id as record, count(*) as n_runs, cast(sum(rounds) as bigint) as rounds
         from {_RUNS} group by 1""",
+    "result_logs": f"""select question_id as record, question_id as question, count(*) as n_runs,
+        count(*) filter (decision) as n_true, count(*) filter (decision is null) as n_null,
+        cast(sum(failed_steps) as bigint) as failed from {_RUNS} group by 1, 2""",
     "run_log_stream": f"""select source_dir, {_LABEL} as label, count(*) as n, cast(sum(failed_steps) as bigint) as failed
         from {_RUNS} group by 1, 2""",
     "answers_match": f"""with a as (select p_partkey, {_GOLD_SQL} as gold, {_GIVEN_SQL} as given from part)
@@ -502,6 +540,15 @@ SQL = {
         o_orderstatus, case when o_orderkey % 3 <> 0 then cast(o_orderkey % 3 as varchar) end]) v(value)
         where o_orderstatus = 'O' and v.value is not null)
         select o_custkey, count(*) as n_values, string_agg(value, ', ' order by value) as answer from d group by 1""",
+    "result_chunks": """with d as (select distinct o_custkey, v.value from orders, unnest([o_orderpriority,
+        o_orderstatus, case when o_orderkey % 3 <> 0 then cast(o_orderkey % 3 as varchar) end]) v(value)
+        where o_orderstatus = 'O' and v.value is not null),
+        n as (select *, (row_number() over (partition by o_custkey order by value) - 1) // 2 as chunk from d)
+        select o_custkey, chunk, count(*) as n_values, string_agg(value, ', ' order by value) as answer from n group by 1, 2""",
+    "single_blocks": f"""with r as (select conv_id, turn, {_FORM} as form, {_TEXT} as t from conversations)
+        select conv_id, turn, case when form in (0, 1) then 'PLAN' when form = 3 then 'END' else 'ERROR' end as kind,
+          case when form in (0, 1, 3) then t when form in (4, 5) then 'FORMAT_MULTIPLE_BLOCKS'
+            else 'FORMAT_NO_BLOCK' end as content from r""",
     "result_lists_equal": """with o as (select distinct o_custkey, o_orderpriority as v from orders where o_orderstatus = 'O'),
         p as (select distinct o_custkey, o_orderpriority as v from orders where o_orderstatus = 'P'),
         j as (select coalesce(o.o_custkey, p.o_custkey) as o_custkey, o.v as a, p.v as b
@@ -519,3 +566,5 @@ SQL = {
           case when form in (0, 1, 2, 3, 5, 6) then t when form = 4 then 'load a' || chr(10) || t
             else 'FORMAT_NO_BLOCK' end as content_later from r""",
 }
+
+SQL["result_long_lists_equal"] = SQL["result_lists_equal"]

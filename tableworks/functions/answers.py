@@ -45,6 +45,8 @@ _STARRED_PLAN = r"(?s)\*\*PLAN\*\*\s*\n(?:PLAN\s*\n)?(.*?)\n(?:\*\*END\*\*|END P
 _HEADED_PLAN = r"(?s)##\s+PLAN\s*\n(?:PLAN\s*\n)?(.*?)\nEND PLAN"
 _PLAN = r"(?s)PLAN\n(.*?)\nEND PLAN"
 _PLAN_OPEN = r"(?s)(?:^|\n)PLAN\s+(.+)$"
+_PLAN_LINE = r"(?m)PLAN\s+(.+?)(?:\s*#.*)?$"
+_END_BLOCK = r"(?s)(?:^|\n)END\n(.*?)\nEND(?:\n|$)"
 _END_MARK = r"(?i)(?:^|\n)[ \t]*(?:\*\*END\*\*|##[ \t]+END|END)[ \t]*(?=\n|$)"
 _END = r"(?is)(?:^|\n)[ \t]*(?:\*\*END\*\*|##[ \t]+END|END)[ \t]*(?:\n(.*?))?(?:\n[ \t]*(?:\*\*END\*\*|END)[ \t]*(?:\n|$)|$)"
 _END_LINE = r"(?:^|\n)[ \t]*(?:\*\*END\*\*|##[ \t]+END|END)[ \t]+([^\n]+)"
@@ -82,6 +84,30 @@ def classify_response(text: Column, plan_executed: bool = False) -> Column:
     return F.when(blank, error).when(*first).when(*second).when(open_plan, unclosed).otherwise(error)
 
 
+def single_block(text: Column) -> Column:
+    """A response that must hold exactly one block, as struct (kind, content).
+
+    Blocks are counted as they stand between their lines (``PLAN … END PLAN``, ``END … END``). None is the error
+    ``FORMAT_NO_BLOCK``, unless a PLAN was left open, whose first line counts as a plan; more than one is
+    ``FORMAT_MULTIPLE_BLOCKS``.
+    """
+    plain = F.regexp_replace(
+        F.regexp_replace(text, _STARRED_PLAN, "PLAN\n$1\nEND PLAN"), _HEADED_PLAN, "PLAN\n$1\nEND PLAN")
+    whole = _strip(F.coalesce(plain, F.lit("")))
+    plans = F.regexp_extract_all(whole, F.lit(_PLAN), F.lit(1))
+    ends = F.regexp_extract_all(whole, F.lit(_END_BLOCK), F.lit(1))
+    made = lambda kind, content: F.struct(F.lit(kind).alias("kind"), content.alias("content"))
+    total = F.size(plans) + F.size(ends)
+    left_open = _strip(F.regexp_replace(F.regexp_extract(whole, _PLAN_LINE, 1), r"(?m)\s*#.*$", ""))
+    return (
+        F.when((total == 0) & (left_open != ""), made("PLAN", left_open))
+        .when(total == 0, made("ERROR", F.lit("FORMAT_NO_BLOCK")))
+        .when(total > 1, made("ERROR", F.lit("FORMAT_MULTIPLE_BLOCKS")))
+        .when(F.size(plans) == 1, made("PLAN", _strip(F.get(plans, F.lit(0)))))
+        .otherwise(made("END", _strip(F.get(ends, F.lit(0)))))
+    )
+
+
 def block_kinds(text: Column) -> Column:
     """Which blocks a response holds: both, PLAN, END or none."""
     done, fresh = classify_response(text, True)["kind"], classify_response(text)["kind"]

@@ -323,11 +323,14 @@ def corpus_decisions(rows: DataFrame, headers: DataFrame, policy: Policy) -> Dat
     table is wide, of (position, name, kind) with kind int, float, money (text read as a number)
     or text.
     """
+    named = IDENTIFIERS if policy.keeps_missing else IDENTIFIERS + TIME_COLUMNS
     ids = F.filter(
-        F.transform("columns", lambda c, i: F.when(c.isin(IDENTIFIERS), i)), lambda i: i.isNotNull()
+        F.transform("columns", lambda c, i: F.when(c.isin(named), i)), lambda i: i.isNotNull()
     )
     faced = rows.join(headers.select("table_id", ids.alias("ids")), "table_id")
-    stays = (F.size("ids") == 0) | F.exists(
+    # some identifier is there, or, where missing values are filled, all of them
+    judged = F.exists if policy.keeps_missing else F.forall
+    stays = (F.size("ids") == 0) | judged(
         "ids", lambda i: F.get(col("cells"), i.cast("int")).isNotNull())
     cells = faced.select(
         "table_id", stays.alias("stays"), F.posexplode("cells").alias("col_pos", "value"),
@@ -342,15 +345,20 @@ def corpus_decisions(rows: DataFrame, headers: DataFrame, policy: Policy) -> Dat
         F.count("number").alias("numbers"),
         F.count_if(is_integer(value, col("number"))).alias("integers"),
         F.count_if(live & col("stays") & money_number_of(value).isNotNull()).alias("money"),
+        F.count_if(live & col("stays") & value.isNull()).alias("gaps"),
+        F.avg("number").alias("mean"),
     )
     from tableworks.operators.profiling import catalogue
     named = catalogue(headers).join(counted, ["table_id", "col_pos"], "left")
+    named = _with_fills(named, cells, policy)
+    # gaps that are filled with a text that reads as a number count as numbers
+    money = col("money") + F.when(money_number_of(col("fill")).isNotNull(), col("gaps")).otherwise(0)
     clean_name = squeeze(col("column_name")) if policy.standard_names else col("column_name")
     kind = (
         F.when((col("integers") == col("present")) & (col("present") == col("n")), "int")
         .when(col("numbers") == col("present"), "float")
         .when(~col("column_name").isin(IDENTIFIERS)
-              & (F.try_divide(col("money").cast("double"), col("kept")) > policy.numeric_share), "money")
+              & (F.try_divide(money.cast("double"), col("kept")) > policy.numeric_share), "money")
         .otherwise("text")
     )
     good = (col("present") > 0) & ~col("column_name").startswith("Unnamed")
@@ -363,7 +371,7 @@ def corpus_decisions(rows: DataFrame, headers: DataFrame, policy: Policy) -> Dat
         F.coalesce(F.sum(F.when(good, col("n") - col("present"))), F.lit(0)).alias("nulls"),
         # as long as the table is wide
         F.array_sort(F.collect_list(F.when(good, F.struct(
-            "col_pos", clean_name.alias("name"), kind.alias("kind"))))).alias("keep"),
+            "col_pos", clean_name.alias("name"), kind.alias("kind"), "fill")))).alias("keep"),
     )
     missing = F.try_divide(col("nulls").cast("double"), col("n") * col("width"))
     clash = F.size(F.array_distinct(F.transform("keep", lambda k: k["name"]))) < F.size("keep")
@@ -376,6 +384,31 @@ def corpus_decisions(rows: DataFrame, headers: DataFrame, policy: Policy) -> Dat
     return per_table.withColumn("early", early)
 
 
+def _with_fills(named: DataFrame, cells: DataFrame, policy: Policy) -> DataFrame:
+    """Column facts with ``fill``: what missing cells become, as text; null where they stay missing.
+
+    Mean, median and most frequent text (ties: the smallest) are grouped by (table, column) over the whole
+    corpus. Identifier and time columns are not filled.
+    """
+    keys = ["table_id", "col_pos"]
+    free = ~col("column_name").isin(IDENTIFIERS + TIME_COLUMNS)
+    numeric = col("numbers") == col("present")
+    fill = F.lit(None).cast("string")
+    if policy.numeric == "mean":
+        fill = F.when(free & numeric, col("mean").cast("string"))
+    if policy.numeric == "median":
+        middle = ordered.quantiles(cells, keys, "number", {"median": 0.5})
+        named = named.join(middle, keys, "left")
+        fill = F.when(free & numeric, col("median").cast("string"))
+    if policy.categorical == "mode":
+        counts = cells.filter("value is not null").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("times"))
+        most = counts.groupBy(*keys).agg(F.max("times").alias("times"))
+        common = counts.join(most, [*keys, "times"]).groupBy(*keys).agg(F.min("value").alias("common"))
+        named = named.join(common, keys, "left")
+        fill = F.when(free & ~numeric, col("common")).otherwise(fill)
+    return named.withColumn("fill", fill)
+
+
 def _clean_cell(cell: Column, kind: Column) -> Column:
     """A cell in the text form of its kind, so that equal numbers are equal texts."""
     return (
@@ -387,19 +420,20 @@ def _clean_cell(cell: Column, kind: Column) -> Column:
 
 
 def clean_corpus(rows: DataFrame, headers: DataFrame, policy: Policy = Policy()) -> CleanedCorpus:
-    """The full pipeline over all tables of a corpus at once; missing values are kept."""
-    if not policy.keeps_missing:
-        raise ValueError("a corpus is cleaned with the keep_na policy; use clean() per table")
+    """The full pipeline over all tables of a corpus at once, with the steps and verdicts of :func:`clean`."""
     decisions = pin(corpus_decisions(rows, headers, policy))  # one row per table, used three times
     going = broadcast_if_few(
         decisions.filter(col("early").isNull()).select("table_id", "keep"), 20_000)
-    id_at = F.filter("keep", lambda k: k["name"].isin(IDENTIFIERS))
+    named = IDENTIFIERS if policy.keeps_missing else IDENTIFIERS + TIME_COLUMNS
+    id_at = F.filter("keep", lambda k: k["name"].isin(named))
     lively = rows.filter(F.exists("cells", lambda c: c.isNotNull())).join(going, "table_id")
-    stays = (F.size(id_at) == 0) | F.exists(
+    judged = F.exists if policy.keeps_missing else F.forall
+    stays = (F.size(id_at) == 0) | judged(
         id_at, lambda k: F.get(col("cells"), k["col_pos"]).isNotNull())
     table = lively.filter(stays).select(
         "table_id", "pos",
-        F.transform("keep", lambda k: _clean_cell(F.get(col("cells"), k["col_pos"]), k["kind"]))
+        F.transform("keep", lambda k: _clean_cell(
+            F.coalesce(F.get(col("cells"), k["col_pos"]), k["fill"]), k["kind"]))
         .alias("cells"),
     )
     if policy.remove_duplicates:

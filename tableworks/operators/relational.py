@@ -158,15 +158,19 @@ def derive_aggregate(df: DataFrame, new: str, fn: str, column: str) -> DataFrame
     return df.withColumn(new, df.agg(aggregate_of(fn, column)).scalar())
 
 
+#: A key with more rows than this on one side of a full outer join is dealt over so many salts.
+HOT_ROWS, SALTS = 1_000_000, 64
+
+
 def join(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-    nulls: str = "match", split_outer: bool = True,
+    nulls: str = "match", split_outer: bool = True, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join on same-named keys; other shared names become ``_x`` and ``_y``.
 
     Null keys match each other unless ``nulls="sql"``. AQE can split a hot key in inner, left and
-    right joins but not in a full outer join, so that one runs as a left join plus the unmatched
-    right rows; ``split_outer=False`` keeps Spark's single full outer join.
+    right joins but not in a full outer join, so there the keys that were counted with more than ``hot_rows``
+    rows on one side are dealt over salts (see :func:`_salted_outer`); ``split_outer=False`` counts nothing.
     """
     if not on:
         raise ValueError("a join needs at least one key")
@@ -191,14 +195,7 @@ def join(
     rest_right = [c for c in r.columns if not (c.startswith("_right_") and c[7:] in on)]
 
     if how == "outer" and split_outer:
-        matched = l.join(r, match, "left").select(*as_columns(on + rest_left + rest_right))
-        unmatched = r.join(l.select(*as_columns(on)), match, "left_anti").select(
-            *[col(f"_right_{k}").alias(k) for k in on],
-            *[F.lit(None).cast(l.schema[c].dataType).alias(c) for c in rest_left],
-            *as_columns(rest_right),
-        )
-        return matched.unionByName(unmatched)
-
+        return _salted_outer(l, r, on, rest_left, rest_right, nulls == "match", hot_rows)
     joined = l.join(r, match, "full" if how == "outer" else how)
     if how == "right":
         keys = [col(f"_right_{k}").alias(k) for k in on]
@@ -209,6 +206,48 @@ def join(
     return joined.select(*keys, *as_columns(rest_left + rest_right))
 
 
+def _salted_outer(
+    l: DataFrame, r: DataFrame, on: list[str], rest_left: list[str], rest_right: list[str],
+    match_nulls: bool, hot_rows: int,
+) -> DataFrame:
+    """A full outer join in which both sides are read once and a hot key is spread over many tasks.
+
+    One narrow count over the keys of both sides finds the hot ones: at most (all rows / ``hot_rows``) keys.
+    The larger side of a hot key is dealt over salts, the other one has a copy for each salt; a copy that
+    meets no row of its salt is no unmatched row, because the count says that the key has partners.
+    """
+    places = range(len(on))
+    tagged = lambda df, names, left: df.select(
+        *[col(c).alias(f"_k{i}") for i, c in enumerate(names)], F.lit(left).alias("_nl"), F.lit(1 - left).alias("_nr"))
+    right_names = [f"_right_{k}" for k in on]
+    keys = [f"_k{i}" for i in places]
+    counts = tagged(l, on, 1).union(tagged(r, right_names, 0)).groupBy(*keys).agg(F.sum("_nl").alias("_nl"), F.sum("_nr").alias("_nr"))
+    hot = counts.filter(F.greatest("_nl", "_nr") > hot_rows)
+    # a null key that matches nothing has no partner: its rows only have to be spread
+    alone = F.lit(False) if match_nulls else functools.reduce(operator.or_, [col(k).isNull() for k in keys])
+
+    def dealt(df: DataFrame, names: list[str], mine: str, other: str, side: str) -> DataFrame:
+        facts = hot.select(*[col(k).alias(f"_{side}{k}") for k in keys], (
+            alone | (col(mine) > col(other)) | ((col(mine) == col(other)) & F.lit(side == "l"))).alias("_deal"),
+            (~alone & (col(other) > 0)).alias("_met"))
+        same = functools.reduce(operator.and_, [col(c).eqNullSafe(col(f"_{side}{k}")) for c, k in zip(names, keys)])
+        salt = F.when(col("_deal").isNull() | ~(col("_deal") | col("_met")), F.array(F.lit(0))).when(
+            col("_deal"), F.array(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))).otherwise(
+            F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        return df.join(facts, same, "left").select(
+            *as_columns(df.columns), F.explode(salt).alias(f"_{side}salt"),
+            F.coalesce(~col("_deal") & col("_met"), F.lit(False)).alias(f"_{side}copy"))
+
+    left, right = dealt(l, on, "_nl", "_nr", "l"), dealt(r, right_names, "_nr", "_nl", "r")
+    test = functools.reduce(operator.and_, [
+        col(k).eqNullSafe(col(n)) if match_nulls else col(k) == col(n) for k, n in zip(on, right_names)])
+    joined = left.join(right, test & (col("_lsalt") == col("_rsalt")), "full")
+    alone_left, alone_right = col("_rsalt").isNull() & col("_lcopy"), col("_lsalt").isNull() & col("_rcopy")
+    kept = joined.filter(~F.coalesce(alone_left, F.lit(False)) & ~F.coalesce(alone_right, F.lit(False)))
+    keyed = [F.when(col("_lsalt").isNotNull(), col(k)).otherwise(col(n)).alias(k) for k, n in zip(on, right_names)]
+    return kept.select(*keyed, *as_columns(rest_left + rest_right))
+
+
 def semi(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``left`` whose key exists in ``right``."""
     return left.join(right.select(*as_columns(on)).distinct(), on, "left_semi")

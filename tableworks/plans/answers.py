@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableworks.functions.columns import as_columns, col, is_numeric, is_string, require
-from tableworks.operators import ordered
+from tableworks.operators import ordered, stats
 
 
 def single_cell_answers(results: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -33,23 +33,58 @@ def result_values(results: DataFrame, key: list[str], columns: list[str]) -> Dat
     return results.select(*as_columns(key), F.explode(F.array_compact(cells)).alias("value")).distinct()
 
 
-def _within(number: Column, most: int | None) -> Column:
-    return F.lit(True) if most is None else number <= most
+#: Values of a chunk of a list answer.
+CHUNK = 1000
+
+
+def answer_chunks(values: DataFrame, key: list[str], size: int = CHUNK) -> DataFrame:
+    """List answers of any length as rows: ``(key…, chunk, n_values, answer, digest)``, chunks from 0 in order.
+
+    The text of a list is that of its chunks joined by ", ". A chunk holds at most ``size`` values.
+    """
+    chunks = ordered.batches(values, ["value"], size, by=key).withColumn("chunk", col("batch") - 1)
+    text = F.expr("listagg(value, ', ') within group (order by batch_position)")
+    return chunks.groupBy(*as_columns(key), "chunk").agg(
+        F.count(F.lit(1)).alias("n_values"), text.alias("answer"), _digest().alias("digest"))
+
+
+def _digest() -> Column:
+    """Digest of a set of values: two sums of independent hashes, so digests of parts add up to that of all."""
+    wide = lambda h: F.sum(h.cast("decimal(38,0)"))
+    return F.struct(wide(F.xxhash64("value")).alias("h1"), wide(F.xxhash64(F.lit("second"), "value")).alias("h2"))
+
+
+def list_digests(parts: DataFrame, key: list[str]) -> DataFrame:
+    """``(key…, n_values, digest)`` of whole lists from their chunks; equal lists have equal digests."""
+    return parts.groupBy(*as_columns(key)).agg(F.sum("n_values").alias("n_values"), F.struct(
+        *[F.sum(col("digest")[h]).alias(h) for h in ("h1", "h2")]).alias("digest"))
 
 
 def list_answers(values: DataFrame, key: list[str], max_values: int | None = None) -> DataFrame:
     """Values of each question joined in order by ", ", with their number.
 
-    ``max_values`` may be given to leave the text of longer lists NULL; the values of a list stay
-    available as rows from :func:`result_values`, and :func:`same_lists` compares lists of any length.
+    The answer is one text, so a row is as long as its list. Where lists may be too long for a row,
+    ``max_values`` leaves the text of longer ones NULL: their whole text is in :func:`answer_chunks`, and
+    :func:`same_lists` and :func:`same_long_lists` compare lists of any length.
     """
-    numbered = ordered.positions(values, ["value"], by=key, out="_at")
-    gathered = numbered.groupBy(*as_columns(key)).agg(
-        F.max("_at").alias("n_values"),
-        F.collect_list(F.when(_within(col("_at"), max_values), F.struct("_at", "value"))).alias("_v"))
-    text = F.array_join(F.transform(F.array_sort("_v"), lambda v: v["value"]), ", ")
-    return gathered.select(
-        *as_columns(key), "n_values", F.when(_within(col("n_values"), max_values), text).alias("answer"))
+    numbers = values.groupBy(*as_columns(key)).agg(F.count(F.lit(1)).alias("n_values"))
+    fits = F.lit(True) if max_values is None else col("n_values") <= max_values
+    short = numbers.filter(fits).select(*as_columns(key))
+    texts = stats.attach(short, values, key).groupBy(*as_columns(key)).agg(
+        F.expr("listagg(value, ', ') within group (order by value)").alias("answer"))
+    return stats.attach(numbers, texts, key)
+
+
+def same_long_lists(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """Whether two list answers are equal, from the digests of their chunks: one small row per question meets."""
+    sides = [list_digests(x, key).select(*as_columns(key), F.lit(side).alias("_side"), "n_values", "digest")
+             for side, x in enumerate((left, right))]
+    both = sides[0].unionByName(sides[1]).groupBy(*as_columns(key))
+    of = lambda side, c: F.max(F.when(col("_side") == side, c))
+    return both.agg(
+        F.coalesce((of(0, col("n_values")) == of(1, col("n_values"))) & (of(0, col("digest")["h1"]) == of(1, col("digest")["h1"]))
+                   & (of(0, col("digest")["h2"]) == of(1, col("digest")["h2"])), F.lit(False)).alias("same"),
+        F.coalesce(of(0, col("n_values")), F.lit(0)).alias("n_left"), F.coalesce(of(1, col("n_values")), F.lit(0)).alias("n_right"))
 
 
 def same_lists(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

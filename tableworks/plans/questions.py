@@ -171,8 +171,9 @@ def question_report(flat: DataFrame) -> DataFrame:
 
 
 def distractor_report(flat: DataFrame) -> DataFrame:
-    """Count and means per distractor type within the distractor subset."""
-    return flat.filter(col("subset") == "distractor_bank").groupBy("distractor_type").agg(
+    """Count and means per distractor type within the distractor subset, and over the whole subset in the row
+    whose type is NULL."""
+    return flat.filter(col("subset") == "distractor_bank").rollup("distractor_type").agg(
         F.count(F.lit(1)).alias("count"),
         F.avg("complexity_score").alias("mean_complexity"),
         F.avg("table_number").alias("mean_table_number"),

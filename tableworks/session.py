@@ -57,10 +57,12 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_few(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``most`` rows, else as it is.
+def broadcast_if_few(df: DataFrame, most: int = 200_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``most`` rows and ``most_bytes`` bytes as JSON, else
+    as it is.
 
-    Counts the rows, so it is meant for results that are pinned already. Rows are expected to be
-    narrow (keys and a few numbers).
+    Counts both, so it is meant for results that are pinned already.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    rows, held = df.limit(most + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if rows <= most and (held or 0) <= most_bytes else df

@@ -226,14 +226,16 @@ def read_questions(spark: SparkSession, root: str) -> DataFrame:
     return df.select("*", number.alias("number"), subset.alias("subset")).filter("number is not null")
 
 
-def read_result_logs(spark: SparkSession, root: str, schema: str = schemas.RECORD) -> DataFrame:
-    """Result logs ``question_*.jsonl``: one (pretty-printed) object per file, or JSON lines.
+def read_result_logs(
+    spark: SparkSession, root: str, schema: str = schemas.RECORD, name: str = "question_*.jsonl",
+) -> DataFrame:
+    """Result logs, files called ``name``: one (pretty-printed) object per file, or JSON lines.
 
     A file is taken line by line when its first line is already a whole object or the file as a
     whole is no object; lines that do not parse are left out. Each file is one question's log, so
     it is read as one value; logs that are JSON lines throughout go through :func:`read_log_lines`.
     """
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "question_*.jsonl")
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
     files = read.text(root, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("_path"))
     lines = F.filter(F.split("value", r"\r?\n"), lambda l: F.trim(l) != "")

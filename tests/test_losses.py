@@ -47,6 +47,21 @@ def test_name_clash_is_a_verdict(spark):
     assert done.table is None and not done.report.first().passed
 
 
+def test_lists_of_a_million_values(spark):
+    """Chunks and digests without a row that holds the list."""
+    def values(least):
+        return spark.range(least, 1_000_000).select(F.lit("q").alias("k"), F.format_string("%07d", "id").alias("value"))
+
+    chunks = answers.answer_chunks(values(0), ["k"])
+    assert "collect_list" not in chunks._jdf.queryExecution().executedPlan().toString()
+    whole = answers.list_digests(chunks, ["k"]).first()
+    assert whole.n_values == 1_000_000 and chunks.count() == 1000
+    other = answers.answer_chunks(values(0).repartition(5), ["k"], 700)
+    assert answers.same_long_lists(chunks, other, ["k"]).first().same
+    row = answers.same_long_lists(chunks, answers.answer_chunks(values(1), ["k"]), ["k"]).first()
+    assert not row.same and (row.n_left, row.n_right) == (1_000_000, 999_999)
+
+
 def test_long_lists_are_written_out(spark):
     values = spark.range(10_050).select(F.lit("q").alias("k"), F.format_string("%05d", "id").alias("value"))
     row = answers.list_answers(values, ["k"]).first()

@@ -128,3 +128,27 @@ def test_grouping_equals_pandas(spark, rows):
         assert np.isclose(row.sum_x, w.sum) if isinstance(w.sum, float) else True
         assert row.count_x == w.count or row["count_x"] == getattr(w, "count")
         assert (row.mean_x is None) == bool(pd.isna(w.mean))
+
+
+@pytest.mark.parametrize("nulls", ["match", "sql"])
+def test_outer_join_with_hot_keys_on_both_sides(spark, nulls):
+    """Keys hot on the left, on the right, on both sides and on one side only; null keys are hot too."""
+    keys = lambda spec: [k for k, n in spec for _ in range(n)]
+    left = list(enumerate(keys([("l", 300), ("r", 2), ("both", 90), ("only", 200), (None, 80), ("x", 1), ("y", 1)])))
+    right = list(enumerate(keys([("l", 3), ("r", 400), ("both", 40), ("other", 300), (None, 5), ("x", 2), ("z", 1)])))
+    l = spark.createDataFrame([(k, i) for i, k in left], "k string, v long").repartition(4)
+    r = spark.createDataFrame([(k, i) for i, k in right], "k string, w long").repartition(4)
+    got = rel.join(l, r, ["k"], "outer", nulls=nulls, hot_rows=20).collect()
+    want = rel.join(l, r, ["k"], "outer", nulls=nulls, split_outer=False).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 4000
+
+
+def test_outer_join_reads_each_table_once(spark):
+    """Whole rows are read once; besides, the keys of both sides are counted."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    lines = read("lineitem").selectExpr("l_orderkey as k", "l_quantity", "l_tax")
+    orders = read("orders").selectExpr("o_orderkey as k", "o_totalprice", "o_orderstatus")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = rel.join(lines, orders, ["k"], "outer")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_tax#") and len([x for x in plan.splitlines() if "FileScan" in x and "l_tax" in x]) == 1
+    assert len([x for x in plan.splitlines() if "FileScan" in x and "o_totalprice" in x]) == 1
