@@ -78,8 +78,10 @@ def rows(spark, folder) -> DataFrame:
 
 
 def headers(spark) -> DataFrame:
+    """Names and, where the source tables have one, types of all columns."""
     return profiling.corpus_headers(
-        spark, {t: [n for n, _, _ in spec[3]] for t, spec in CORPUS.items()})
+        spark, {t: [n for n, _, _ in spec[3]] for t, spec in CORPUS.items()},
+        {t: [None if k == "none" else k for _, _, k in spec[3]] for t, spec in CORPUS.items()})
 
 
 def titles(spark) -> DataFrame:

@@ -105,61 +105,67 @@ def _beside(rows: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
 
 def quantiles(
     df: DataFrame, by: list[str], value: str, at: dict[str, float], exact: bool = True,
-    accuracy: int = SKETCH,
+    accuracy: int = SKETCH, also: list[Column] | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, ``{output name: probability}``; nulls are skipped.
 
-    Exact form, by selection: a sketch of bounded size brackets each quantile, one count of what lies below
-    and up to its end proves that the bracket holds it (one that does not is opened to all values), and
-    only values inside brackets are counted and ranked. Nothing is sorted or written but these few, no
-    job runs when the result is built. ``exact=False`` uses the sketch alone.
+    Exact form, by selection in two passes: a sketch of bounded size brackets each quantile; then values
+    inside brackets are counted one by one and all others by the brackets that they lie below. Nothing
+    is sorted or written but these few, and no job runs when the result is built. A bracket that turned out
+    not to hold its quantile would raise. ``exact=False`` uses the sketch alone. ``also`` are further
+    aggregates over all rows of a group, made by the first pass.
     """
-    rows = df.select(*as_columns(by), col(value).cast("double").alias("_value")).filter(
-        col("_value").isNotNull()
-    )
     groups = lambda d: d.groupBy(*as_columns(by))
+    valued = df.withColumn("_value", col(value).cast("double"))
+    also = also or []
     if not exact:
         outputs = [
             F.percentile_approx(col("_value"), p, accuracy).alias(name) for name, p in at.items()
         ]
-        return groups(rows).agg(*outputs)
+        return groups(valued).agg(*outputs, *also)
     margin = 4 / accuracy
     ends = [x for p in at.values() for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
     places = range(len(at))
-    sketch = groups(rows).agg(
-        F.count("*").alias("n"), F.min("_value").alias("least"), F.max("_value").alias("most"),
-        F.percentile_approx("_value", ends, accuracy).alias("ends"))
-    few = col("n") <= accuracy
-    bracketed = _beside(rows, sketch.select(*as_columns(by), "n", *(x for i in places for x in (
-        F.when(few, col("least")).otherwise(col("ends")[2 * i]).alias(f"lo{i}"),
-        F.when(few, col("most")).otherwise(col("ends")[2 * i + 1]).alias(f"hi{i}")))), by)
+    sketch = groups(valued).agg(
+        F.count("_value").alias("_n"), F.min("_value").alias("_least"), F.max("_value").alias("_most"),
+        F.percentile_approx("_value", ends, accuracy).alias("_ends"), *also)
+    few = col("_n") <= accuracy
+    brackets = sketch.select(*as_columns(by), col("_n").alias("n"), *(x for i in places for x in (
+        F.when(few, col("_least")).otherwise(col("_ends")[2 * i]).alias(f"lo{i}"),
+        F.when(few, col("_most")).otherwise(col("_ends")[2 * i + 1]).alias(f"hi{i}"))))
     f = lambda name: col("_f")[name]
-    counted = groups(bracketed).agg(F.max(f("n")).alias("n"), *(x for i in places for x in (
-        F.count_if(col("_value") < f(f"lo{i}")).alias(f"below{i}"), F.count_if(col("_value") <= f(f"hi{i}")).alias(f"upto{i}"),
-        F.max(f(f"lo{i}")).alias(f"lo{i}"), F.max(f(f"hi{i}")).alias(f"hi{i}"))))
-    ranks = [(col("n") - 1) * F.lit(float(p)) for p in at.values()]
-    facts = ["n"]
-    for i, rank in enumerate(ranks):
-        holds = (col(f"below{i}") <= F.floor(rank)) & (F.ceil(rank) < col(f"upto{i}"))
-        counted = counted.withColumn(f"_h{i}", holds)
-        facts += [F.when(col(f"_h{i}"), col(f"below{i}")).otherwise(0).alias(f"below{i}"),
-                  F.when(col(f"_h{i}"), col(f"lo{i}")).otherwise(float("-inf")).alias(f"lo{i}"),
-                  F.when(col(f"_h{i}"), col(f"hi{i}")).otherwise(float("inf")).alias(f"hi{i}")]
-    inside = [col("_value").between(f(f"lo{i}"), f(f"hi{i}")) for i in places]
-    near = _beside(rows, counted.select(*as_columns(by), *facts), by).filter(functools.reduce(operator.or_, inside))
-    values = near.groupBy(*as_columns(by), "_value").agg(F.count("*").alias("m"), F.max(f("n")).alias("n"), *(x for i in places for x in (
-        F.max(f(f"below{i}")).alias(f"below{i}"), F.max(inside[i]).alias(f"in{i}"))))
-    upto = W.partitionBy(*as_columns(by)) if by else W.partitionBy(F.lit(0))
-    upto = upto.orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    beside = _beside(valued.select(*as_columns(by), "_value").filter(col("_value").isNotNull()), brackets, by)
+    inside = functools.reduce(operator.or_, [col("_value").between(f(f"lo{i}"), f(f"hi{i}")) for i in places])
+    under = functools.reduce(operator.add, [F.when(col("_value") < f(f"lo{i}"), 1 << i).otherwise(0) for i in places])
+    counted = beside.groupBy(
+        *as_columns(by), F.when(inside, col("_value")).alias("_value"), F.when(~inside, under).alias("under"),
+    ).agg(F.count("*").alias("m"), F.max(f("n")).alias("n"), *(
+        F.max(f(f"{end}{i}")).alias(f"{end}{i}") for i in places for end in ("lo", "hi")))
+    group = W.partitionBy(*as_columns(by)) if by else W.partitionBy(F.lit(0))
+    upto = group.orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
     outputs = []
-    for i, (name, rank) in enumerate(zip(at, ranks)):
-        values = values.withColumn(f"upto{i}", col(f"below{i}") + F.sum(F.when(col(f"in{i}"), col("m")).otherwise(0)).over(upto))
-        covers = [
-            F.max(F.when(col(f"in{i}") & (r >= col(f"upto{i}") - col("m")) & (r < col(f"upto{i}")), col("_value")))
+    for i, (name, p) in enumerate(at.items()):
+        rank = (col("n") - 1) * F.lit(float(p))
+        held = col("_value").between(col(f"lo{i}"), col(f"hi{i}"))
+        below = F.coalesce(col("_value") < col(f"lo{i}"), col("under").bitwiseAND(1 << i) > 0)
+        counted = counted.withColumn(f"upto{i}", F.sum(F.when(below, col("m")).otherwise(0)).over(group) + F.sum(
+            F.when(held, col("m")).otherwise(0)).over(upto))
+        low, high = (
+            F.max(F.when(held & (r >= col(f"upto{i}") - col("m")) & (r < col(f"upto{i}")), col("_value")))
             for r in (F.floor(rank), F.ceil(rank))
-        ]
-        outputs.append((covers[0] + (covers[1] - covers[0]) * F.max(rank - F.floor(rank))).alias(name))
-    return groups(values).agg(*outputs)
+        )
+        between = low + (high - low) * F.max(rank - F.floor(rank))
+        outputs.append(F.when(between.isNull(), F.raise_error(F.lit(
+            f"{value}: the sketch missed a quantile, ask for a higher accuracy"))).otherwise(between).alias(name))
+    found = groups(counted).agg(*outputs)
+    if not also:
+        return found
+    held = [c for c in sketch.columns if c not in ("_n", "_least", "_most", "_ends")]
+    left = sketch.select(*as_columns(held))
+    if not by:
+        return left.crossJoin(found)  # one row each
+    renamed = found.select(*[col(c).alias(f"_q_{c}" if c in by else c) for c in found.columns])
+    return left.join(renamed, same_value([(col(k), col(f"_q_{k}")) for k in by]), "left").drop(*[f"_q_{k}" for k in by])
 
 
 def streaks(

@@ -2,7 +2,9 @@
 
 A corpus of many tables is held as ``rows (table_id, pos BIGINT, cells ARRAY<STRING>)`` and ``headers
 (table_id, columns ARRAY<STRING>)``: one record per table row, whatever its width. ``pos`` is the
-stored order of the rows within their table. All tables are profiled by one job.
+stored order of the rows within their table. Headers may also have ``types ARRAY<STRING>``: ``int``, ``float`` or
+``text`` where the type of a column is known (say, from the table that its cells were taken from), else NULL.
+All tables are profiled by one job.
 """
 
 from __future__ import annotations
@@ -26,10 +28,14 @@ def corpus_rows(df: DataFrame, table_id: str, order: str, columns: list[str]) ->
     )
 
 
-def corpus_headers(spark: SparkSession, headers: dict[str, list[str]]) -> DataFrame:
+def corpus_headers(
+    spark: SparkSession, headers: dict[str, list[str]], types: dict[str, list[str | None]] | None = None,
+) -> DataFrame:
+    if types is None:
+        return spark.createDataFrame(list(headers.items()), "table_id string, columns array<string>")
     return spark.createDataFrame(
-        list(headers.items()), "table_id string, columns array<string>"
-    )
+        [(t, names, types.get(t)) for t, names in headers.items()],
+        "table_id string, columns array<string>, types array<string>")
 
 
 def catalogue(headers: DataFrame) -> DataFrame:
@@ -42,22 +48,35 @@ def column_profile(rows: DataFrame, headers: DataFrame) -> DataFrame:
 
     The type follows CSV inference: int64 and bool need every cell, float64 every non-null cell
     (also a column without any value), the rest is object. ``first_pos`` is the first row with a
-    value. All aggregates are numbers of fixed size, so the cells are hashed and combined where they
-    are read; a table that holds most rows of the corpus is no bottleneck.
+    value. Cells of a known type are not looked at as text: a number is cast, a text is none.
+
+    All aggregates are numbers of fixed size, so the cells are hashed and combined where they are read; a
+    table that holds most rows of the corpus is no bottleneck.
     """
-    cells = rows.select("table_id", "pos", F.posexplode("cells").alias("col_pos", "value"))
+    if "types" in headers.columns:
+        rows = rows.join(headers.select("table_id", "types"), "table_id")
+        cells = rows.select("table_id", "pos", "types", F.posexplode("cells").alias("col_pos", "value"))
+        known = F.get("types", col("col_pos"))
+    else:
+        cells = rows.select("table_id", "pos", F.posexplode("cells").alias("col_pos", "value"))
+        known = F.lit(None).cast("string")
     value = col("value")
-    boolean = value.isin("True", "False", "TRUE", "FALSE", "true", "false")
+    boolean = known.isNull() & value.isin("True", "False", "TRUE", "FALSE", "true", "false")
     measured = cells.select(
-        "table_id", "col_pos", number_of(value).alias("number"), "value",
-        F.when(value.isNotNull(), col("pos")).alias("at"))
+        "table_id", "col_pos", "value", F.when(value.isNotNull(), col("pos")).alias("at"), known.alias("known"),
+        F.when(known.isNull(), number_of(value)).alias("number"), boolean.alias("boolean"))
+    open_, there = col("known").isNull(), value.isNotNull()
+    numeric = F.when(open_, col("number").isNotNull()).otherwise((col("known") != "text") & there)
+    integer = F.when(open_, is_integer(value, col("number"))).otherwise((col("known") == "int") & there)
+    # only where the range is asked for
+    number = F.when(open_, col("number")).when(col("known") != "text", value.try_cast("double"))
     counted = measured.groupBy("table_id", "col_pos").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("value").alias("n_values"),
-        F.count("number").alias("n_numbers"),
-        F.count_if(is_integer(value, col("number"))).alias("n_integers"),
-        F.count_if(boolean).alias("n_booleans"),
-        F.min("number").alias("min_number"), F.max("number").alias("max_number"),
+        F.count_if(numeric).alias("n_numbers"),
+        F.count_if(integer).alias("n_integers"),
+        F.count_if("boolean").alias("n_booleans"),
+        F.min(number).alias("min_number"), F.max(number).alias("max_number"),
         F.min("at").alias("first_pos"),
     )
     kind = (

@@ -52,13 +52,11 @@ def describe(
     by = by or []
     long = long_form(df, columns, "column", "value", by, "double")
     keys = [*by, "column"]
-    basics = long.groupBy(*as_columns(keys)).agg(
+    return ordered.quantiles(long, keys, "value", {"median": 0.5}, exact, also=[
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"),
-    )
-    medians = ordered.quantiles(long, keys, "value", {"median": 0.5}, exact)
-    return attach(basics, medians, keys)
+    ])
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

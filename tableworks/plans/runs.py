@@ -153,14 +153,12 @@ def by_dimension(runs: DataFrame, dimensions: list[str] | None = None) -> DataFr
     """
     long = _by_value(runs, dimensions, [run_time(runs).alias("time"), col("decision")])
     keys = ["dimension", "value"]
-    basics = long.groupBy(*keys).agg(
+    return ordered.quantiles(long, keys, "time", {"median_time": 0.5}, also=[
         F.count(F.lit(1)).alias("count"), stats.rate(col("decision")).alias("success_rate"),
         # exact to the microsecond, so that the order of the rows does not matter
         F.avg(col("time").cast("decimal(18,6)")).cast("double").alias("mean_time"),
         F.stddev_samp("time").alias("std_time"),
-        F.min("time").alias("min_time"), F.max("time").alias("max_time"))
-    medians = ordered.quantiles(long, keys, "time", {"median_time": 0.5})
-    return stats.attach(basics, medians, keys)
+        F.min("time").alias("min_time"), F.max("time").alias("max_time")])
 
 
 def errors_by_dimension(runs: DataFrame, dimensions: list[str] | None = None) -> DataFrame:
