@@ -24,15 +24,16 @@ def select_subset(questions: DataFrame, mode: str, subset: str = "subset") -> Da
     return questions.filter(col(subset).isin(_MODES[mode]))
 
 
-#: Ids of a range that are made at a time.
-_BLOCK = 10_000
+#: Ids of a range that are made at a time, and the widest range.
+_BLOCK, _WIDEST = 10_000, 10_000_000_000
 
 
 def expand_ids(specs: DataFrame, list_id: str, spec: str, order: str) -> DataFrame:
     """Id lists like ``1``, ``2-3``, ``7-5`` or ``8,9`` as ``(list, rank, id)``, first mention kept.
 
     ``specs`` has one specification per row; ``order`` is its position in the list. Ranges are
-    inclusive and may be reversed; tokens that are no ids are left out.
+    inclusive and may be reversed; tokens that are no ids are left out. A range of more than ten thousand
+    million ids is taken for a slip and raises.
     """
     tokens = specs.select(
         col(list_id), col(order).alias("_order"),
@@ -48,9 +49,12 @@ def expand_ids(specs: DataFrame, list_id: str, spec: str, order: str) -> DataFra
         "_a is not null and _b is not null")
     # a wide range becomes blocks first, so no array grows with it
     low, high = F.least("_a", "_b"), F.greatest("_a", "_b")
+    width = high.cast("decimal(20,0)") - low.cast("decimal(20,0)")
+    number_of_blocks = F.when(width <= _WIDEST, F.floor(width / _BLOCK).cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit("range too wide: "), col("_a").cast("string"), F.lit("-"), col("_b").cast("string"))).cast("long"))
     blocks = ends.select(
         col(list_id), "_order", "_token_at", low.alias("_low"), high.alias("_high"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((high - low) / _BLOCK).cast("long"))).alias("_block"))
+        F.explode(F.sequence(F.lit(0).cast("long"), number_of_blocks)).alias("_block"))
     start = col("_low") + col("_block") * _BLOCK
     ids = blocks.select(
         col(list_id), "_order", "_token_at", "_low",

@@ -85,3 +85,9 @@ def test_hot_key_on_the_right_is_one_row(spark):
     assert relational.semi(left, right, ["k"]).count() == 2 and relational.anti(left, right, ["k"]).count() == 3
     plan = relational.semi(left, right, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan
+
+
+def test_ranges_beyond_reason_raise(spark):
+    specs = spark.createDataFrame([("a", 1, "1-9000000000000000000")], "list string, at int, spec string")
+    with pytest.raises(Exception, match="range too wide"):
+        questions.expand_ids(specs, "list", "spec", "at").count()
