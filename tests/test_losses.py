@@ -1,5 +1,6 @@
 """Nothing is lost or aborted by one odd value."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tableworks.functions.answers import classify_response
