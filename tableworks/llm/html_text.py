@@ -30,12 +30,16 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+
 _PARTS = re.compile(r"[a-z]+")
 
 # fixed values: element classes of the HTML standard
-_RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "button", "object", "canvas"}
+_RAW = {"script", "style", "template", "iframe", "svg", "textarea", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img",
     "input", "ins", "kbd", "label", "mark", "meter", "output", "progress", "q", "s", "samp", "small", "span", "strike",
     "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    # formulas, and elements whose content is shown where they cannot be
+    "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover",
+    "munderover", "mstyle", "mpadded", "menclose", "mtable", "mtr", "mtd", "semantics", "annotation", "noscript", "object",
+    "canvas", "button",
 }
 _ENDS_P = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption",
@@ -76,37 +80,55 @@ _FEATURES = int(_BASES[-1]) + 1
 
 
 class Page:
-    """Block elements of a page, and its runs of text in page order."""
+    """Elements of a page that are judged, and its blocks of text in page order.
+
+    Block elements are judged, and inline ones that say by name what they are. Only block elements end a block, so a block may hold text of several elements: ``parts`` has the (element, text)
+    of each block, ``runs`` its innermost block element and whole text.
+    """
 
     def __init__(self, source: str):
         self.parent, self.tag, self.hints, self.marked = [-1], ["#"], [()], [False]
         self.runs: list[tuple[int, str]] = []
+        self.parts: list[list[tuple[int, str]]] = []
         self.chars, self.linked, self.stops = [0], [0], [0]
         self._stack, self._links, self._pieces = [0], 0, []
+        # places on the stack by tag, elements that are open by inline tag (-1: not judged), and their blocks
+        self._at: dict[str, int] = {}
+        self._inline: dict[str, list[int]] = {}
+        self._depth, self._block = [0], [0]
         self._read(source)
         self._flush()
 
     def _flush(self) -> None:
         if self._pieces:
-            text = " ".join("".join(self._pieces).split())
+            text = " ".join("".join(t for _, t in self._pieces).split())
             if text:
-                self.runs.append((self._stack[-1], text))
+                self.runs.append((self._block[self._stack[-1]], text))
+                self.parts.append(self._pieces)
             self._pieces = []
 
     def _text(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
-        self._pieces.append(text)
+        self._pieces.append((self._stack[-1], text))
         node, size = self._stack[-1], len(text.strip())
         self.chars[node] += size
         if self._links:
             self.linked[node] += size
         self.stops[node] += sum(map(text.count, (". ", "! ", "? "))) + text.rstrip().endswith((".", "!", "?"))
 
+    def _cut(self, depth: int) -> None:
+        """Takes the elements from this place of the stack on off it."""
+        for node in self._stack[depth:]:
+            self._at[self.tag[node]] -= 1
+        del self._stack[depth:]
+
     def _pop(self, tags: set, until: set) -> None:
+        if not any(self._at.get(t) for t in tags):  # nothing to look for, however deep the stack is
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
             tag = self.tag[self._stack[depth]]
             if tag in tags:
-                del self._stack[depth:]
+                self._cut(depth)
                 return
             if tag in until:
                 return
@@ -116,11 +138,15 @@ class Page:
         if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or "CLASS" in attributes):
             words = _PARTS.findall(" ".join(m[1] for m in _NAMES.findall(attributes)).lower())
             hints = tuple({_HINT[w] for w in words if w in _HINT})
-        if tag in _INLINE and not hints:
+        if tag in _INLINE:
             if tag == "a":
                 self._links += 1
             if tag == "br":
-                self._pieces.append(" ")
+                self._pieces.append((self._stack[-1], " "))
+            if tag not in _VOID and not attributes.endswith("/"):
+                if hints:
+                    self._push(tag, attributes, hints, self._block[self._stack[-1]])
+                self._inline.setdefault(tag, []).append(self._stack[-1] if hints else -1)
             return
         self._flush()
         self._links = 0
@@ -130,6 +156,12 @@ class Page:
             self._pop(*_ENDS[tag])
         if tag in _VOID:
             return
+        self._push(tag, attributes, hints, len(self.tag))
+
+    def _push(self, tag: str, attributes: str, hints: tuple, block: int) -> None:
+        self._block.append(block)
+        self._depth.append(len(self._stack))
+        self._at[tag] = self._at.get(tag, 0) + 1
         self.parent.append(self._stack[-1])
         self.tag.append(tag)
         self.hints.append(hints)
@@ -139,11 +171,18 @@ class Page:
         self._stack.append(len(self.tag) - 1)
 
     def _close(self, tag: str) -> None:
-        if tag in _INLINE and not any(self.tag[n] == tag for n in self._stack):
+        if tag in _INLINE:
             if tag == "a":
                 self._links = max(0, self._links - 1)
-            return
-        if any(self.tag[n] == tag for n in self._stack):
+            open_ = self._inline.get(tag)
+            node = open_.pop() if open_ else -1
+            # it may have been closed with the block around it
+            depth = self._depth[node]
+            if 0 < depth < len(self._stack) and node >= 0 and self._stack[depth] == node:
+                if any(self._block[n] != self._block[node] for n in self._stack[depth:]):
+                    self._flush()
+                self._cut(depth)
+        elif self._at.get(tag):
             self._flush()
             self._pop({tag}, set())
 
@@ -158,7 +197,7 @@ class Page:
                 if found[1]:
                     self._close(tag)
                 elif tag in _RAW:
-                    if not found[3].endswith("/") or tag not in ("svg", "math"):
+                    if not found[3].endswith("/") or tag != "svg":
                         close = re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(source, at)
                         at = close.end() if close else end
                 else:
@@ -246,9 +285,14 @@ def marginals(parent, levels, kind, active, more, unary, pair) -> tuple[np.ndarr
 
 
 @functools.cache
-def trained(steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
+def trained() -> tuple[np.ndarray, np.ndarray]:
     """Potentials that maximise the likelihood of the labelled pages; the same wherever it runs."""
-    pages = [Page(p) for p in labelled_pages()]
+    return fit(labelled_pages())
+
+
+def fit(sources: list[str], steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """Potentials of the features and of parent and child, by adaptive steps on the likelihood of labelled pages."""
+    pages = [Page(p) for p in sources]
     forest = _features(pages)
     parent, _, kind, active, more = forest
     label = np.array([m for page in pages for m in page.marked], float)
@@ -273,13 +317,16 @@ def trained(steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
     return unary, pair
 
 
-def main_texts(sources: list[str], least: float = LEAST_MARGINAL) -> list[str]:
+def main_texts(
+    sources: list[str], least: float = LEAST_MARGINAL, potentials: tuple[np.ndarray, np.ndarray] | None = None,
+) -> list[str]:
     """The main text of each page: its content blocks joined by empty lines."""
     pages = [Page(s) for s in sources]
-    p, _ = marginals(*_features(pages), *trained())
+    p, _ = marginals(*_features(pages), *(potentials or trained()))
     out, offset = [], 0
     for page in pages:
-        out.append("\n\n".join(text for node, text in page.runs if p[offset + node] >= least))
+        blocks = (" ".join("".join(t for node, t in parts if p[offset + node] >= least).split()) for parts in page.parts)
+        out.append("\n\n".join(b for b in blocks if b))
         offset += len(page.parent)
     return out
 

@@ -26,6 +26,7 @@ _LAYOUTS = [
     "<body><div role=\"banner\">{s}</div><div role=\"navigation\">{links}</div><div role=\"main\" {m}>{body}</div><div role=\"complementary\"><p>{p}</p></div><dialog><p>{p}</p></dialog></body>",
     "<body>{menu}<div class=\"ad\">{p}</div><article {m}>{loose}</article><footer>{fine}</footer></body>",
     "<body><div class=\"container\">{menu}<div class=\"text\" {m}>{loose}</div><div class=\"popup\"><p>{p}</p></div><footer>{p}</footer></div></body>",
+    "<body><main {m}>{body}</main></body>",
 ]
 
 
@@ -60,11 +61,17 @@ class _Filler:
         return f"&copy; {self.s()} &middot; {self.random.choice([self.sentence(), self.p(), self.links()])}"
 
     def body(self) -> str:
-        pick, out = self.random, [f"<h1>{self.s()}</h1>"]
+        pick = self.random
+        if pick.random() < 0.12:  # an article of one short paragraph
+            return f"<p>{self.sentence()}</p>"
+        out = [f"<h1>{self.s()}</h1>"]
         for _ in range(pick.randint(1, 9)):
             kind = pick.random()
             if kind < 0.55:
                 out.append(f"<p>{self.p()}</p>")
+            elif kind < 0.58:
+                name = pick.choice(["span class=\"more\"", "code class=\"language-text\"", "b class=\"text\"", "span class=\"main\""])
+                out.append(f"<p>{self.sentence()} <{name}>{self.s()}</{name.split()[0]}> {self.sentence()}</p>")
             elif kind < 0.62:
                 out.append(f"<p>{self.sentence()} <a href=\"/y\">{self.s()}</a> {self.sentence()}</p>")
             elif kind < 0.68:

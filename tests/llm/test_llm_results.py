@@ -270,13 +270,57 @@ def test_short_near_duplicates(spark):
 
 
 def test_main_text():
-    pages = labelled_pages(14)[140:]  # rounds that did not train
+    pages = labelled_pages(14)[len(labelled_pages()):]  # rounds that did not train
     read = [html_text.Page(p) for p in pages]
     p, _ = html_text.marginals(*html_text._features(read), *html_text.trained())
     marked = np.array([m for page in read for m in page.marked])
     assert ((p >= 0.5) == marked).mean() > 0.98
 
 
+def test_layouts_left_out():
+    """The content of every layout is found by potentials that never saw the layout."""
+    layouts, rounds = len(labelled_pages(1)), 10
+    every = labelled_pages(rounds)
+    kept = taken = marked = 0
+    for number in range(layouts):
+        mine = [html_text.Page(p) for p in every[number::layouts]]
+        potentials = html_text.fit([p for n, p in enumerate(every) if n % layouts != number], 120)
+        p, _ = html_text.marginals(*html_text._features(mine), *potentials)
+        label = np.array([m for page in mine for m in page.marked])
+        size = np.array([c for page in mine for c in page.chars])
+        found = p >= 0.5
+        assert size[found & label].sum() >= 0.97 * size[label].sum()
+        kept, taken, marked = kept + size[found & label].sum(), taken + size[found].sum(), marked + size[label].sum()
+    assert kept >= 0.99 * marked and kept >= 0.95 * taken
+
+
+def test_inline_elements_and_short_articles():
+    read = lambda body: html_text.main_texts([f"<html><body>{body}</body></html>"])[0]
+    more = "<p>Another paragraph of the article. It has two sentences.</p>"
+    menu = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"
+    for name in ('span class="more"', 'code class="language-text"', 'b class="text"', "button", "em"):
+        assert read(f"{menu}<article><p>Hello there, <{name}>big world</{name.split()[0]}> and more of it.</p>{more}</article>") == (
+            "Hello there, big world and more of it.\n\nAnother paragraph of the article. It has two sentences.")
+    assert "The sum a+b is known." in read(
+        f"<article><h1>T</h1><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is known. We use it.</p>{more}</article>")
+    assert read(f"{menu}<article><p>One short paragraph.</p></article><footer>&copy; Me</footer>") == "One short paragraph."
+    assert read("<main><p>Just one line of text.</p></main>") == "Just one line of text."
+    blocks = lambda s: [t for _, t in html_text.Page(s).runs]
+    assert blocks('<p>a <span class="x more">b <div>c</div> d</span> e</p>') == ["a b", "c", "d e"]
+    assert blocks('<p>a <span class="more">b<p>c</span>d') == ["a b", "cd"]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    seconds = []
+    for n in (4000, 32_000):
+        start = time.perf_counter()
+        html_text.Page('<div><span class="more">' * n + "</span></em></section>" * n + "<p>x" * n)
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 32 * seconds[0] + 0.5
+
+
 def test_marginals_by_enumeration():
     pick = np.random.default_rng(0)
     page = html_text.Page("<body><div>a<p>b</p><ul><li>c</li></ul></div><p>d</p></body>")
