@@ -4,9 +4,10 @@ The automaton knows every run of words of every template. A text is streamed thr
 word it holds the longest run ending there that some template contains (the matching statistics). Runs
 that cannot grow further and are long enough become matches with their places in the templates; matches
 of one template in the same order are chained into spans, and a span that covers enough of its template
-gives the text that label. Templates are licence notices and the sections of whole licence texts. Short
-statements (names of licences, SPDX identifiers, reserved rights) are too short for runs and shares; they
-count where they stand complete, the longest at a place. Phrases of the base rule are counted as they stand.
+gives the text that label. Templates are licence notices, the sections of whole licence texts, and short
+statements (names of licences, SPDX identifiers, reserved rights). How long a run and how large a share a
+template asks for depends on its length: a short one has to be there whole, and is seen where a run holds it
+at its end, also inside a longer run. Phrases of the base rule are counted as they stand.
 """
 
 from __future__ import annotations
@@ -121,6 +122,8 @@ def _sections() -> list[tuple[str, str]]:
 
 #: Shortest match in words, words that may be missing between chained matches, share of a template for a label.
 LEAST_RUN, MOST_GAP, LEAST_COVER = 4, 8, 0.6
+#: Templates of at most so many words have to be there whole.
+SHORT = 10
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -131,9 +134,13 @@ def words(data: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """All runs of the given sequences; a state knows the place of one of its runs in each sequence."""
+    """All runs of the given sequences; a state knows the place of one of its runs in each sequence.
 
-    def __init__(self, sequences: list[list]):
+    ``complete`` has, for each state, the sequences of at most ``short`` items that its runs can end with, as
+    (length, number), the longest first.
+    """
+
+    def __init__(self, sequences: list[list], short: int = 0):
         self.next: list[dict] = [{}]
         self.link, self.length = [-1], [0]
         self.ends: list[set[tuple[int, int]]] = [set()]
@@ -146,6 +153,17 @@ class SuffixAutomaton:
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
             if self.link[state] > 0:
                 self.ends[self.link[state]] |= self.ends[state]
+        own: dict[int, list[tuple[int, int]]] = {}
+        for number, sequence in enumerate(sequences):
+            if 0 < len(sequence) <= short:
+                state = 0
+                for item in sequence:
+                    state = self.next[state][item]
+                own.setdefault(state, []).append((len(sequence), number))
+        self.complete: list[tuple] = [()] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            above = self.complete[self.link[state]]
+            self.complete[state] = (*sorted(own[state], reverse=True), *above) if state in own else above
 
     def _new(self, length: int, link: int, edges: dict) -> int:
         self.next.append(edges)
@@ -176,9 +194,13 @@ class SuffixAutomaton:
             self.link[new] = to if self.length[to] == self.length[state] + 1 else self._split(state, word, to)
         return new
 
-    def matches(self, sequence: list, least: int, offset: int = 0) -> list[tuple[int, int, int]]:
-        """``(end, length, state)`` of the runs of at least ``least`` words that no template continues."""
-        found, state, length = [], 0, 0
+    def matches(
+        self, sequence: list, least: int, offset: int = 0,
+    ) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """``(end, length, state)`` of the runs of at least ``least`` words that no template continues, and
+        ``(end, length, number)`` of the short sequences that are whole, the longest for each end."""
+        found, whole, state, length = [], [], 0, 0
+        complete = self.complete
         for at, word in enumerate(sequence):
             if word not in self.next[state]:
                 if length >= least:
@@ -191,26 +213,25 @@ class SuffixAutomaton:
                 state = length = 0
             else:
                 state, length = to, length + 1
+                for size, number in complete[state]:
+                    if size <= length:
+                        whole.append((offset + at + 1, size, number))
+                        break
         if length >= least:
             found.append((offset + len(sequence), length, state))
-        return found
+        return found, whole
 
 
 class Scanner:
     """Templates and phrases, ready to scan texts."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES):
-        texts = [*templates.items(), *_sections()]
-        self.labels = [label for label, _ in texts]
-        self.texts = [words(t.encode()) for _, t in texts]
+        texts = [(label, words(t.encode())) for label, t in (*templates.items(), *_sections())]
+        texts += [(label, list(phrase)) for phrase, label in _statements().items()]
+        self.labels, self.texts = [label for label, _ in texts], [t for _, t in texts]
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
         self.known = {w: n + 1 for n, w in enumerate(sorted({w for t in self.texts for w in t}))}
-        self.automaton = SuffixAutomaton([[self.known[w] for w in t] for t in self.texts])
-        # statements by their first two words, the longest first
-        self.statements: dict[tuple[bytes, bytes], list[tuple[tuple[bytes, ...], str]]] = {}
-        for phrase, label in sorted(_statements().items(), key=lambda x: -len(x[0])):
-            self.statements.setdefault(phrase[:2], []).append((phrase, label))
-        self.seconds = {pair[1] for pair in self.statements}
+        self.automaton = SuffixAutomaton([[self.known[w] for w in t] for t in self.texts], SHORT)
 
     def base(self, found: list[bytes], lower: bytes) -> list[tuple[int, str]]:
         """Start and label of each place where a base phrase stands."""
@@ -228,20 +249,6 @@ class Scanner:
                     places.append((at, label))
         return sorted(places)
 
-    def stated(self, found: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """``label, start, end, 1`` of the complete statements, without those inside a longer one."""
-        out, reached = [], 0
-        # only pairs of neighbours that begin a statement are looked at
-        for at in [n for n, w in enumerate(found) if w in self.seconds]:
-            for phrase, label in self.statements.get((found[at - 1], found[at]), ()) if at else ():
-                end = at - 1 + len(phrase)
-                if tuple(found[at - 1:end]) == phrase:
-                    if end > reached:
-                        out.append((label, at - 1, end, 1.0))
-                        reached = end
-                    break
-        return out
-
     def spans(self, found: list[bytes]) -> list[tuple[str, int, int, float]]:
         """``label, start, end, cover`` of chained template spans, by word; the best cover of each chain."""
         known = self.known
@@ -249,20 +256,37 @@ class Scanner:
         # only runs of template words can match
         edges = np.flatnonzero(np.diff(np.concatenate([[0], codes > 0, [0]]).astype(np.int8)))
         chains: dict[int, list[list[int]]] = {}
+        whole: list[tuple[int, int, int]] = []
         for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if end - start < LEAST_RUN:
+            if end - start < 2:
                 continue
-            for stop, length, state in self.automaton.matches(codes[start:end].tolist(), LEAST_RUN, start):
+            runs, short = self.automaton.matches(codes[start:end].tolist(), LEAST_RUN, start)
+            whole += short
+            for stop, length, state in runs:
                 places: dict[int, list[int]] = {}
-                for template, last in self.automaton.ends[state]:
-                    places.setdefault(template, []).append(last)
-                for template, lasts in places.items():
-                    self._chain(chains.setdefault(template, []), stop - length, stop, length, sorted(lasts))
+                # what the run ends with may stand in templates that do not have all of it
+                while length >= LEAST_RUN:
+                    new: dict[int, list[int]] = {}
+                    for template, last in self.automaton.ends[state]:
+                        if template not in places and len(self.texts[template]) > SHORT:
+                            new.setdefault(template, []).append(last)
+                    for template, lasts in new.items():
+                        self._chain(chains.setdefault(template, []), stop - length, stop, length, sorted(lasts))
+                    places |= new
+                    state = self.automaton.link[state]
+                    length = self.automaton.length[state]
+        # of short templates inside each other the longest stays
+        reached = len(found) + 1
+        for stop, length, template in sorted(whole, key=lambda w: (-w[0], -w[1])):
+            if stop - length < reached:
+                reached = stop - length
+                self._chain(chains.setdefault(template, []), reached, stop, length, [length - 1])
         out = []
         for template, chain in chains.items():
+            size = len(self.texts[template])
             for start, end, _, covered in chain:
-                cover = covered / len(self.texts[template])
-                if cover >= LEAST_COVER:
+                cover = covered / size
+                if cover >= (1.0 if size <= SHORT else LEAST_COVER):
                     out.append((self.labels[template], start, end, cover))
         return sorted(out)
 
@@ -283,7 +307,7 @@ class Scanner:
         """The output columns of one text."""
         lower = data.lower()  # of bytes: A-Z only
         found = _WORD.findall(lower)
-        base, spans = self.base(found, lower), sorted({*self.spans(found), *self.stated(found)})
+        base, spans = self.base(found, lower), sorted(set(self.spans(found)))
         labels = {x[1] for x in base}
         score = max([0.5 if base else 0.0, *(x[3] for x in spans)])
         return (len(found), len(base), base[0][0] if base else None, base[-1][0] if base else None,

@@ -144,6 +144,27 @@ def test_licences(texts):
     assert scan(b"the software and the public of the license to use free")[5] == ""
 
 
+def test_labels_come_from_the_automaton(spark):
+    """On the lines of the table the added labels are chained spans, and vanish with the automaton."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()
+    pattern = re.compile(r"\b(?:licen[sc]ed?|rights reserved|cc by)\b", re.I)
+    lines = {x for r in rows for x in (r.text or "").split("\n") if pattern.search(x)}
+    full, empty = license_scan.scanner(), license_scan.Scanner()
+    empty.automaton = license_scan.SuffixAutomaton([])
+    added = 0
+    for line in lines:
+        got, none = full.scan(line.encode()), empty.scan(line.encode())
+        assert none[5] == none[4] == got[4] and none[7] == "" and none[6] in (0.0, 0.5)
+        spans = [x.rsplit(":", 2)[0] for x in got[7].split(",") if x]
+        assert set(got[5].split(",")) - {""} == (set(got[4].split(",")) | set(spans)) - {""}
+        added += got[5] != got[4]
+    assert added > 0 and len(lines) > 3
+    # a statement inside a longer run, and one that is not whole
+    assert "mit" in full.scan(b"under the terms of the mit license and more")[5].split(",")
+    assert full.scan(b"all rights are reserved, a mit licence") [5] == full.scan(b"mit licence")[5]
+    assert full.scan(b"the gnu general public")[5] == ""
+
+
 def test_short_and_whole_licences(texts):
     scan = license_scan.scanner().scan
     lines = {"This work is licensed under the GNU General Public License, version 3.": "gpl", "All rights reserved.": "proprietary",
@@ -170,7 +191,7 @@ def test_matching_statistics():
     text = [pick.randint(0, 4) for _ in range(300)]
     longest = [max((n for n in range(1, 13) if n <= end and tuple(text[end - n:end]) in every), default=0) for end in range(1, 301)]
     want = [(end, n) for end, n in enumerate(longest, 1) if n >= 3 and (end == 300 or longest[end] <= n)]
-    got = automaton.matches(text, 3)
+    got, _ = automaton.matches(text, 3)
     assert [x[:2] for x in got] == want
     for end, n, state in got:
         places = {(r, i + n - 1) for r, run in enumerate(runs) for i in range(13 - n) if run[i:i + n] == text[end - n:end]}
