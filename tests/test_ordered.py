@@ -97,3 +97,34 @@ def test_boxplot_outliers(spark):
     frame = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 5, 100]], "k string, v double")
     row = stats.boxplot(frame, ["k"], "v").first()
     assert (row.q1, row.median, row.q3, row.whisker_high, row.outliers) == (2.25, 3.5, 4.75, 5.0, 1)
+
+
+@pytest.mark.parametrize("accuracy", [40, 400])
+def test_bracketed_quantiles(spark, accuracy):
+    """Groups of more values than a sketch brackets by all of them: exact all the same."""
+    random.seed(5)
+    rows = [(random.choice(["a", "b", None]), v) for v in
+            [random.gauss(0, 1) for _ in range(6000)] + [float(random.randrange(5)) for _ in range(6000)]
+            + [10.0 ** random.uniform(-300, 300) for _ in range(3000)] + [-7.0] * 4000]
+    rows += [("few", float(v)) for v in (3, 1, 2)] + [("none", None)] * 3
+    frame = pd.DataFrame(rows, columns=["k", "v"])
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    at = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.9, "q4": 1.0}
+    found = ordered.quantiles(df, ["k"], "v", at, accuracy=accuracy, also=[F.count("*").alias("n")])
+    got = {r.k: r for r in found.collect()}
+    for k, part in frame.groupby("k", dropna=False):
+        row = got[None if pd.isna(k) else k]
+        assert row.n == len(part)
+        if k == "none":
+            assert row.q2 is None
+        else:
+            assert [row[q] for q in at] == pytest.approx([part.v.quantile(p) for p in at.values()], rel=1e-12)
+    whole = ordered.quantiles(df, [], "v", at, accuracy=accuracy).first()
+    assert list(whole) == pytest.approx([frame.v.quantile(p) for p in at.values()], rel=1e-12)
+
+
+def test_quantiles_pin_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for df in (stats.describe(docs, ["n_chars"], ["lang"]), stats.boxplot(docs, ["lang"], "n_chars")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan and "NestedLoop" not in plan and "rangepartitioning" not in plan
