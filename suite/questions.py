@@ -169,6 +169,11 @@ def table_previews(spark, folder):
                      F.size(F.split("sample_rows", "\n")).alias("shown"))
 
 
+def preview_texts(spark, folder):
+    """The whole texts of the previews: five rows as JSON, and the structure of the columns."""
+    return _previews(spark, folder, "header_5").select("table_id", "sample_rows", "structure")
+
+
 def table_previews_full(spark, folder):
     df = _previews(spark, folder, "full_table")
     return df.select("table_id", F.size(F.split("sample_rows", "\n")).alias("shown"))
@@ -185,7 +190,7 @@ QUERIES = {f.__name__: f for f in [
     select_subset, expand_ids, custom_ids, capped_questions, shuffled_questions, batches,
     resume_from, complexity_tier, question_features, question_violations, question_distributions,
     question_report, distractor_report, domain_by_reasoning, complexity_by_answer_type,
-    table_previews, table_previews_full, question_previews,
+    table_previews, preview_texts, table_previews_full, question_previews,
 ]}
 
 _Q = ("(select doc_id, " + ", ".join(f'{e} as {n}' for n, e in _FIELDS.items())
@@ -294,3 +299,19 @@ SQL["question_previews"] = f"""with p as (select table_id, {_LINE} as stats, {_T
       from {_Q}, range(1, 4) g(i) where i <= n_tables)
     select question_id, "at", r.table_id, coalesce(stats, 'Table ' || r.table_id || ': not found') as stats,
       description from r left join p on p.table_id = r.table_id"""
+
+
+def _json_rows(table_id):
+    """The first five rows of a table as JSON objects of texts."""
+    source, _, order, columns = corpus.CORPUS[table_id]
+    pairs = " || ',' || ".join(
+        f"to_json('{name}'::varchar)::varchar || ':' || coalesce(to_json(({expr})::varchar)::varchar, 'null')" for name, expr, _ in columns)
+    at = corpus.key(order, "duckdb")
+    return f"""select '{table_id}' as table_id, string_agg('{{' || {pairs} || '}}', chr(10) order by {at}) as sample_rows
+      from (select * from {source} order by {at} limit 5)"""
+
+
+SQL["preview_texts"] = f"""with s as ({" union all ".join(map(_json_rows, corpus.CORPUS))}),
+    c as (select table_id, string_agg(concat(column_name, ':', dtype, ':', n_nulls, ':', sample_value), '; ' order by col_pos)
+      as structure from ({corpus.profile_sql()}) group by 1)
+    select s.table_id, sample_rows, structure from s join c on c.table_id = s.table_id"""
