@@ -130,3 +130,22 @@ def test_pipeline_stages_take_the_cases(spark, docs, labels, tmp_path):
         (False, 3), (False, 4), (False, 5), (False, 6), (False, 7), (False, 8), (False, 9), (True, 0)]
     near = corpus_pipeline.near_stage(spark, table, folder)
     assert sorted(r.doc_id for r in near.collect() if r.doc_id) == [1, 2, 3, 4, 6, 7, 8, 9]
+
+
+def test_clashing_names_of_other_tables(spark, docs):
+    """Extra columns of any name change nothing in the operators on conversations, vectors and shards."""
+    from tableworks.llm.conversation_repair import damaged, repair_report
+    from tableworks.llm.hard_negatives import hard_negatives, quantised, shifted_labels
+    from tableworks.llm.sharding import shard_documents
+
+    names = "copies said part kind fault first here c no_c t no_t turns audit row block cell batch a w score found rank bests scores parcel shard slot law".split()
+    extra = lambda df: df.select("*", *(F.lit("z").alias(n) for n in names if n not in df.columns))
+    talks = spark.createDataFrame([(1, 0, "user", "a."), (1, 1, "assistant", "b"), (2, None, None, None)],
+                                  "conv_id long, turn long, role string, text string")
+    vectors = spark.createDataFrame([(i, [0.5, 0.1 * ((i * 7 + 3) % 5)], i % 2) for i in range(60)], "vec_id long, embedding array<float>, label int")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for operator, table in ((lambda d: repair_report(damaged(d)), talks), (lambda d: hard_negatives(shifted_labels(quantised(d))), vectors)):
+        got = rows(operator(extra(table)))
+        assert got == rows(operator(table)) and got
+    shards = shard_documents(docs.withColumn("parcel", F.lit(1)).withColumn("copies", F.lit("z")))
+    assert shards.count() == len(ROWS) and len({r.shard for r in shards.filter("doc_id = 2 or doc_id = 3").collect()}) == 1
