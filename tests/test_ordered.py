@@ -128,3 +128,12 @@ def test_quantiles_pin_nothing(spark):
     for df in (stats.describe(docs, ["n_chars"], ["lang"]), stats.boxplot(docs, ["lang"], "n_chars")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "ExistingRDD" not in plan and "NestedLoop" not in plan and "rangepartitioning" not in plan
+
+
+def test_quantiles_never_broadcast_the_rows(spark, tmp_path):
+    """Files that look small may hold many rows; only the facts of the groups are broadcast."""
+    spark.range(2000).selectExpr("concat('g', id % 40) as k", "cast(id % 7 as double) as v").write.parquet(f"{tmp_path}/rows")
+    found = ordered.quantiles(spark.read.parquet(f"{tmp_path}/rows"), ["k"], "v", {"median": 0.5})
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and all("Join LeftOuter" in line for line in joins)
+    assert found.count() == 40
