@@ -52,7 +52,7 @@ def describe(
     by = by or []
     long = long_form(df, columns, "column", "value", by, "double")
     keys = [*by, "column"]
-    return ordered.quantiles(long, keys, "value", {"median": 0.5}, exact, also=[
+    return ordered.quantiles(long, keys, "value", {"median": 0.5}, exact, few_groups=not by, also=[
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"),

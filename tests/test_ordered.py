@@ -137,3 +137,12 @@ def test_quantiles_never_broadcast_the_rows(spark, tmp_path):
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
     assert joins and all("Join LeftOuter" in line for line in joins)
     assert found.count() == 40
+
+
+def test_descriptions_are_not_dealt_by_column(spark):
+    rows = spark.range(3000).selectExpr("id % 50 as a", "id % 7 / 2 as b")
+    found = stats.describe(rows, ["a", "b"])
+    assert {r.column: r.median for r in found.collect()} == {"a": 24.5, "b": 1.5}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("Initial Plan")[0]
+    assert "ResolvedHint (strategy=broadcast)" in found._jdf.queryExecution().analyzed().toString()
