@@ -104,3 +104,15 @@ def test_profile_types(spark):
     got = {r.column_name: (r.dtype, r.n_nulls, r.sample_value) for r in columns.collect()}
     assert got == {"a": ("float64", 1, "2"), "b": ("float64", 0, "1.5"), "c": ("object", 1, "x"),
                    "d": ("bool", 0, "False")}
+
+
+def test_rows_of_a_table_are_not_gathered(spark):
+    """Facts per table and column are broadcast to the rows."""
+    rows = profiling.corpus_rows(table(spark, GOOD), "t", "pos", ["Entity", "Year", "v", "t"])
+    headers = profiling.corpus_headers(spark, {"t": ["Entity", "Year", "v", "t"]})
+    joins = lambda df, kind: [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+                              if f"Join {kind}" in line]
+    decided = joins(cleaning.corpus_decisions(rows, headers, cleaning.Policy(numeric="median", categorical="mode")), "Inner")
+    assert len(decided) >= 2 and all("strategy=broadcast" in line for line in decided)
+    cleaned = joins(cleaning.clean_corpus(rows, headers).rows, "LeftSemi")
+    assert cleaned and all("strategy=broadcast" in line for line in cleaned)
