@@ -116,3 +116,10 @@ def test_rows_of_a_table_are_not_gathered(spark):
     assert len(decided) >= 2 and all("strategy=broadcast" in line for line in decided)
     cleaned = joins(cleaning.clean_corpus(rows, headers).rows, "LeftSemi")
     assert cleaned and all("strategy=broadcast" in line for line in cleaned)
+
+
+def test_types_are_broadcast_to_the_rows(spark):
+    rows = profiling.corpus_rows(table(spark, GOOD), "t", "pos", ["Entity", "Year", "v", "t"])
+    headers = profiling.corpus_headers(spark, {"t": ["Entity", "Year", "v", "t"]}, {"t": ["text", "int", None, None]})
+    plan = profiling.column_profile(rows, headers)._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Join Inner" in line and "strategy=broadcast" in line]
