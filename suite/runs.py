@@ -227,7 +227,7 @@ _LOG = "record STRING, o_orderkey BIGINT, runs ARRAY<STRUCT<" + readers.schemas.
 
 
 def _logs(spark, folder):
-    """One log folder per question, stored once per session."""
+    """One log per question, packed and stored once per session."""
     key = (spark.sparkContext.applicationId, folder, "logs")
     if key not in _STORED:
         path = scratch_path(spark, "logs")
@@ -238,14 +238,14 @@ def _logs(spark, folder):
 
 
 def question_log(spark, folder):
-    """One log folder per question, read back as JSON lines and flattened."""
-    flat = runs.flatten(readers.read_log_lines(spark, _logs(spark, folder), _LOG))
+    """One log per question, read back as JSON lines and flattened."""
+    flat = runs.flatten(readers.log_lines(readers.packed_logs(spark, _logs(spark, folder)), _LOG))
     return flat.groupBy("record").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("rounds").alias("rounds"))
 
 
 def result_logs(spark, folder):
     """The logs of all questions scanned file by file: runs by decision, and where each log lies."""
-    logs = readers.read_result_logs(spark, _logs(spark, folder), _LOG, "*.json")
+    logs = readers.result_logs(readers.packed_logs(spark, _logs(spark, folder)), _LOG)
     flat = runs.flatten(logs)
     return flat.groupBy("record", F.substring_index("source_dir", "=", -1).alias("question")).agg(
         F.count(F.lit(1)).alias("n_runs"), F.count_if("decision").alias("n_true"),

@@ -236,8 +236,17 @@ def read_result_logs(
     it is read as one value; logs that are JSON lines throughout go through :func:`read_log_lines`.
     """
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    files = read.text(root, wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("_path"))
+    return result_logs(read.text(root, wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("_path")), schema)
+
+
+def packed_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Log files packed by ``sinks.write_question_logs``: ``(value, _path)``, one row per file."""
+    return spark.read.schema("path STRING, value STRING").parquet(path).select("value", F.col("path").alias("_path"))
+
+
+def result_logs(files: DataFrame, schema: str = schemas.RECORD) -> DataFrame:
+    """The records of log files given as rows ``(value, _path)``, see :func:`read_result_logs`."""
     lines = F.filter(F.split("value", r"\r?\n"), lambda l: F.trim(l) != "")
     whole = F.json_object_keys("value").isNotNull() & ~(
         (F.size("_lines") > 1) & F.json_object_keys(F.get("_lines", F.lit(0))).isNotNull())
@@ -253,6 +262,12 @@ def read_log_lines(spark: SparkSession, root: str, schema: str = schemas.RECORD)
     return _objects(lines, schema).select("r.*", *_origin(F.col("_path")))
 
 
+def log_lines(files: DataFrame, schema: str = schemas.RECORD) -> DataFrame:
+    """The records of logs in JSON lines form given as rows ``(value, _path)``, one file each."""
+    lines = files.select("_path", F.explode(F.split("value", r"\r?\n")).alias("value"))
+    return _objects(lines, schema).select("r.*", *_origin(F.col("_path")))
+
+
 def _origin(path: Column) -> list[Column]:
     parts = F.split(path, "/")
     return [F.element_at(parts, -2).alias("source_dir"), F.element_at(parts, -1).alias("source_file")]

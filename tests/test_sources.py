@@ -123,6 +123,22 @@ def test_result_logs(spark, tmp_path):
     assert json.loads(steps.first().result) == {"rows": 1}
 
 
+def test_question_logs_share_files(spark, tmp_path):
+    """As many logs as questions, however few files."""
+    path = str(tmp_path / "logs")
+    source = spark.read.json(spark.sparkContext.parallelize(
+        [json.dumps(record(i % 60, True, False)) for i in range(120)], 2), schema=readers.schemas.RECORD)
+    sinks.write_question_logs(source.selectExpr("question_id", "question_id as record", "runs"), path)
+    assert len(list((tmp_path / "logs").glob("*.parquet"))) <= 8
+    files = readers.packed_logs(spark, path)
+    schema = "record STRING, runs ARRAY<STRUCT<" + readers.schemas.RUN + ">>"
+    for logs in (readers.result_logs(files, schema), readers.log_lines(files, schema)):
+        flat = runs.flatten(logs)
+        assert flat.count() == 240
+        assert {(r.source_dir, r.record) for r in flat.collect()} == {
+            (f"question_id=question_{i:03d}", f"question_{i:03d}") for i in range(60)}
+
+
 def test_stream_reads_each_record_once(spark, tmp_path):
     log, out, progress = (str(tmp_path / n) for n in ("log", "out", "progress"))
     source = spark.read.json(spark.sparkContext.parallelize([json.dumps(record(1, True, False))]), schema=readers.schemas.RECORD)
