@@ -74,25 +74,30 @@ def _piece_start(size: Column, i: Column, n: Column) -> Column:
     return F.floor(size * i / n).cast("int")
 
 
-def _pieces(text: Column, edits: Column) -> Column:
-    """The text cut into edits + 1 almost equal pieces, as (no, piece)."""
-    n, size = edits + 1, F.char_length(text)
-    start = lambda i: _piece_start(size, i, n)
-    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(
-        i.alias("no"), F.substr(text, start(i) + 1, start(i + 1) - start(i)).alias("piece")))
+def _pieces(text: Column, fewest: Column, edits: Column) -> Column:
+    """The text cut into k + 1 almost equal pieces for each k from ``fewest`` to ``edits``, as (k, no, piece)."""
+    size = F.char_length(text)
+
+    def cut(k: Column) -> Column:
+        start = lambda i: _piece_start(size, i, k + 1)
+        return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(
+            k.alias("k"), i.alias("no"), F.substr(text, start(i) + 1, start(i + 1) - start(i)).alias("piece")))
+
+    return F.flatten(F.transform(F.sequence(fewest, edits), cut))
 
 
 def _probes(text: Column, edits: int | None, least: float, slack: float, measure: str) -> Column:
-    """The substrings of a text that could be a piece of a similar text, as (size, no, piece).
+    """The substrings of a text that could be a piece of a similar text, as (size, k, no, piece).
 
-    For a partner of length ``n``, piece number ``i`` can only be found where neither the pieces before
+    The pieces are as long as the edits that these two lengths may be apart allow, not as the partner's length
+    alone would have them. For a partner of length ``n``, piece number ``i`` can only be found where neither the pieces before
     it nor those behind it would need more edits than are left for them (otherwise another piece matches),
     which leaves few starts on both sides of its own.
     """
     size = F.char_length(text)
 
     def of_length(n: Column) -> Column:
-        k, delta = _edits_of(n, edits, slack), size - n
+        k, delta = _edits_between(size, n, edits, least, slack, measure), size - n
 
         def of_piece(i: Column) -> Column:
             start = _piece_start(n, i, k + 1)
@@ -101,13 +106,13 @@ def _probes(text: Column, edits: int | None, least: float, slack: float, measure
             last = F.least(size - length, start + i, start + delta + (k - i))
             at = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
             return F.array_distinct(F.transform(at, lambda p: F.struct(
-                n.alias("size"), i.alias("no"), F.substr(text, p + 1, length).alias("piece"))))
+                n.alias("size"), k.alias("k"), i.alias("no"), F.substr(text, p + 1, length).alias("piece"))))
 
         return F.flatten(F.transform(F.sequence(F.lit(0), k), of_piece))
 
     reach = _most_edits(size, slack) if edits is None else F.lit(edits)
     lengths = F.filter(F.sequence(F.greatest(size - reach, F.lit(1)), size + reach), lambda n: (
-        F.abs(size - n) <= F.least(_edits_of(n, edits, slack), _allowed(size, n, edits, least, measure))))
+        F.abs(size - n) <= _edits_between(size, n, edits, least, slack, measure)))
     return F.flatten(F.transform(lengths, of_length))
 
 
@@ -118,21 +123,26 @@ def _allowed(left: Column, right: Column, edits: int | None, least: float, measu
     return most if edits is None else F.least(F.lit(edits), most)
 
 
+def _edits_between(left: Column, right: Column, edits: int | None, least: float, slack: float, measure: str) -> Column:
+    """Edits that the pieces of the right text allow for when the left one has this length."""
+    return F.least(_edits_of(right, edits, slack), _allowed(left, right, edits, least, measure))
+
+
 def candidate_pairs(
     left: DataFrame, right: DataFrame, by: list[str], edits: int | None, least: float, measure: str = "edits",
 ) -> DataFrame:
-    """``(by…, left, right)`` of the texts that share a piece, met by (length of the right text, number of the
-    piece, piece)."""
+    """``(by…, left, right)`` of the texts that share a piece, met by (length of the right text, edits between
+    the two lengths, number of the piece, piece)."""
     slack = _slack(least, measure)
     probes = left.select(*as_columns(by), "left", F.explode(
         _probes(col("left"), edits, least, slack, measure)).alias("p"))
-    limit = _edits_of(F.char_length("right"), edits, slack)
-    pieces = right.select(*as_columns(by), "right", F.explode(
-        _pieces(col("right"), limit)).alias("q"))
-    probes = probes.select(*as_columns(by), "left", col("p")["size"].alias("size"), col("p")["no"].alias("no"), col("p")["piece"].alias("piece"))
-    pieces = pieces.select(*as_columns(by), "right", F.char_length("right").alias("size"), col("q")["no"].alias("no"),
-                           col("q")["piece"].alias("piece"))
-    return probes.join(pieces, [*by, "size", "no", "piece"]).select(*as_columns(by), "left", "right").distinct()
+    size = F.char_length("right")
+    # however short the left text is, no fewer edits are allowed for
+    pieces = right.select(*as_columns(by), "right", F.explode(_pieces(
+        col("right"), _edits_between(F.lit(0), size, edits, least, slack, measure), _edits_of(size, edits, slack))).alias("q"))
+    probes = probes.select(*as_columns(by), "left", "p.*")
+    pieces = pieces.select(*as_columns(by), "right", size.alias("size"), "q.*")
+    return probes.join(pieces, [*by, "size", "k", "no", "piece"]).select(*as_columns(by), "left", "right").distinct()
 
 
 def similar_pairs(

@@ -175,3 +175,11 @@ def test_merging_goes_on_until_nothing_changes(spark):
     assert {r.component for r in fuzzy.components(first).collect()} == {"A", "C"}  # two groups after one round
     got = {(r.group_id, r.title) for r in grouping.merge_groups(df).collect()}
     assert got == {("A", t) for t in "123456789XY"}
+
+
+def test_candidates_of_unlike_texts_are_few(spark):
+    """Random texts of one length: as many pieces as that length asks for, not as longer partners would."""
+    texts = spark.range(300).selectExpr("'s' as scope", "md5(cast(id as string)) as t")
+    pairs = fuzzy.candidate_pairs(texts.withColumnRenamed("t", "left"), texts.withColumnRenamed("t", "right"),
+                                  ["scope"], None, 0.7)
+    assert pairs.filter("left < right").count() < 0.1 * 300 * 299 / 2
