@@ -29,7 +29,8 @@ def first_contained(
     """For each text the first title that contains it or lies in it: ``(by…, text, order, title)``.
 
     ``titles`` is (by…, title, low, order) with ``low`` the form to compare. The titles that contain
-    a text are reduced to the first one per substring before the join, on the map side.
+    a text are reduced to the first one per substring before the join, on the map side. Substrings look
+    as small as the texts they come from when the join is planned, so they are kept from being broadcast.
     """
     wanted = texts.filter("text <> ''").select(*as_columns(by), "text").distinct()
     sizes = wanted.agg(F.collect_set(F.char_length("text"))).scalar()
@@ -42,7 +43,7 @@ def first_contained(
     lengths = shapes.agg(F.collect_set(F.char_length("low"))).scalar()
     below = wanted.withColumn("_sizes", lengths).select(
         *as_columns(by), "text", F.explode(_substrings(col("text"), col("_sizes"))).alias("low")
-    ).join(shapes, [*by, "low"]).groupBy(*as_columns(by), "text").agg(F.min("_first").alias("_first"))
+    ).join(shapes.hint("merge"), [*by, "low"]).groupBy(*as_columns(by), "text").agg(F.min("_first").alias("_first"))
     return above.unionByName(below).groupBy(*as_columns(by), "text").agg(
         F.min("_first").alias("_first")).select(*as_columns(by), "text", "_first.*")
 
@@ -132,7 +133,8 @@ def candidate_pairs(
     left: DataFrame, right: DataFrame, by: list[str], edits: int | None, least: float, measure: str = "edits",
 ) -> DataFrame:
     """``(by…, left, right)`` of the texts that share a piece, met by (length of the right text, edits between
-    the two lengths, number of the piece, piece)."""
+    the two lengths, number of the piece, piece). Neither side is broadcast: pieces look as small as their texts when
+    the join is planned."""
     slack = _slack(least, measure)
     probes = left.select(*as_columns(by), "left", F.explode(
         _probes(col("left"), edits, least, slack, measure)).alias("p"))
@@ -142,7 +144,7 @@ def candidate_pairs(
         col("right"), _edits_between(F.lit(0), size, edits, least, slack, measure), _edits_of(size, edits, slack))).alias("q"))
     probes = probes.select(*as_columns(by), "left", "p.*")
     pieces = pieces.select(*as_columns(by), "right", size.alias("size"), "q.*")
-    return probes.join(pieces, [*by, "size", "k", "no", "piece"]).select(*as_columns(by), "left", "right").distinct()
+    return probes.join(pieces.hint("merge"), [*by, "size", "k", "no", "piece"]).select(*as_columns(by), "left", "right").distinct()
 
 
 def similar_pairs(

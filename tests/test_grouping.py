@@ -183,3 +183,16 @@ def test_candidates_of_unlike_texts_are_few(spark):
     pairs = fuzzy.candidate_pairs(texts.withColumnRenamed("t", "left"), texts.withColumnRenamed("t", "right"),
                                   ["scope"], None, 0.7)
     assert pairs.filter("left < right").count() < 0.1 * 300 * 299 / 2
+
+
+def test_exploded_texts_are_never_broadcast(spark):
+    """Substrings and pieces look as small as the texts they are cut from; only the texts may be broadcast."""
+    texts = spark.range(20).selectExpr("'s' as scope", "concat('title number ', id) as text")
+    pairs = fuzzy.candidate_pairs(texts.withColumnRenamed("text", "left"), texts.withColumnRenamed("text", "right"), ["scope"], 4, 0.7)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    listed = texts.select("scope", F.col("text").alias("title"), F.col("text").alias("low"), F.length("text").alias("at"))
+    found = fuzzy.first_contained(texts, listed, ["scope"], "at")
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line]
+    assert len(joins) == 2 and all("SortMergeJoin" in line or "LeftSemi, BuildRight" in line for line in joins)
+    assert found.count() == 20
