@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = pin(links.distinct())
     placed = placed.drop("class").join(_closed(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
     keys = nodes.select("node", "keys")
-    left = pin(_mixed(placed).join(info, "node").join(keys, "node"))
+    # not pinned: both sides read the same shuffle of these wide rows
+    left = _mixed(placed).join(info, "node").join(keys, "node")
     one, two = (left.select(F.col("key").alias(f"{x}_key"), F.col("class").alias(f"{x}_class"), F.col("keys").alias(f"{x}_keys"),
                             *(F.col(c).alias(f"{x}_{c}") for c in _INFO), F.col("node").alias(x)) for x in ("a", "b"))
     # a pair that shares several buckets comes out of the first of them only

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tableworks.functions.columns import as_columns, col
 from tableworks.functions.similarity import block_ratio
-from tableworks.session import pin
+from tableworks.session import are_few, pin
 
 
 def _substrings(text: Column, lengths: Column) -> Column:
@@ -221,20 +221,23 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     Without ``nodes`` only ids that occur in an edge are listed. Each round takes the smallest label among
     the neighbours and then the label of that label, so long chains shrink quickly. Labels are pinned
-    every round together with the old ones; the loop ends when nothing changes.
+    every round together with the old ones; the loop ends when nothing changes. Labels that are counted as
+    few are broadcast, as a round of many small shuffles takes more files and time than its rows are worth.
     """
     both = pin(edges.select("src", "dst").unionByName(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     # the first round needs no labels: every id starts as its own
     labels = pin(both.groupBy("src").agg(F.min("dst").alias("offer")).select(
         F.col("src").alias("id"), F.least("src", "offer").alias("component")))
+    # there are as many labels in every round
+    near = F.broadcast if are_few(labels) else lambda df: df
     while True:
-        offered = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(
+        offered = both.join(near(labels), both["dst"] == labels["id"]).groupBy("src").agg(
             F.min("component").alias("offer"))
-        lower = labels.join(offered, labels["id"] == offered["src"]).select(
+        lower = near(labels).join(offered, labels["id"] == offered["src"]).select(
             "id", F.col("component").alias("before"), F.least("component", "offer").alias("component"))
         jump = lower.select(F.col("id").alias("_to"), F.col("component").alias("_next"))
-        moved = pin(lower.join(jump, lower["component"] == jump["_to"]).select(
+        moved = pin(lower.join(near(jump), lower["component"] == jump["_to"]).select(
             "id", "before", F.least("component", "_next").alias("component")))
         labels = moved.select("id", "component")
         if moved.filter("component <> before").isEmpty():

@@ -196,3 +196,17 @@ def test_exploded_texts_are_never_broadcast(spark):
     joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line]
     assert len(joins) == 2 and all("SortMergeJoin" in line or "LeftSemi, BuildRight" in line for line in joins)
     assert found.count() == 20
+
+
+def test_few_labels_are_broadcast_in_every_round(spark, monkeypatch):
+    """A round over few labels shuffles the offers only, whatever Spark thinks of the sizes."""
+    plans, pin = [], fuzzy.pin
+    monkeypatch.setattr(fuzzy, "pin", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or pin(df))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        found = {(r.id, r.component) for r in fuzzy.components(spark.range(30).selectExpr("id as src", "id + 1 as dst")).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert found == {(i, 0) for i in range(31)}
+    assert len(plans) > 3 and not any("SortMergeJoin" in plan for plan in plans)
