@@ -5,12 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 ROWS = 512
 
+#: What empties the memos of this Python worker, and the stage whose tasks they were filled by.
+_FORGET: list[Callable[[], None]] = []
+_FILLED_BY: list[int | None] = [None]
+
+
+def kept_for_a_stage(forget: Callable[[], None]) -> None:
+    """Have ``forget`` called when this Python worker begins with the tasks of another stage."""
+    _FORGET.append(forget)
+
+
+def begin_task() -> None:
+    """Drop the memos of another stage: a worker is used again by any later one, which has no use for them."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _FILLED_BY[0]:
+        for forget in _FORGET:
+            forget()
+        pa.default_memory_pool().release_unused()
+        _FILLED_BY[0] = stage
+
 
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     """The Arrow schema that Spark uses for a DDL string."""
@@ -20,7 +41,8 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches cut into pieces of at most ``rows`` rows."""
+    """The batches of a task cut into pieces of at most ``rows`` rows."""
+    begin_task()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tableworks.llm.batches import arrow_schema, keyed, labelled_sample, map_texts, slices, utf8
+from tableworks.llm.batches import arrow_schema, begin_task, keyed, labelled_sample, map_texts, slices, utf8
 
 #: Hash buckets of each kind of feature, and labelled documents the model is fitted on at most.
 BITS, TRAIN_ROWS = 15, 4000
@@ -134,12 +134,18 @@ def fit(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
     share = np.where(labels == 1, 0.5 / max(1, (labels[~held] == 1).sum()), 0.5 / max(1, (labels[~held] == 0).sum()))
     share[held] = 0
 
+    def spread(values, places):
+        # one array as long as the features, not two
+        x = values[places]
+        x *= value
+        return x
+
     def scores(w):
-        return np.bincount(row, w[column] * value, len(texts)) + w[size]
+        return np.bincount(row, spread(w, column), len(texts)) + w[size]
 
     def gradient(w):
         error = (_sigmoid(scores(w)) - labels) * share
-        g = np.bincount(column, error[row] * value, size + 1) + 1e-6 * w
+        g = np.bincount(column, spread(error, row), size + 1) + 1e-6 * w
         g[size] = error.sum()
         return g
 
@@ -171,6 +177,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.
     schema = arrow_schema(docs.sparkSession, "model binary")
 
     def run(batches):
+        begin_task()
         got = sorted((x for b in batches for x in zip(
             b.column("doc_id").to_pylist(), b.column("label").to_pylist(), utf8(b, "text"))), key=lambda x: zlib.crc32(b"%d" % x[0]))
         model = fit([x[2] for x in got], np.array([x[1] for x in got], np.float64))

@@ -3,7 +3,7 @@
 The ``word_bpe`` tokenizer drops white space and never looks across it, so the tokens of a text are
 those of its pieces in order, and the tokens of a piece those of its words (runs of letters, single
 digits, runs of other signs). Both are looked up once and remembered; a memo is emptied when it is
-full, which changes nothing but the time.
+full and when the worker turns to another stage, which changes nothing but the time.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from tableworks.llm.batches import kept_for_a_stage
+
 #: Entries of a memo and the longest piece kept: together at most about 250 MB for each Python worker.
 MEMO, LONGEST = 600_000, 40
 
@@ -108,7 +110,7 @@ class Pieces:
 
 @functools.cache
 def word_ids(path: str) -> Pieces:
-    """Token ids as little-endian unsigned 32-bit bytes; one memo for each Python worker."""
+    """Token ids as little-endian unsigned 32-bit bytes; one memo for each Python worker and stage."""
     tokenize = library(path).model.tokenize
 
     def ids(word: str) -> bytes:
@@ -117,6 +119,9 @@ def word_ids(path: str) -> Pieces:
     return Pieces(path, ids, lambda s: np.array([specials(path)[s]], "<u4").tobytes(), b"")
 
 
+kept_for_a_stage(word_ids.cache_clear)
+
+
 def encode(path: str, text: bytes) -> bytes:
     """Ids of a whole text in UTF-8 as the library gives them, without added tokens."""
     return b"".join(word_ids(path).look_up(text.split()))

@@ -5,9 +5,10 @@ import pytest
 import brute
 import corpus_pipeline
 from tableworks.llm import order_minhash
+from tableworks.llm.batches import map_texts, utf8
 from tableworks.llm.pii import personal_data
 from tableworks.llm.quality_rules import quality_rules
-from tableworks.llm.words import encode, tokenizer_path
+from tableworks.llm.words import encode, tokenizer_path, word_ids
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -50,3 +51,18 @@ def test_pipeline(spark, expected):
 def test_stage_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "near dedup", "pii", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_workers_forget_the_words_of_another_stage(spark):
+    path = tokenizer_path()
+    docs = spark.range(64, numPartitions=8).selectExpr("concat('word', id, ' and more') as text")
+
+    def fill(batch):
+        return {"n": [len(encode(path, t)) for t in utf8(batch, "text")]}
+
+    def held(batch):
+        return {"n": [word_ids.cache_info().currsize] * batch.num_rows}
+
+    assert map_texts(docs, fill, "n long").agg({"n": "min"}).first()[0] > 0
+    # the workers of the first stage are used again; their memos take memory beside the executor's heap
+    assert map_texts(docs, held, "n long").agg({"n": "max"}).first()[0] == 0
