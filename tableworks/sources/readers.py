@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tableworks.functions.columns import col
 from tableworks.functions.text import integer_of, missing_to_null, number_of
+from tableworks.session import broadcast_if_few, pin
 from tableworks.sources import schemas
 from tableworks.sources.records import csv_records, record_cells
 
@@ -146,7 +147,8 @@ def read_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     ``.2``. Quoted cells may hold line breaks (see :func:`records.csv_records`). Cells beyond the header are
     kept in ``surplus``, which is null where there are none.
     """
-    records = csv_records(spark, root)
+    # written once: three passes below read them
+    records = pin(csv_records(spark, root))
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
     path = F.col("_metadata.file_path")
     folder, item = _below(root, path)
@@ -157,8 +159,8 @@ def read_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     chosen = facts.withColumn("_first", F.min("item").over(in_table)).filter("item = _first").withColumn(
         "file_no", F.row_number().over(in_table.orderBy("path")))
     first = records.groupBy("path").agg(F.min("pos").alias("first_pos"))
-    files = chosen.join(first, "path").select("path", "table_id", "utf8", "file_no", "first_pos")
-    read = records.join(files, "path")
+    files = pin(chosen.join(first, "path").select("path", "table_id", "utf8", "file_no", "first_pos"))
+    read = records.join(broadcast_if_few(files), "path")
     text = F.when(F.col("utf8"), F.col("record")).otherwise(F.decode(F.col("record").cast("binary"), "ISO-8859-1"))
     heads = read.filter("pos = first_pos").select(
         "path", "table_id", "file_no", record_cells(F.regexp_replace(text, "^\ufeff", "")).alias("_cells"))
@@ -167,7 +169,8 @@ def read_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     headers = heads.filter("file_no = 1").select("table_id", plain.alias("_names")).select("table_id", F.transform(
         "_names", lambda c, i: _numbered_copy(c, i, F.col("_names"))).alias("columns"))
     cells = read.filter("pos > first_pos").select("path", "table_id", "pos", record_cells(text).alias("_cells"))
-    rows = cells.join(heads.select("path", F.size("_cells").alias("width")), "path").select(
+    widths = pin(heads.select("path", F.size("_cells").alias("width")))
+    rows = cells.join(broadcast_if_few(widths), "path").select(
         "table_id", "pos",
         F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: missing_to_null(F.get("_cells", i))).alias("cells"),
         F.when(F.size("_cells") > F.col("width"), F.slice("_cells", F.col("width") + 1, F.size("_cells"))).alias("surplus"))

@@ -106,3 +106,15 @@ def test_long_cells(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.cells for r in rows] == [["1", cell], ["2", "z"]]
+
+
+def test_records_of_a_corpus_are_worked_out_once(spark, tmp_path):
+    (tmp_path / "a_data").mkdir()
+    (tmp_path / "a_data" / "table.csv").write_text('k,v\n1,"x\ny"\n2,z\n3,w,more\n')
+    rows, _ = readers.read_corpus(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().toString()
+    assert "text" not in [word.lower() for line in plan.splitlines() if "FileScan" in line for word in line.split()]
+    # facts of files are small, so the records are not dealt by file to meet them
+    assert "SortMergeJoin" not in plan
+    assert sorted((r.cells, r.surplus) for r in rows.collect()) == [
+        (["1", "x\ny"], None), (["2", "z"], None), (["3", "w"], ["more"])]
