@@ -23,12 +23,14 @@ from tableworks.operators.fuzzy import components
 from tableworks.session import pin, scratch_path
 
 #: 64-bit words of the parity signature; rounds of leaders before classes are compared with each other.
-_SIGNATURE, ROUNDS = 8, 2
+_SIGNATURE, ROUNDS = 16, 2
 _INFO = ["n", *(f"s{i}" for i in range(_SIGNATURE))]
+#: Slots of the rows whose words a round needs; they are broadcast, so their number is fixed.
+SLOTS = 1 << 21
 
 
 def _signature(grams: np.ndarray) -> np.ndarray:
-    """For each of 512 buckets of k-mers, whether their number is odd."""
+    """For each of 1024 buckets of k-mers, whether their number is odd."""
     odd = np.bincount((grams >> np.uint64(7)).astype(np.int64) % (64 * _SIGNATURE), minlength=64 * _SIGNATURE) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
@@ -63,6 +65,19 @@ def _possible(a: str, b: str):
     return (F.abs(F.col(f"{a}_n") - F.col(f"{b}_n")) <= band) & (differ <= band)
 
 
+def _slot(row: str):
+    return F.pmod(F.xxhash64(row), F.lit(SLOTS)).cast("int")
+
+
+def _needed(codes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``codes`` in a slot of ``a`` or ``b`` of any pair: all that the pairs name, and few others.
+
+    Slots are broadcast, at most ``SLOTS`` of them, so the words of other texts are dropped where they are read.
+    """
+    slots = pairs.select(F.explode(F.array("a", "b")).alias("row")).select(_slot("row").alias("_slot")).distinct()
+    return codes.join(F.broadcast(slots), _slot("row") == F.col("_slot"), "left_semi")
+
+
 def _linked(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     """The classes ``(src, dst)`` of the pairs ``(a, b, a_class, b_class)`` whose alignment reaches the
     similarity, each once."""
@@ -76,6 +91,8 @@ def _linked(pairs: DataFrame, codes: DataFrame) -> DataFrame:
                 dst.append(b)
         return {"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())}
 
+    pairs = pin(pairs)
+    codes = _needed(codes, pairs)
     with_codes = (
         pairs.join(codes.select(F.col("row").alias("a"), F.col("codes").alias("left")), "a")
         .join(codes.select(F.col("row").alias("b"), F.col("codes").alias("right")), "b")

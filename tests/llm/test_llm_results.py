@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import brute
-from tableworks.llm import html_text, license_scan, merge_dropout, order_minhash, packing, pii, quality_model, quality_rules
+from tableworks.llm import html_text, license_scan, merge_dropout, near_dedup, order_minhash, packing, pii, quality_model, quality_rules
 from tableworks.llm.labelled_pages import labelled_pages
 from tableworks.llm.near_dedup import near_duplicates
 from tableworks.llm.token_counts import CHUNK, counter
@@ -277,6 +277,36 @@ def test_near_duplicates(spark):
     assert [got[i] for i in range(len(rows))] == brute.classes(rows, linked)
 
 
+def test_only_words_that_pairs_name_are_shuffled(spark, monkeypatch):
+    """The words of texts without a candidate are dropped where they are read, in every verification."""
+    plans, given, pin, linked = [], [], near_dedup.pin, near_dedup._linked
+    monkeypatch.setattr(near_dedup, "pin", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or pin(df))
+    monkeypatch.setattr(near_dedup, "_linked", lambda pairs, codes: given.append((pairs, codes)) or linked(pairs, codes))
+    pick = random.Random(5)
+    rows = [" ".join(f"w{pick.randrange(10 ** 6)}" for _ in range(200)) for _ in range(300)]
+    rows += [rows[0] + " more", rows[1] + " more"]
+    got = near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4))
+    assert got.filter("not kept").count() == 2
+    verified = [p for p in plans if p.count("codes#") and "MapInArrow" in p]
+    assert len(verified) == 3 and all("LeftSemi, BuildRight" in p for p in verified)
+    pairs, codes = given[0]
+    named = {x for r in pairs.collect() for x in (r.a, r.b)}
+    read = {r.row for r in near_dedup._needed(codes, pairs).collect()}
+    assert named <= read and len(named) == 4 and len(read) <= 6
+
+
+def test_signature_tells_long_texts_apart():
+    """Texts of 700 words of which 110 differ are told apart by parities, before their words are read."""
+    pick = random.Random(6)
+    words = [f"w{pick.randrange(10 ** 6)}" for _ in range(700)]
+    other = words[:590] + [f"v{pick.randrange(10 ** 6)}" for _ in range(110)]
+    one, two = (near_dedup.omh.kmers(near_dedup.omh.word_codes(" ".join(w))) for w in (words, other))
+    differ = sum((a ^ b).bit_count() for a, b in zip(
+        *(near_dedup._signature(g).view(np.uint64).tolist() for g in (one, two))))
+    assert near_dedup.omh.aligned(one, two) < 0.8
+    assert len(np.setxor1d(one, two)) >= differ > int((len(one) + len(two)) * 0.2 / 1.8)
+
+
 def test_short_near_duplicates(spark):
     rows = []
     for group in range(40):
