@@ -70,3 +70,19 @@ def test_hot_key_join_is_whole(spark, how):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_full_outer_join_hands_rows_on_one_by_one(spark):
+    """Generated code of this join would hold all joined rows of a key at once."""
+    session.configure(spark)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(2_000).selectExpr("id % 2 as k", "id as v")
+        joined = left.join(left.select("k", left["v"].alias("w")), "k", "full")
+        assert len(joined.collect()) == 2_000_000
+        plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert joins and not any("*(" in line for line in joins)
