@@ -7,6 +7,10 @@ a place shifted by at most k.
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +79,8 @@ def _piece_start(size: Column, i: Column, n: Column) -> Column:
     return F.floor(size * i / n).cast("int")
 
 
-def _pieces(text: Column, fewest: Column, edits: Column) -> Column:
-    """The text cut into k + 1 almost equal pieces for each k from ``fewest`` to ``edits``, as (k, no, piece)."""
+def _pieces(text: Column, edits: Column) -> Column:
+    """The text cut into k + 1 almost equal pieces for each k of ``edits``, as (k, no, piece)."""
     size = F.char_length(text)
 
     def cut(k: Column) -> Column:
@@ -84,21 +88,21 @@ def _pieces(text: Column, fewest: Column, edits: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(
             k.alias("k"), i.alias("no"), F.substr(text, start(i) + 1, start(i + 1) - start(i)).alias("piece")))
 
-    return F.flatten(F.transform(F.sequence(fewest, edits), cut))
+    return F.flatten(F.transform(edits, cut))
 
 
-def _probes(text: Column, edits: int | None, least: float, slack: float, measure: str) -> Column:
-    """The substrings of a text that could be a piece of a similar text, as (size, k, no, piece).
+def _probes(text: Column, lengths: Column, edits_to: Callable[[Column], Column]) -> Column:
+    """The substrings of a text that could be a piece of a similar text of one of these lengths, as (size, k, no, piece).
 
-    The pieces are as long as the edits that these two lengths may be apart allow, not as the partner's length
-    alone would have them. For a partner of length ``n``, piece number ``i`` can only be found where neither the pieces before
-    it nor those behind it would need more edits than are left for them (otherwise another piece matches),
+    The pieces are as long as the edits that these two lengths may be apart allow (``edits_to``), not as the partner's
+    length alone would have them. For a partner of length ``n``, piece number ``i`` can only be found where neither the
+    pieces before it nor those behind it would need more edits than are left for them (otherwise another piece matches),
     which leaves few starts on both sides of its own.
     """
     size = F.char_length(text)
 
     def of_length(n: Column) -> Column:
-        k, delta = _edits_between(size, n, edits, least, slack, measure), size - n
+        k, delta = edits_to(n), size - n
 
         def of_piece(i: Column) -> Column:
             start = _piece_start(n, i, k + 1)
@@ -111,9 +115,6 @@ def _probes(text: Column, edits: int | None, least: float, slack: float, measure
 
         return F.flatten(F.transform(F.sequence(F.lit(0), k), of_piece))
 
-    reach = _most_edits(size, slack) if edits is None else F.lit(edits)
-    lengths = F.filter(F.sequence(F.greatest(size - reach, F.lit(1)), size + reach), lambda n: (
-        F.abs(size - n) <= _edits_between(size, n, edits, least, slack, measure)))
     return F.flatten(F.transform(lengths, of_length))
 
 
@@ -129,41 +130,100 @@ def _edits_between(left: Column, right: Column, edits: int | None, least: float,
     return F.least(_edits_of(right, edits, slack), _allowed(left, right, edits, least, measure))
 
 
+def _spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Few rows that become many each: dealt over several tasks a core, however few files they come from."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *as_columns(columns))
+
+
+def _meeting(
+    left: DataFrame, right: DataFrame, by: list[str], edits: int | None, least: float, measure: str, once: bool,
+) -> DataFrame:
+    """``(by…, left, right)`` and the other columns of both sides for every piece that two texts share, met by a digest of
+    (length of the right text, edits between the two lengths, number of the piece, piece). Only lengths that occur are
+    asked for; with ``once`` the left text is not the shorter one. Neither side is
+    broadcast: pieces look as small as their texts when the join is planned."""
+    slack = _slack(least, measure)
+    key = lambda size, p: F.xxhash64(size, p["k"], p["no"], p["piece"]).alias("_key")
+    sizes = lambda df, name: df.agg(F.sort_array(F.collect_set(F.char_length(name)))).scalar()
+    mine, other = F.char_length("left"), F.char_length("right")
+    between = lambda m, n: _edits_between(m, n, edits, least, slack, measure)
+    near = lambda m, n: (F.abs(m - n) <= between(m, n)) & ((m >= n) if once else F.lit(True))
+    probes = _spread(left, *by, "left").withColumn("_sizes", sizes(right, "right"))
+    found = _probes(col("left"), F.filter("_sizes", lambda n: (n > 0) & near(mine, n)), lambda n: between(mine, n))
+    probes = probes.select(*as_columns(left.columns), F.explode(found).alias("p")).select(
+        *as_columns(left.columns), key(col("p")["size"], col("p")))
+    pieces = _spread(right, *by, "right").withColumn("_sizes", sizes(left, "left"))
+    asked = F.array_distinct(F.transform(F.filter("_sizes", lambda m: near(m, other)), lambda m: between(m, other)))
+    pieces = pieces.select(*as_columns(right.columns), F.explode(_pieces(col("right"), asked)).alias("q")).select(
+        *as_columns(right.columns), key(other, col("q")))
+    return probes.join(pieces.hint("merge"), ["_key", *by]).drop("_key")
+
+
 def candidate_pairs(
     left: DataFrame, right: DataFrame, by: list[str], edits: int | None, least: float, measure: str = "edits",
 ) -> DataFrame:
-    """``(by…, left, right)`` of the texts that share a piece, met by (length of the right text, edits between
-    the two lengths, number of the piece, piece). Neither side is broadcast: pieces look as small as their texts when
-    the join is planned."""
-    slack = _slack(least, measure)
-    probes = left.select(*as_columns(by), "left", F.explode(
-        _probes(col("left"), edits, least, slack, measure)).alias("p"))
-    size = F.char_length("right")
-    # however short the left text is, no fewer edits are allowed for
-    pieces = right.select(*as_columns(by), "right", F.explode(_pieces(
-        col("right"), _edits_between(F.lit(0), size, edits, least, slack, measure), _edits_of(size, edits, slack))).alias("q"))
-    probes = probes.select(*as_columns(by), "left", "p.*")
-    pieces = pieces.select(*as_columns(by), "right", size.alias("size"), "q.*")
-    return probes.join(pieces.hint("merge"), [*by, "size", "k", "no", "piece"]).select(*as_columns(by), "left", "right").distinct()
+    """``(by…, left, right)`` of the texts that share a piece where similar texts share one."""
+    return _meeting(left, right, by, edits, least, measure, False).distinct()
+
+
+def _letters(kinds: Column) -> Column:
+    """A number whose bits say how often each of 16 kinds of characters occurs, up to four times: four bits a kind."""
+    shift = lambda number, n: F.call_function("shiftleft", number, n)
+
+    def more(seen: Column, kind: Column) -> Column:
+        first, four = (shift(F.lit(n).cast("long"), kind * 4) for n in (1, 15))
+        return seen.bitwiseOR(first).bitwiseOR(shift(seen.bitwiseAND(four), F.lit(1)).bitwiseAND(four))
+
+    return F.aggregate(kinds, F.lit(0).cast("long"), more)
+
+
+def _with_letters(df: DataFrame, text: str) -> DataFrame:
+    """With the length and the letters of a text, 32 kinds of them."""
+    kinds = df.withColumn("_kinds", F.transform(F.split(text, ""), lambda c: F.ascii(c).bitwiseAND(31)))
+    return kinds.select(
+        *as_columns(df.columns), F.char_length(text).alias(f"_{text}0"), _letters(F.filter("_kinds", lambda k: k < 16)).alias(f"_{text}1"),
+        _letters(F.transform(F.filter("_kinds", lambda k: k >= 16), lambda k: k - 16)).alias(f"_{text}2"))
+
+
+def _letters_allow(allowed: Column) -> Column:
+    """Whether the letters of two texts differ by no more than so many edits explain: an edit puts one in the place of one."""
+    more = lambda a, b: functools.reduce(operator.add, [
+        F.bit_count(col(f"_{a}{i}").bitwiseAND(F.bitwise_not(f"_{b}{i}"))) for i in (1, 2)])
+    return (more("left", "right") <= allowed) & (more("right", "left") <= allowed)
 
 
 def similar_pairs(
     left: DataFrame, right: DataFrame, by: list[str], edits: int | None, least: float,
-    measure: str = "edits",
+    measure: str = "edits", once: bool = False,
 ) -> DataFrame:
     """All pairs within ``edits`` edits (any number if None) and ratio ≥ ``least``: ``(by…, left, right, ratio)``.
 
     ``left`` has (by…, left), ``right`` has (by…, right); texts are distinct per group. ``measure``
     is ``edits`` (1 − distance / longer length) or ``blocks`` (matching blocks, compared in Python
-    for the pairs that are within the distance). Empty texts are similar to nothing.
+    for the pairs that are within the distance). Empty texts are similar to nothing. Pairs that meet are compared
+    where they meet, so only similar ones travel on. ``once`` is for two times the same texts: each pair comes once,
+    the smaller text left.
     """
-    sizes = [F.char_length("left"), F.char_length("right")]
+    met = _meeting(_with_letters(left.select(*as_columns(by), "left"), "left"),
+                   _with_letters(right.select(*as_columns(by), "right"), "right"), by, edits, least, measure, once)
+    return _close(met, by, edits, least, measure, once)
+
+
+def _close(
+    met: DataFrame, by: list[str], edits: int | None, least: float, measure: str, once: bool = False,
+) -> DataFrame:
+    """The pairs of :func:`similar_pairs` among pairs that met, which have the letters of both texts."""
+    sizes = [col("_left0"), col("_right0")]
     allowed = _allowed(*sizes, edits, least, measure)
-    pairs = candidate_pairs(left, right, by, edits, least, measure)
-    close = pairs.withColumn("_d", F.call_function("levenshtein", col("left"), col("right"), allowed)).filter("_d >= 0")
+    apart = F.call_function("levenshtein", col("left"), col("right"), allowed)
+    ends = [F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")] if once else ["left", "right"]
+    close = met.filter(_letters_allow(allowed))
+    if once:
+        close = close.filter((sizes[0] > sizes[1]) | (col("left") < col("right")))
+    close = close.filter(apart >= 0).select(*as_columns(by), *as_columns(ends)).distinct()
     if measure == "edits":
-        return close.withColumn("ratio", 1 - col("_d") / F.greatest(*sizes)).drop("_d")
-    return close.drop("_d").withColumn("ratio", block_ratio(col("left"), col("right"))).filter(
+        return close.withColumn("ratio", 1 - F.levenshtein("left", "right") / F.greatest(F.char_length("left"), F.char_length("right")))
+    return close.withColumn("ratio", block_ratio(col("left"), col("right"))).filter(
         col("ratio") >= least)
 
 

@@ -76,8 +76,8 @@ def name_edges(groups: DataFrame, above: float = 0.7, measure: str = "edits") ->
         "scope", F.col("group_id").alias("src"), F.col("rep").alias("dst"))
     pairs = fuzzy.similar_pairs(
         reps.select("scope", F.col("group_name").alias("left")),
-        reps.select("scope", F.col("group_name").alias("right")), SCOPE, None, above, measure,
-    ).filter((col("left") < col("right")) & (col("ratio") > above))
+        reps.select("scope", F.col("group_name").alias("right")), SCOPE, None, above, measure, once=True,
+    ).filter(col("ratio") > above)
     a = reps.select("scope", F.col("group_name").alias("left"), F.col("rep").alias("src"))
     b = reps.select("scope", F.col("group_name").alias("right"), F.col("rep").alias("dst"))
     near = pairs.join(a, ["scope", "left"]).join(b, ["scope", "right"]).select("scope", "src", "dst")

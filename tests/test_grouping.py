@@ -210,3 +210,36 @@ def test_few_labels_are_broadcast_in_every_round(spark, monkeypatch):
         spark.conf.unset(key)
     assert found == {(i, 0) for i in range(31)}
     assert len(plans) > 3 and not any("SortMergeJoin" in plan for plan in plans)
+
+
+def test_pairs_of_one_list_come_once(spark, titles):
+    """Each pair once, the smaller text left, for every level of likeness and texts of all lengths."""
+    more = titles + ["ü" + t for t in titles[:5]] + ["x" * 9, "x" * 12]
+    df = spark.createDataFrame([(s, t) for s in ("s", "t") for t in more], "scope string, t string")
+    for edits, least in [(None, 0.7), (2, 0.5)]:
+        got = sorted((r.scope, r.left, r.right) for r in fuzzy.similar_pairs(
+            df.withColumnRenamed("t", "left"), df.withColumnRenamed("t", "right"), ["scope"], edits, least, once=True).collect())
+        want = sorted((s, a, b) for s in ("s", "t") for a in more for b in more if a < b
+                      and distance(a, b) <= (edits or 99) and 1 - distance(a, b) / max(len(a), len(b)) >= least - 1e-9)
+        assert got == want
+
+
+def test_pairs_are_compared_where_they_meet(spark):
+    """Unlike pairs that share a piece do not travel, and pieces are cut only for lengths that occur."""
+    texts = spark.range(200).selectExpr("'s' as scope", "md5(cast(id as string)) as t")
+    left, right = texts.withColumnRenamed("t", "left"), texts.withColumnRenamed("t", "right")
+    plan = fuzzy.similar_pairs(left, right, ["scope"], None, 0.7)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("levenshtein" in line for line in plan.splitlines() if "Join Inner" in line)
+    met = fuzzy._meeting(left, right, ["scope"], None, 0.7, "edits", False)
+    assert met.count() < 200 * 200 * 0.05 + 200 * 50
+
+
+def test_letters_are_a_bound(spark, titles):
+    """Two texts never differ by more letters than edits; saturated and other letters included."""
+    texts = titles + ["a" * 9, "aaabbbccc ", "üöä", "o" * 5 + "O" * 5]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = fuzzy._with_letters(df.withColumnRenamed("t", "left"), "left").crossJoin(
+        fuzzy._with_letters(df.withColumnRenamed("t", "right"), "right"))
+    rows = both.filter(fuzzy._letters_allow(F.levenshtein("left", "right"))).count()
+    assert rows == len(texts) ** 2
+    assert both.filter(fuzzy._letters_allow(F.lit(0))).count() < rows / 4
