@@ -8,11 +8,14 @@ a place shifted by at most k.
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableworks.functions.columns import as_columns, col
 from tableworks.functions.similarity import block_ratio
@@ -27,29 +30,77 @@ def _substrings(text: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
 
 
+#: Texts of at least so many characters are looked up by substrings of that length, the rarest ones first, unless
+#: even the rarest is in more than ``OFTEN`` texts.
+GRAM, OFTEN = 6, 1_000
+
+
+def _grams(text: Column) -> Column:
+    """Digests of all substrings of ``GRAM`` characters, in order."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - GRAM + 1)
+    return F.when(F.char_length(text) >= GRAM, F.transform(starts, lambda i: F.xxhash64(F.substr(text, i, F.lit(GRAM))))
+                  ).otherwise(F.array().cast("array<bigint>"))
+
+
+def _holding(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows with a wanted ``_key``, pinned, where the keys can be broadcast; else all: the join to come drops them."""
+    keys = wanted.select("_key").distinct()
+    return pin(rows.join(F.broadcast(keys), "_key", "left_semi")) if are_few(keys, 1_000_000) else rows
+
+
+def _lying_in(inner: DataFrame, outer: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(by…, inner, outer, _first)`` of the texts that lie in another one, found by the rarest gram of the inner text, and
+    the inner texts left to do: they are too short for that or have frequent grams only.
+
+    ``inner`` has (by…, inner) and ``outer`` (by…, outer), each text once; one of them has ``_first`` too.
+    """
+    held = _spread(outer, *by, "outer").select(*as_columns(outer.columns), F.explode(F.array_distinct(_grams(col("outer")))).alias("_key"))
+    often = held.groupBy(*as_columns(by), "_key").agg(F.count(F.lit(1)).alias("often"))
+    grams = _spread(inner.filter(F.char_length("inner") >= GRAM), *by, "inner").withColumn("_grams", F.array_distinct(_grams(col("inner"))))
+    asked = grams.select(*as_columns(inner.columns), F.size("_grams").alias("grams"), F.explode("_grams").alias("_key"))
+    kept = [F.min(c).alias(c) for c in inner.columns if c == "_first"]
+    # a gram that no outer text has settles it
+    rarest = pin(asked.join(often.hint("merge"), ["_key", *by]).groupBy(*as_columns(by), "inner").agg(
+        F.count(F.lit(1)).alias("found"), F.max("grams").alias("grams"), F.min(F.struct("often", "_key")).alias("r"), *kept
+    ).filter("found = grams").select(*as_columns(inner.columns), "r.*"))
+    rare = rarest.filter(col("often") <= OFTEN).drop("often")
+    rest = inner.filter(F.char_length("inner").between(1, GRAM - 1)).unionByName(
+        rarest.filter(col("often") > OFTEN).select(*as_columns(inner.columns)))
+    met = rare.join(_holding(held, rare).hint("merge"), ["_key", *by]).filter(F.contains("outer", "inner"))
+    return met.select(*as_columns(by), "inner", "outer", "_first"), rest
+
+
 def first_contained(
     texts: DataFrame, titles: DataFrame, by: list[str], order: str,
 ) -> DataFrame:
     """For each text the first title that contains it or lies in it: ``(by…, text, order, title)``.
 
-    ``titles`` is (by…, title, low, order) with ``low`` the form to compare. The titles that contain
-    a text are reduced to the first one per substring before the join, on the map side. Substrings look
-    as small as the texts they come from when the join is planned, so they are kept from being broadcast.
+    ``titles`` is (by…, title, low, order) with ``low`` the form to compare. The inner text is looked up by its
+    rarest substring of ``GRAM`` characters among the outer texts. For short and frequent inner texts containment becomes
+    equality with the substrings of the outer texts that have their lengths; there the titles that contain a text are
+    reduced to the first one per substring before the join, on the map side. Substrings look as small as the texts
+    they come from when the join is planned, so they are kept from being broadcast.
     """
-    wanted = texts.filter("text <> ''").select(*as_columns(by), "text").distinct()
-    sizes = wanted.agg(F.collect_set(F.char_length("text"))).scalar()
-    entry = F.min(F.struct(order, "title")).alias("_first")
-    above = titles.withColumn("_sizes", sizes).select(
-        *as_columns(by), order, "title", F.explode(_substrings(col("low"), col("_sizes"))).alias("text"))
-    # only substrings that are asked for travel on; then one row per text
-    above = above.join(wanted, [*by, "text"], "left_semi").groupBy(*as_columns(by), "text").agg(entry)
-    shapes = titles.filter("low <> ''").groupBy(*as_columns(by), "low").agg(entry)
-    lengths = shapes.agg(F.collect_set(F.char_length("low"))).scalar()
-    below = wanted.withColumn("_sizes", lengths).select(
-        *as_columns(by), "text", F.explode(_substrings(col("text"), col("_sizes"))).alias("low")
-    ).join(shapes.hint("merge"), [*by, "low"]).groupBy(*as_columns(by), "text").agg(F.min("_first").alias("_first"))
-    return above.unionByName(below).groupBy(*as_columns(by), "text").agg(
-        F.min("_first").alias("_first")).select(*as_columns(by), "text", "_first.*")
+    wanted = pin(texts.filter("text <> ''").select(*as_columns(by), "text").distinct())
+    shapes = pin(titles.filter("low <> ''").groupBy(*as_columns(by), "low").agg(F.min(F.struct(order, "title")).alias("_first")))
+    first = lambda df: df.groupBy(*as_columns(by), "text").agg(F.min("_first").alias("_first"))
+    cut = lambda df, text, sizes, out: _spread(df, *by, text).withColumn("_sizes", sizes).select(
+        *as_columns(df.columns), F.explode(_substrings(col(text), col("_sizes"))).alias(out))
+
+    above, rest = _lying_in(wanted.withColumnRenamed("text", "inner"), shapes.withColumnRenamed("low", "outer"), by)
+    found = first(above.withColumnRenamed("inner", "text"))
+    if not rest.isEmpty():
+        rest = pin(rest.withColumnRenamed("inner", "text"))
+        sizes = rest.agg(F.collect_set(F.char_length("text"))).scalar()
+        # only substrings that are asked for travel on; then one row per text
+        found = found.unionByName(first(cut(shapes, "low", sizes, "text").join(rest, [*by, "text"], "left_semi")))
+    below, rest = _lying_in(shapes.withColumnRenamed("low", "inner"), wanted.withColumnRenamed("text", "outer"), by)
+    found = found.unionByName(first(below.withColumnRenamed("outer", "text")))
+    if not rest.isEmpty():
+        rest = pin(rest.withColumnRenamed("inner", "low"))
+        sizes = rest.agg(F.collect_set(F.char_length("low"))).scalar()
+        found = found.unionByName(first(cut(wanted, "text", sizes, "low").join(rest.hint("merge"), [*by, "low"])))
+    return first(found).select(*as_columns(by), "text", "_first.*")
 
 
 def _slack(least: float, measure: str) -> float:
@@ -210,14 +261,14 @@ def similar_pairs(
 
 
 def _close(
-    met: DataFrame, by: list[str], edits: int | None, least: float, measure: str, once: bool = False,
+    met: DataFrame, by: list[str], edits: int | None, least: float, measure: str, once: bool = False, letters: bool = True,
 ) -> DataFrame:
-    """The pairs of :func:`similar_pairs` among pairs that met, which have the letters of both texts."""
+    """The pairs of :func:`similar_pairs` among pairs that met, with the lengths and, for a first test, the letters of both."""
     sizes = [col("_left0"), col("_right0")]
     allowed = _allowed(*sizes, edits, least, measure)
     apart = F.call_function("levenshtein", col("left"), col("right"), allowed)
     ends = [F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")] if once else ["left", "right"]
-    close = met.filter(_letters_allow(allowed))
+    close = met.filter(_letters_allow(allowed)) if letters else met
     if once:
         close = close.filter((sizes[0] > sizes[1]) | (col("left") < col("right")))
     close = close.filter(apart >= 0).select(*as_columns(by), *as_columns(ends)).distinct()
@@ -228,15 +279,68 @@ def _close(
 
 
 def edit_levels(longest: int, least: float, measure: str = "edits") -> list[int]:
-    """Distances to try in turn: 1, 4, 16, … up to what the longest text allows."""
+    """Distances to try in turn: 1, 4, 16, … up to what the longest text allows. Between 1 and 4 all those that texts
+    of this length are looked up by grams for."""
     most = int(longest * _slack(least, measure) + 1e-9)
     levels, step = [], 1
     while step < most:
         levels.append(step)
-        step *= 4
+        step = step * 4 if step >= 4 else step + 1 if longest >= GRAM * (step + 2) else 4
     return levels + [most] if most else []
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _fewest_hits(often: pd.Series, pieces: pd.Series) -> pd.Series:
+    """Places (from 0) of so many disjoint grams that together are in the fewest texts."""
+    def chosen(counts: list[int], n: int) -> list[int]:
+        size = len(counts)
+        # best[j][i]: fewest hits of j grams from place i on
+        best = [[0] * (size + GRAM)] + [[math.inf] * (size + GRAM) for _ in range(n)]
+        for j in range(1, n + 1):
+            row, fewer = best[j], best[j - 1]
+            for i in range(size - 1, -1, -1):
+                row[i] = min(row[i + 1], counts[i] + fewer[i + GRAM])
+        places, i = [], 0
+        for j in range(n, 0, -1):
+            while best[j][i] == best[j][i + 1]:
+                i += 1
+            places.append(i)
+            i += GRAM
+        return places
+
+    return pd.Series([chosen(list(c), n) for c, n in zip(often, pieces)])
+
+
+def _with_often(texts: DataFrame, titles: DataFrame, by: list[str]) -> DataFrame:
+    """``texts`` (by…, text) with ``_often``: for each gram in how many places of ``titles`` (by…, right) it is found."""
+    held = _spread(titles, *by, "right").select(*as_columns(by), F.explode(_grams(col("right"))).alias("_key"))
+    often = held.groupBy(*as_columns(by), "_key").agg(F.count(F.lit(1)).alias("often"))
+    asked = _spread(texts, *by, "text").select(*as_columns(by), "text", F.posexplode_outer(_grams(col("text"))).alias("at", "_key"))
+    counted = asked.join(often.hint("merge"), ["_key", *by], "left").groupBy(*as_columns(by), "text").agg(
+        F.array_sort(F.collect_list(F.struct("at", F.coalesce("often", F.lit(0)).alias("often")))).alias("o"))
+    return counted.select(*as_columns(by), "text", F.transform("o", lambda x: x["often"]).alias("_often"))
+
+
+def _close_by_grams(
+    texts: DataFrame, titles: DataFrame, by: list[str], edits: int, least: float, measure: str,
+) -> DataFrame:
+    """:func:`similar_pairs` for texts (by…, text, _often) that have room for a gram more than ``edits``.
+
+    So many edits leave one of ``edits`` + 1 disjoint grams of a text as it is, at a place shifted by at most ``edits``.
+    Those that together are the rarest are looked up; a gram that no title has meets nothing, and costs an edit.
+    """
+    picked = texts.withColumn("_at", _fewest_hits("_often", F.lit(edits + 1)))
+    picked = picked.withColumn("_keys", _grams(col("text"))).select(
+        *as_columns(by), col("text").alias("left"), "_often", "_keys", F.explode("_at").alias("_at")
+    ).filter(F.get("_often", col("_at")) > 0).select(*as_columns(by), "left", "_at", F.get("_keys", col("_at")).alias("_key"))
+    picked = pin(picked)
+    held = _spread(titles, *by, "right").select(
+        *as_columns(by), "right", F.posexplode(_grams(col("right"))).alias("_place", "_key"))
+    met = picked.join(_holding(held, picked).hint("merge"), ["_key", *by]).filter(F.abs(col("_at") - col("_place")) <= edits)
+    met = met.select(*as_columns(by), "left", "right", F.char_length("left").alias("_left0"), F.char_length("right").alias("_right0"))
+    return _close(met.filter(F.abs(col("_left0") - col("_right0")) <= edits), by, edits, least, measure, letters=False)
+
+
 def best_similar(
     texts: DataFrame, titles: DataFrame, by: list[str], order: str, least: float = 0.7,
     measure: str = "edits",
@@ -244,31 +348,39 @@ def best_similar(
     """For each text the most similar title with ratio ≥ ``least``, ties by title order.
 
     Small distances are tried first. A text is settled as soon as no title further away could have
-    a better ratio, so only texts without a close title reach the wide comparisons.
+    a better ratio, so only texts without a close title reach the wide comparisons. Up to four edits long texts are
+    looked up by rare grams, short ones and wide distances by pieces.
     """
-    wanted = texts.select(*as_columns(by), "text").distinct()
-    shapes = titles.groupBy(*as_columns(by), F.col("low").alias("right")).agg(
-        F.min(F.struct(order, "title")).alias("_first"))
+    wanted = pin(texts.select(*as_columns(by), "text").distinct())
+    shapes = pin(titles.groupBy(*as_columns(by), F.col("low").alias("right")).agg(
+        F.min(F.struct(order, "title")).alias("_first")))
+    listed = shapes.select(*as_columns(by), "right")
     longest = wanted.agg(F.max(F.char_length("text"))).first()[0] or 0
-    open_texts, found = pin(wanted), None
+    open_texts, found = pin(_with_often(wanted, listed, by)), None
+    size = F.char_length("text")
     for edits in edit_levels(longest, least, measure):
-        pairs = similar_pairs(
-            open_texts.select(*as_columns(by), F.col("text").alias("left")),
-            shapes.select(*as_columns(by), "right"), by, edits, least, measure)
+        if open_texts.isEmpty():
+            break
+        short = open_texts if edits > 4 else open_texts.filter(size < GRAM * (edits + 1))
+        pairs = None
+        if not short.isEmpty():
+            pairs = similar_pairs(short.select(*as_columns(by), F.col("text").alias("left")), listed, by, edits, least, measure)
+        if edits <= 4 and longest >= GRAM * (edits + 1):
+            by_grams = _close_by_grams(open_texts.filter(size >= GRAM * (edits + 1)), listed, by, edits, least, measure)
+            pairs = by_grams if pairs is None else pairs.unionByName(by_grams)
         best = pairs.join(shapes, [*by, "right"]).groupBy(
             *as_columns(by), F.col("left").alias("text")).agg(
             F.min(F.struct((-col("ratio")).alias("key"), col("_first").alias("first"))).alias("b"))
         best = best.select(*as_columns(by), "text", (-col("b")["key"]).alias("ratio"),
                            col("b")["first"].alias("_first"))
-        size = F.char_length("text")
         # a title with more edits is at best this similar
         whole = size if measure == "edits" else size * 2
         settled = col("ratio") > whole / (whole + edits + 1) + 1e-9
         joined = pin(open_texts.join(best, [*by, "text"], "left").withColumn(
             "_done", F.coalesce(settled, F.lit(False)) | (_most_edits(size, _slack(least, measure)) <= edits)))
-        part = joined.filter(col("_done") & col("ratio").isNotNull()).drop("_done")
+        part = joined.filter(col("_done") & col("ratio").isNotNull()).drop("_done", "_often")
         found = part if found is None else found.unionByName(part)
-        open_texts = joined.filter(~col("_done")).select(*as_columns(by), "text")
+        open_texts = joined.filter(~col("_done")).select(*as_columns(by), "text", "_often")
     if found is None:
         return wanted.limit(0).select("*", F.lit(None).cast("double").alias("ratio"),
                                       F.lit(None).cast(titles.schema[order].dataType).alias(order),

@@ -243,3 +243,48 @@ def test_letters_are_a_bound(spark, titles):
     rows = both.filter(fuzzy._letters_allow(F.levenshtein("left", "right"))).count()
     assert rows == len(texts) ** 2
     assert both.filter(fuzzy._letters_allow(F.lit(0))).count() < rows / 4
+
+
+def _addresses(n):
+    random.seed(8)
+    hosts = ["www.one.example.net", "blog.two.example.com"]
+    return sorted({f"https://{random.choice(hosts)}/{random.choice(['en', 'de'])}/{random.randint(1, 99999)}" for _ in range(n)})
+
+
+def _slipped(text, edits):
+    for _ in range(edits):
+        i = random.randrange(len(text))
+        text = random.choice([text[:i] + text[i + 1:], text[:i] + "q" + text[i:], text[:i] + random.choice("q7e") + text[i + 1:]])
+    return text
+
+
+@pytest.mark.parametrize("often", [1_000, 2])
+def test_addresses_match_like_brute_force(spark, often, monkeypatch):
+    """Long texts that share most of their characters: equal, inner, outer, near and far ones, with rare and frequent grams."""
+    monkeypatch.setattr(fuzzy, "OFTEN", often)
+    listed = _addresses(60)
+    asked = [_slipped(t, i % 8) for i, t in enumerate(listed)]
+    asked += [listed[3][8:], "see " + listed[4], listed[5] + "/x", "/en/", "one", "https://", "x" * 40, "", " " + listed[6].upper()]
+    listed += ["two", "net/"]
+    titles = spark.createDataFrame([("s", t, i) for i, t in enumerate(listed)], "scope string, title string, at int")
+    texts = spark.createDataFrame([("s", t) for t in set(asked)] + [(None, listed[0])], "scope string, proposal string")
+    got = {r.proposal: (r.title, r.tier) for r in grouping.match_titles(texts, titles).filter("scope is not null").collect()}
+    want = {}
+    for t in asked:
+        low = t.lower().strip()
+        equal, part = [x for x in listed if x == low], [x for x in listed if low and (low in x or x in low)]
+        like = [(-edit_likeness(low, x), i, x) for i, x in enumerate(listed) if low and 1 - distance(low, x) / max(len(low), len(x)) >= 0.7]
+        want[t] = (equal[0], "equal") if equal else (part[0], "part") if part else (min(like)[2], "similar") if like else (None, None)
+    assert got == want
+
+
+def test_addresses_of_one_host_are_not_all_compared(spark, monkeypatch):
+    """Slips in the part that all addresses share are looked up by the part that they do not share."""
+    listed = [f"https://www.one.example.net/en/{i * 7919 % 90000 + 10000}" for i in range(400)]
+    titles = spark.createDataFrame([("s", t, t, i) for i, t in enumerate(listed)], "scope string, title string, low string, at int")
+    texts = spark.createDataFrame([("s", t.replace("https", "htps").replace("example", "exampel")) for t in listed], "scope string, text string")
+    met, close = [], fuzzy._close
+    monkeypatch.setattr(fuzzy, "_close", lambda df, *a, **k: met.append(df.count()) or close(df, *a, **k))
+    found = fuzzy.best_similar(texts, titles, ["scope"], "at")
+    assert {r.title for r in found.collect()} == set(listed)
+    assert sum(met) < 400 * 10
