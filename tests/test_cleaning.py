@@ -123,3 +123,35 @@ def test_types_are_broadcast_to_the_rows(spark):
     headers = profiling.corpus_headers(spark, {"t": ["Entity", "Year", "v", "t"]}, {"t": ["text", "int", None, None]})
     plan = profiling.column_profile(rows, headers)._jdf.queryExecution().optimizedPlan().toString()
     assert [line for line in plan.splitlines() if "Join Inner" in line and "strategy=broadcast" in line]
+
+
+def test_report_without_caps_moves_no_cells(spark, monkeypatch):
+    """Equal rows count once in the report; rows that differ in where a cell is missing, or in a sign or scale, are not equal."""
+    cells = [["a", "1", "x", "2"], ["a", "1.0", "x", "2"], ["a", "1", None, "2"], ["a", "1", "2", None], ["a", None, "1", "2"],
+             ["b", "-0.0", "x", "2"], ["b", "0.0", "x", "2"], ["b", "NaN", "x", "2"], ["ab", "3", "c", "2"], ["a", "3", "bc", "2"],
+             ["a", "1", "x", "2"], [None, "5", "x", "2"], [None] * 4]
+    pinned, pin = [], cleaning.pin
+    monkeypatch.setattr(cleaning, "pin", lambda df: pinned.extend(df.columns) or pin(df))
+    rows = spark.createDataFrame([(t, i, c) for t in ("t", "u") for i, c in enumerate(cells)], "table_id string, pos long, cells array<string>")
+    names = ["Entity", "n", "m", "k"]
+    for types in (None, {"t": ["text", "float", "text", "int"]}):
+        headers = profiling.corpus_headers(spark, {"t": names, "u": names}, types)
+        policy = cleaning.Policy(min_numeric_columns=0)
+        corpus = cleaning.clean_corpus(rows, headers, policy)
+        report = {r.table_id: (r.passed, r.final_rows, round(r.data_completeness, 6)) for r in corpus.report.collect()}
+        for t in ("t", "u"):
+            left = corpus.rows.filter(F.col("table_id") == t).collect()
+            filled = sum(c is not None for r in left for c in r.cells)
+            assert report[t] == (True, len(left), round(filled / len(left) / 4, 6)) and 8 <= len(left) < 11
+    assert "cells" not in pinned
+
+
+def test_known_numbers_are_read_as_their_texts_are(spark):
+    """A column of numbers gives the same report and rows whether its type is told or found."""
+    cells = [["a", "1", "1.5"], ["b", "-2", "NaN"], ["c", "3", "Infinity"], ["d", None, "1.0E10"], ["e", "5", None], ["e", "5", None]]
+    rows = spark.createDataFrame([("t", i, c) for i, c in enumerate(cells)], "table_id string, pos long, cells array<string>")
+    made = []
+    for types in (None, {"t": ["text", "int", "float"]}, {"t": [None, "int", None]}):
+        corpus = cleaning.clean_corpus(rows, profiling.corpus_headers(spark, {"t": ["Entity", "n", "x"]}, types))
+        made.append((corpus.report.collect(), sorted(map(str, corpus.rows.collect()))))
+    assert made[0][1] == made[2][1] and made[0][0] == made[2][0] and len(made[0][1]) == 5
